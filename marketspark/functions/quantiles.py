@@ -6,9 +6,9 @@ the bucket of each wanted rank; only the rows of those buckets are ranked.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = 64
@@ -16,22 +16,31 @@ SPLITS = 64
 SKETCH = 2_000
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """One row per group and column: ``(keys..., column, q array)``, linear interpolation.
+def distinct_counts(df: DataFrame, keys: Sequence[str], value: str, **counts: Column) -> DataFrame:
+    """Counts per distinct value with a bucket ``b`` that never decreases along the value.
+
+    ``counts`` are extra sums per value.  Bucket limits come from a bounded sketch; equal values
+    collapse before the shuffle, so a hot value is one row.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    marks = [i / SPLITS for i in range(1, SPLITS)]
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx(value, marks, SKETCH).alias("_splits"))
+    values = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"), *[F.sum(e).alias(n) for n, e in counts.items()])
+    if keys:
+        values = values.join(sketch, list(keys))
+    else:  # one sketch row of fixed size
+        values = values.join(F.broadcast(sketch.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
+    return values.withColumn("b", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+
 
-    Nulls are ignored.  Equal values are counted before any shuffle by value, so heavy ties
-    collapse to one row.
+def values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """Interpolated values at 0-based ranks given by ``ranks(n)``: ``(keys..., column, n, q array)``.
+
+    Nulls are ignored.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
-    long = df.select(*keys, pairs.alias("_p")).select(*keys, "_p.column", "_p.v").filter("v is not null")
     group = [*keys, "column"]
-    marks = [i / SPLITS for i in range(1, SPLITS)]
-    sketch = long.groupBy(*group).agg(F.percentile_approx("v", marks, SKETCH).alias("_splits"))
-    # distinct values with counts (partial aggregation first), then bucketed by the sketch
-    counts = long.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.join(F.broadcast(sketch) if not keys else sketch, group)
-    below = F.size(F.filter("_splits", lambda s: s < F.col("v")))
-    counts = counts.withColumn("b", below).drop("_splits")
+    counts = distinct_counts(df.select(*keys, pairs.alias("_p")).select(*keys, "_p.column", "_p.v"), group, "v")
     per_bucket = counts.groupBy(*group, "b").agg(F.sum("c").alias("n_b"))
     wb = Window.partitionBy(*group)
     per_bucket = per_bucket.select(
@@ -39,19 +48,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
         F.coalesce(F.sum("n_b").over(wb.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("n_b").over(wb).alias("n"),
     )
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("n") - 1)).alias("h")) for i, q in enumerate(probs)
-    ]))
-    ranks = per_bucket.withColumn("_w", wanted).select("*", "_w.i", "_w.h").drop("_w")
-    ranks = ranks.filter((F.ceil("h") >= F.col("before")) & (F.floor("h") < F.col("before") + F.col("n_b")))
-    hit = counts.join(ranks.select(*group, "b", "before").distinct(), [*group, "b"])
+    wanted = F.posexplode(F.array(*[h.cast("double") for h in ranks(F.col("n"))])).alias("i", "h")
+    marks = per_bucket.select("*", wanted)
+    marks = marks.filter((F.ceil("h") >= F.col("before")) & (F.floor("h") < F.col("before") + F.col("n_b")))
+    # only rows of the buckets that hold a wanted rank go on
+    hit = counts.join(marks.select(*group, "b", "before").distinct(), [*group, "b"])
     wv = Window.partitionBy(*group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("hi", F.col("before") + F.sum("c").over(wv)).withColumn("lo", F.col("hi") - F.col("c"))
-    found = hit.join(ranks.select(*group, "b", "i", "h"), [*group, "b"])
+    found = hit.join(marks.select(*group, "b", "i", "h", "n"), [*group, "b"])
     pick = lambda r: F.max(F.when((F.col("lo") <= r) & (r < F.col("hi")), F.col("v")))
-    out = found.groupBy(*group, "i", "h").agg(pick(F.floor("h")).alias("a"), pick(F.ceil("h")).alias("z"))
+    out = found.groupBy(*group, "i", "h", "n").agg(pick(F.floor("h")).alias("a"), pick(F.ceil("h")).alias("z"))
     value = F.col("a") + (F.col("z") - F.col("a")) * (F.col("h") - F.floor("h"))
     return (
-        out.withColumn("q", value).groupBy(*group)
+        out.withColumn("q", value).groupBy(*group, "n")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))
     )
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Linear-interpolation quantiles: ``(keys..., column, n, q array)``."""
+    return values_at(df, keys, columns, lambda n: [F.lit(float(p)) * (n - 1) for p in probs])
