@@ -141,3 +141,27 @@ def last_returns(bars: DataFrame, window: int = 24) -> DataFrame:
     rows = tail.groupBy("symbol").agg(arr.alias("a")).filter(F.size("a") == window + 1)
     return rows.select("symbol", F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: ratio(
         F.get("a", i)["close"], F.get("a", i - 1)["close"]) - 1).alias("r"))
+
+
+def unit_returns(returns: DataFrame) -> DataFrame:
+    """Return arrays centred and scaled to length one, so that a correlation is a dot product."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    d = returns.withColumn("_m", ratio(total(F.col("r")), F.size("r")))
+    d = d.withColumn("_c", F.transform("r", lambda x: x - F.col("_m")))
+    d = d.withColumn("_l", F.sqrt(total(F.transform("_c", lambda x: x * x))))
+    return d.select("symbol", F.transform("_c", lambda x: ratio(x, F.col("_l"))).alias("u"))
+
+
+def pair_correlations(returns: DataFrame, blocks: int = 16) -> DataFrame:
+    """Correlation of every pair of symbols, as a blocked product of their return arrays.
+
+    The result itself has one row per pair of symbols.  Symbols fall into blocks and each pair of
+    blocks is one join key, so the work is spread evenly and no task meets the whole symbol list.
+    """
+    u = unit_returns(returns).withColumn("_b", F.pmod(F.xxhash64("symbol"), F.lit(blocks).cast("long")))
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    left = u.select(F.col("symbol").alias("symbol_1"), F.col("u").alias("a"), F.col("_b").alias("i"), F.explode(ids).alias("j"))
+    right = u.select(F.col("symbol").alias("symbol_2"), F.col("u").alias("b"), F.col("_b").alias("j"), F.explode(ids).alias("i"))
+    both = left.join(right, ["i", "j"]).filter("symbol_1 < symbol_2")
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return both.select("symbol_1", "symbol_2", F.coalesce(dot, F.lit(0.0)).alias("corr"))

@@ -123,7 +123,7 @@ def one_position(outcomes: DataFrame, rows: int = 65_536, order: Sequence[str] =
         here = chains.filter(c("_piece") == piece).join(entry.select("symbol", "_start"), "symbol").filter(c("pos") >= c("_start"))
         moved = here.groupBy("symbol").agg(F.min_by("_free", "_idx").alias("_f"))
         entry = entry.join(moved, "symbol", "left").select("symbol", F.lit(piece + 1).cast("long").alias("_piece"), F.coalesce("_f", "_start").alias("_start"))
-        entry = cut_lineage(entry, "entry")
+        entry = cut_lineage(entry)
         entries = entries.unionByName(entry)
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...session import materialize
 from . import clean, intraday, labels, risk, scalp, swing
 
 RAW = {
@@ -58,8 +59,10 @@ def feature_table(bars: DataFrame, model: str, compat: bool = False, normalize:
     df = labels.direction(df, horizon, threshold, fill_flat=compat)
     if model != "scalp":
         df = df.drop("future_return")
-    df = clean.fill(df, names, look_ahead=compat).filter(F.col("target").isNotNull())
+    # filling and scaling read the features several times
+    df = clean.fill(materialize(df, f"{model}-features"), names, look_ahead=compat).filter(F.col("target").isNotNull())
     if normalize:
+        df = materialize(df, f"{model}-filled")
         df = clean.standard_scale(clean.clip_outer(df, names), names)
         df = clean.zero_bad(df, names)
     return df, names
@@ -68,8 +71,9 @@ def feature_table(bars: DataFrame, model: str, compat: bool = False, normalize:
 def leak_free_table(bars: DataFrame, train=None, horizon: int = 6, threshold: float = 0.01):
     """Explicit features without look-ahead; clip and scaling are fitted on ``train`` rows only."""
     df = labels.direction(intraday.intraday_features(bars), horizon, threshold).drop("future_return")
-    df = clean.fill(df, EXPLICIT).filter(F.col("target").isNotNull())
+    df = clean.fill(materialize(df, "leak-free-features"), EXPLICIT).filter(F.col("target").isNotNull())
     if train is not None:
+        df = materialize(df, "leak-free-filled")
         df = clean.clip_outer(df, EXPLICIT, fit=train)
         df = clean.standard_scale(df, EXPLICIT, fit=train)
     return df, EXPLICIT

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results or plans depend on.
 SETTINGS = {
@@ -31,18 +33,31 @@ def get_session(app: str = "marketspark", master: str | None = None, **conf: str
     return spark
 
 
-def cut_lineage(df, name: str, test_dir: str | None = None):
-    """Write ``df`` through a reliable checkpoint in the shared folder named by the cluster.
-
-    Only where no folder is configured (tests, a laptop) is ``test_dir`` used, or a new
-    temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the cluster names, a temporary one only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.getCheckpointDir() is None:
-        import tempfile
+        return shared
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
-        sc.setCheckpointDir(test_dir or tempfile.mkdtemp(prefix="spark-"))
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small table inside a loop."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later passes read, as Parquet in the shared folder.
+
+    Later passes then read only the columns they need, and a lost executor costs one file read
+    instead of the whole lineage.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
