@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import Pieces, index_rows, time_bucket
-from ..session import cut_lineage
+from ..session import cut_lineage, materialize
 from .stats import trade_metrics
 
 c = F.col
@@ -168,9 +168,9 @@ def _run(signals: DataFrame, bars: DataFrame, tags: Sequence[str]) -> DataFrame:
     """Backtest within each tag value: bars are re-indexed inside it."""
     key = F.concat_ws("|", "symbol", *[c(t).cast("string") for t in tags])
     b = bars.withColumn("symbol", key).drop("pos", "n")
-    b = index_rows(b, ["symbol"], ["ts"], time_bucket("ts", 30 * 86_400))
+    b = materialize(index_rows(b, ["symbol"], ["ts"], time_bucket("ts", 30 * 86_400)), "bars")
     s = signals.withColumn("symbol", key).drop("pos").join(b.select("symbol", "ts", "pos"), ["symbol", "ts"])
-    return summary(trades(one_position(bracket_outcomes(s, b))), tags)
+    return summary(trades(one_position(materialize(bracket_outcomes(s, b), "outcomes"))), tags)
 
 
 def walk_forward(signals: DataFrame, bars: DataFrame, blocks: int = 5, share: float = 0.7) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import ratio
+from ..session import materialize
 from .stats import lookup
 
 #: Fixed values.
@@ -126,7 +127,8 @@ def select_uncorrelated(ranked: DataFrame, returns: DataFrame | None, top: int =
     """
     if returns is None:
         return ranked.filter(c("rank") <= top)
-    left = ranked.join(returns, "symbol", "left")
+    # one row per tradable symbol; written once because every pass reads it
+    left = materialize(ranked.join(returns, "symbol", "left"), "ranked")
     picked: list[str] = []
     rest = left
     for _ in range(top):
@@ -137,7 +139,7 @@ def select_uncorrelated(ranked: DataFrame, returns: DataFrame | None, top: int =
         rest = rest.filter(c("symbol") != row["symbol"])
         if row["r"] is not None:
             rest = rest.filter(c("r").isNull() | (F.abs(correlation_of(c("r"), list(row["r"]))) <= limit))
-    return ranked.filter(c("symbol").isin(picked)) if picked else ranked.limit(0)
+    return (left.filter(c("symbol").isin(picked)) if picked else left.limit(0)).select(*ranked.columns)
 
 
 def entry_and_targets(s: DataFrame, price: str = "price", vol: str = "volatility") -> DataFrame:

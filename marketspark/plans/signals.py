@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.series import Pieces
 from ..operators import decide
 from ..operators.asof import last_returns
+from ..session import materialize
 
 c = F.col
 
@@ -30,7 +31,7 @@ def momentum_outputs(bars: DataFrame, rows: int | None = None) -> dict[str, Data
     s.stage(_ret=s.pct("close"))
     s.stage(_sd=s.std("_ret", 50), **{f"_m{k}": s.pct("close", k) for k in (3, 10, 50)})
     s.stage(**{f"z{k}": F.try_divide(c(f"_m{k}"), c("_sd")) for k in (3, 10, 50)})
-    last = s.close().groupBy("symbol").agg(F.max_by(F.struct("z3", "z10", "z50"), "pos").alias("r"))
+    last = materialize(s.close().groupBy("symbol").agg(F.max_by(F.struct("z3", "z10", "z50"), "pos").alias("r")), "momentum")
     out = {}
     for name, k in (("scalp", 3), ("intraday", 10), ("swing", 50)):
         up = 0.9 / (1 + F.exp(-c(f"r.z{k}") / k))

@@ -142,7 +142,7 @@ def alert_sink(table_path: str, alert_path: str) -> Callable[[DataFrame, int], N
 def append_history(predictions: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Prediction rows to JSON, one folder per day, exactly once."""
     out = predictions.withColumn("date", F.to_date("ts"))
-    return out.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).partitionBy("date").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    return out.writeStream.format("json").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("path", path).option("checkpointLocation", checkpoint).partitionBy("date").outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def refresh(bars: DataFrame, build: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None], checkpoint: str, store: str, trigger: dict | None = None):

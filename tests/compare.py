@@ -45,14 +45,17 @@ def compare(df, con, sql: str) -> list[str]:
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    from decimal import Decimal
+
+    odd = {c for t in want for c, v in zip(want_cols, t) if isinstance(v, Decimal)}
+    if odd:
+        return [f"decimal columns {odd}"]
     if got_cols != want_cols:
         return [f"columns {set(got_cols) ^ set(want_cols)}"]
     if len(got) != len(want):
         return [f"rows {len(got)} != {len(want)}"]
     bad = []
     if got == want:
-        for c, t in zip(got_cols, got[0] if got else ()):
-            pass
         return bad
     # align on the non-float columns, so one differing value does not shift the rest
     fixed = [i for i, c in enumerate(got_cols) if not any(isinstance(r[i], float) for r in (*got[:200], *want[:200]))]

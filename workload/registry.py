@@ -102,4 +102,4 @@ DAILY = bars_sql(TRADE_TICKS, 86400)
 
 def r(expr: str, name: str, digits: int = 6) -> str:
     """Rounded output column; adding 0.0 turns a negative zero into zero."""
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"CAST(round({expr}, {digits}) AS DOUBLE) + 0.0 AS {name}"
