@@ -148,7 +148,10 @@ class Pieces:
         first = F.greatest(F.floor((p - ahead) / self.rows), F.lit(0))
         last = F.floor((p + halo) / self.rows)
         df = df.withColumn("_piece", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-        df = df.repartition(*self.keys, "_piece")
+        # a fixed number of partitions: windows are heavy on CPU for their bytes, so merging pieces by
+        # byte size (as adaptive execution would) leaves most cores idle
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(parts, *self.keys, "_piece")
         self.df = df.withColumns({
             "_core": F.floor(p / self.rows) == F.col("_piece"),
             "_blk": F.floor(p / block).cast("long"),
@@ -258,12 +261,37 @@ class Pieces:
     def median(self, c, k):
         return self._adaptive("median", c, k) if isinstance(k, Column) else self.quantile(c, 0.5, k)
 
-    def skew(self, c, k: int, bias: bool = False):
-        g = self._roll(F.skewness, c, k)
+    # -- moments of return-like columns (mean small against the deviation), from means of powers
+    def vol(self, c, k: int) -> Column:
+        """Sample deviation of returns.  Means of x and x*x cost a fraction of the general
+        one-pass variance per frame row; for returns nothing cancels."""
+        x, w = col(c), self.back(k)
+        # every mention of a window value is computed anew: one mention each
+        v = F.avg(x * x).over(w) - F.pow(F.avg(x).over(w), F.lit(2.0))
+        return self.full(c, k, F.sqrt(F.greatest(v, F.lit(0.0)) * F.lit(k / (k - 1))))
+
+    def moments(self, c: str, *ks: int) -> "Pieces":
+        """Window means of the first four powers of returns, once for ``skew`` and ``kurt``."""
+        x = F.col(c)
+        self.stage(**{f"_{c}_2": x * x, f"_{c}_3": x * x * x, f"_{c}_4": x * x * x * x})
+        source = {1: c, 2: f"_{c}_2", 3: f"_{c}_3", 4: f"_{c}_4"}
+        self.stage(**{f"_{c}_{k}_m{p}": F.avg(n).over(self.back(k)) for k in ks for p, n in source.items()},
+                   **{f"_{c}_{k}_n": F.count(c).over(self.back(k)) for k in ks})
+        # a window of equal values has no shape
+        m1, m2 = (lambda k: F.col(f"_{c}_{k}_m1")), (lambda k: F.col(f"_{c}_{k}_m2"))
+        v = lambda k: m2(k) - m1(k) * m1(k)
+        return self.stage(**{f"_{c}_{k}_v": F.when((F.col(f"_{c}_{k}_n") == k) & (v(k) > m2(k) * 1e-14), v(k)) for k in ks})
+
+    def skew(self, c: str, k: int, bias: bool = False):
+        """Skewness after ``moments``; bias-corrected unless asked otherwise."""
+        m1, m2, m3, v = (F.col(f"_{c}_{k}_{x}") for x in ("m1", "m2", "m3", "v"))
+        g = (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / (v * F.sqrt(v))
         return g if bias else g * F.lit(math.sqrt(k * (k - 1)) / (k - 2))
 
-    def kurt(self, c, k: int):
-        g = self._roll(F.kurtosis, c, k)
+    def kurt(self, c: str, k: int):
+        """Bias-corrected excess kurtosis after ``moments``."""
+        m1, m2, m3, m4, v = (F.col(f"_{c}_{k}_{x}") for x in ("m1", "m2", "m3", "m4", "v"))
+        g = (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / (v * v) - 3
         return ((k + 1) * g + 6) * F.lit((k - 1) / ((k - 2) * (k - 3)))
 
     def _pair(self, fn, a, b, k) -> Column:
@@ -293,7 +321,8 @@ class Pieces:
         return self.hits(cond, k) / F.lit(float(k))
 
     def zscore(self, c, k: int) -> Column:
-        return guarded(col(c) - self.mean(c, k), self.std(c, k))
+        w = self.back(k)
+        return self.full(c, k, guarded(col(c) - F.avg(col(c)).over(w), F.stddev_samp(col(c)).over(w)))
 
     def ahead(self, fn, c, h: int) -> Column:
         """Aggregate over the next h rows, null unless all of them exist."""

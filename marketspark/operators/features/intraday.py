@@ -46,10 +46,19 @@ def trend(s: Pieces, form: str = "batch") -> Pieces:
     return s.stage(ema_trend_slope=s.diff("ema_trend", 5))
 
 
-def vwap(s: Pieces, form: str = "batch") -> Pieces:
+def running_totals(s: Pieces, form: str = "batch") -> Pieces:
+    """On-balance volume and the sums behind the cumulative VWAP.  They come first in a build: their
+    summary pass then reads raw bars only."""
+    step = F.signum("_delta") * F.col("volume")
     s.stage(_tpv=F.col("_tp") * F.col("volume"))
+    sums = {"_obv": ("sum", F.coalesce(step, F.lit(0.0)) if form == "fast" else step)}
+    if form == "batch":
+        sums |= {"_cv": ("sum", F.col("volume").cast("double")), "_ctpv": ("sum", F.col("_tpv"))}
+    return s.expanding(**sums)
+
+
+def vwap(s: Pieces, form: str = "batch") -> Pieces:
     if form == "batch":
-        s.expanding(_cv=("sum", F.col("volume").cast("double")), _ctpv=("sum", F.col("_tpv")))
         s.stage(vwap=ratio("_ctpv", "_cv"))
     std = s.std0 if form == "fast" else s.std
     s.stage(**{f"vwap_{k}": (guarded if form == "live" else ratio)(s.sum("_tpv", k), s.sum("volume", k)) for k in (10, 20)},
@@ -143,8 +152,9 @@ def benchmark_relation(s: Pieces, own: str | None = None) -> Pieces:
 def volatility(s: Pieces, form: str = "batch") -> Pieces:
     fast = form == "fast"
     std = s.std0 if fast else s.std
+    vol = s.std0 if fast else s.vol
     s.stage(_r=F.coalesce("_ret", F.lit(0.0)) if fast else F.col("_ret"))
-    s.stage(**{f"volatility_{k}": std("_r", k) for k in (10, 20, 50)},
+    s.stage(**{f"volatility_{k}": vol("_r", k) for k in (10, 20, 50)},
             atr_14=s.ewm("_tr", 14, adjust=False) if fast else s.mean("_tr", 14),
             _mid=s.mean("close", 20), _sd=std("close", 20))
     s.stage(bb_upper=F.col("_mid") + 2 * F.col("_sd"), bb_lower=F.col("_mid") - 2 * F.col("_sd"),
@@ -202,8 +212,6 @@ def momentum(s: Pieces, form: str = "batch") -> Pieces:
 def volume(s: Pieces, form: str = "batch") -> Pieces:
     s.stage(_s10=s.mean("volume", 10), _s20=s.mean("volume", 20), _ptp=s.lag("_tp"))
     s.stage(volume_ratio=guarded("volume", "_s20"), volume_trend=guarded("_s10", "_s20") - 1)
-    step = F.signum("_delta") * F.col("volume")
-    s.expanding(_obv=("sum", F.coalesce(step, F.lit(0.0)) if form == "fast" else step))
     mean = s.mean("_obv", 10)
     if form == "fast":
         # differences of the series preceded by ten zeros
@@ -235,7 +243,7 @@ LIVE_FEATURES = [
 
 def intraday_features(bars: DataFrame, form: str = "batch", own: str | None = None, rows: int | None = None) -> DataFrame:
     """All intraday columns; derivative inputs are used when the table carries them."""
-    s = begin(bars, rows=rows)
+    s = running_totals(begin(bars, rows=rows), form)
     trend(s, form)
     vwap(s, form)
     funding(s, form)

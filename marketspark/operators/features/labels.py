@@ -50,7 +50,7 @@ def risk_score(bars: DataFrame, horizon: int = 12, stop: float = 0.02, rows: int
     s.stage(
         mae_long=ratio(F.col("close") - s.ahead(F.min, "low", horizon), "close"),
         mae_short=ratio(s.ahead(F.max, "high", horizon) - F.col("close"), "close"),
-        _now=s.std("_ret", 20),
+        _now=s.vol("_ret", 20),
         _next=s.ahead(F.stddev_samp, "_ret", horizon),
     )
     s.stage(

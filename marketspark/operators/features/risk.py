@@ -18,7 +18,7 @@ def _root252() -> Column:
 
 
 def compact(s: Pieces, live: bool = False) -> Pieces:
-    s.stage(**{f"volatility_{k}": s.std("_ret", k) for k in (5, 10, 20, 50)},
+    s.stage(**{f"volatility_{k}": s.vol("_ret", k) for k in (5, 10, 20, 50)},
             atr_14=s.mean("_tr", 14), atr_50=s.mean("_tr", 50), _v20=s.mean("volume", 20), _v50=s.mean("volume", 50),
             _s20=s.mean("close", 20), _s50=s.mean("close", 50), _r20=s.pct("close", 20), _peak=s.max("close", 50),
             _rsi=rsi(s, 14, live), _l1=s.lag("_ret"))
@@ -109,7 +109,7 @@ LIVE_FEATURES = [
 
 
 def volatility_regime(s: Pieces, windows=(5, 10, 20, 50, 100)) -> Pieces:
-    s.stage(**{f"volatility_{k}": s.std("_ret", k) for k in windows}, atr_14=s.mean("_tr", 14), atr_50=s.mean("_tr", 50))
+    s.stage(**{f"volatility_{k}": s.vol("_ret", k) for k in windows}, atr_14=s.mean("_tr", 14), atr_50=s.mean("_tr", 50))
     s.stage(
         **{f"vol_ratio_{a}_{b}": guarded(f"volatility_{a}", f"volatility_{b}") for a, b in ((5, 20), (10, 50), (20, 100))},
         vol_zscore=s.zscore("volatility_20", 100), vol_change=s.pct("volatility_5"), vol_momentum=s.diff("volatility_5", 5),
@@ -120,10 +120,11 @@ def volatility_regime(s: Pieces, windows=(5, 10, 20, 50, 100)) -> Pieces:
 
 
 def tail_risk(s: Pieces) -> Pieces:
+    s.moments("_ret", 20, 50, 100)
     s.stage(**{f"kurtosis_{k}": s.kurt("_ret", k) for k in (20, 50, 100)},
             **{f"skewness_{k}": s.skew("_ret", k) for k in (20, 50, 100)},
             **{f"_pk{k}": s.max("close", k) for k in (20, 50, 100)},
-            _sd50=s.std("_ret", 50), var_95_50=s.quantile("_ret", 0.05, 50), var_99_50=s.quantile("_ret", 0.01, 50),
+            _sd50=s.vol("_ret", 50), var_95_50=s.quantile("_ret", 0.05, 50), var_99_50=s.quantile("_ret", 0.01, 50),
             _w50=s.full("_ret", 50, F.collect_list("_ret").over(s.back(50))))
     s.stage(extreme_positive=s.hits(F.col("_ret") > F.col("_sd50") * 2.5, 20),
             extreme_negative=s.hits(F.col("_ret") < -F.col("_sd50") * 2.5, 20),
@@ -176,7 +177,7 @@ def correlation(s: Pieces) -> Pieces:
 
 def degradation(s: Pieces) -> Pieces:
     up = F.col("_ret") > 0
-    s.stage(**{f"sharpe_{k}": guarded(s.mean("_ret", k), s.std("_ret", k)) * _root252() for k in (20, 50, 100)},
+    s.stage(**{f"sharpe_{k}": guarded(s.mean("_ret", k), s.vol("_ret", k)) * _root252() for k in (20, 50, 100)},
             _z100=s.zscore("_ret", 100), hit_rate_20=s.hit_rate(up, 20), hit_rate_50=s.hit_rate(up, 50))
     return s.stage(sharpe_degradation=F.col("sharpe_20") - F.col("sharpe_100"), ir_stability=s.std("sharpe_20", 20),
                    regime_break_indicator=s.hits(F.abs("_z100") > 3, 10),
@@ -220,8 +221,8 @@ def model_predictions(s: Pieces) -> Pieces:
 
 
 PARTS = {
-    "volatility": volatility_regime, "tail": tail_risk, "liquidity": liquidity, "regime": regime,
-    "correlation": correlation, "degradation": degradation, "drawdown": drawdown, "derivatives": derivatives,
+    "drawdown": drawdown, "volatility": volatility_regime, "tail": tail_risk, "liquidity": liquidity, "regime": regime,
+    "correlation": correlation, "degradation": degradation, "derivatives": derivatives,
     "model": model_predictions,
 }
 
@@ -240,8 +241,9 @@ def lazy_features(bars: DataFrame, rows: int | None = None) -> DataFrame:
     """Realized volatility, population skew, drawdown share and rolling 5 % quantile."""
     s = begin(bars, rows=rows)
     s.expanding(_peak=("max", F.col("close")))
+    s.moments("_ret", 20)
     return s.stage(
-        realized_vol_20=s.std("_ret", 20) * _root252(), realized_vol_60=s.std("_ret", 60) * _root252(),
+        realized_vol_20=s.vol("_ret", 20) * _root252(), realized_vol_60=s.vol("_ret", 60) * _root252(),
         skewness_20=s.skew("_ret", 20, bias=True),
         drawdown=guarded(F.col("_peak") - F.col("close"), "_peak"),
         rolling_var_95=s.quantile("_ret", 0.05, 60),

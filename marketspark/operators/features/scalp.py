@@ -20,7 +20,7 @@ def rsi_set(s: Pieces, live: bool = False) -> Pieces:
 
 
 def micro_volatility(s: Pieces) -> Pieces:
-    s.stage(**{f"micro_vol_{k}": s.std("_lr", k) for k in (3, 5, 10)},
+    s.stage(**{f"micro_vol_{k}": s.vol("_lr", k) for k in (3, 5, 10)},
             **{f"atr_{k}": s.mean("_tr", k) for k in (5, 10)})
     return s.stage(
         vol_ratio_3_10=guarded("micro_vol_3", "micro_vol_10"),

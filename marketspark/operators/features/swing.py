@@ -80,7 +80,7 @@ def macro_volatility(s: Pieces, n, live: bool = False) -> Pieces:
     else:
         k = {20: _least(20, m * 2), 50: _least(50, m * 4), 100: _least(100, m * 8)}
         k_med, k14, k50, k_dd = (_least(100, _part(n, 3)), _least(14, _part(n, 5)), _least(50, _part(n, 3)), _least(50, _part(n, 3)))
-    s.stage(**{f"volatility_{w}": s.std("_ret", x) for w, x in k.items()},
+    s.stage(**{f"volatility_{w}": s.std("_ret", x) if isinstance(x, Column) else s.vol("_ret", x) for w, x in k.items()},
             atr_14=s.mean("_tr", k14), atr_50=s.mean("_tr", k50), _peak=s.max("close", k_dd),
             _mid=s.mean("close", 20), _sd=s.std("close", 20))
     s.stage(_med=s.median("volatility_50", k_med))
@@ -127,13 +127,18 @@ def support_resistance(s: Pieces, n, live: bool = False) -> Pieces:
     )
 
 
+def accumulation(s: Pieces) -> Pieces:
+    """Money-flow volume and its running line.  Running values come first in a build: their summary
+    pass then reads raw bars only."""
+    h, lo, c = F.col("high"), F.col("low"), F.col("close")
+    s.stage(_mf=guarded((c - lo) - (h - c), h - lo) * F.col("volume"))
+    return s.expanding(ad_line=("sum", F.col("_mf")))
+
+
 def volume(s: Pieces, n) -> Pieces:
     m = _most(5, _part(n, 10))
     k10, k20, k50 = _least(10, m), _least(20, m * 2), _least(50, m * 4)
-    h, lo, c = F.col("high"), F.col("low"), F.col("close")
-    s.stage(_v10=s.mean("volume", k10), _v50=s.mean("volume", k50),
-            _mf=guarded((c - lo) - (h - c), h - lo) * F.col("volume"))
-    s.expanding(ad_line=("sum", F.col("_mf")))
+    s.stage(_v10=s.mean("volume", k10), _v50=s.mean("volume", k50))
     return s.stage(volume_ratio=guarded("_v10", "_v50"), volume_trend=s.pct("_v10", k10), ad_slope=s.pct("ad_line", k20),
                    cmf=guarded(s.sum("_mf", k20), s.sum("volume", k20)))
 
@@ -192,7 +197,7 @@ def derivatives(s: Pieces, n) -> Pieces:
 
 
 def _build(bars: DataFrame, n, live: bool, rows: int | None) -> DataFrame:
-    s = begin(bars, rows=rows)
+    s = accumulation(begin(bars, rows=rows))
     moving_averages(s, n, live)
     regime(s, n, live)
     macro_volatility(s, n, live)

@@ -18,6 +18,8 @@ def technical_features(bars: DataFrame, rows: int | None = None) -> DataFrame:
     """
     s = begin(bars, rows=rows, halo=8192, block=4096)
     c = F.col("close")
+    s.expanding(obv=("sum", F.signum("_delta") * F.col("volume")))
+    s.moments("_ret", 10, 20, 50, 100)
     s.stage(**{f"_p{k}": s.lag("close", k) for k in PERIODS})
     s.stage(
         **{f"sma_{k}": s.mean("close", k) for k in PERIODS},
@@ -36,7 +38,6 @@ def technical_features(bars: DataFrame, rows: int | None = None) -> DataFrame:
         **{f"volume_lag_{k}": s.lag("volume", k) for k in (1, 2, 3, 5, 10)},
     )
     decayed_averages(s)
-    s.expanding(obv=("sum", F.signum("_delta") * F.col("volume")))
     band = lambda k, m, sign: F.col(f"sma_{k}") + sign * m * F.col(f"std_{k}")
     s.stage(
         **{f"bb_upper_{k}_{m}".replace(".", "_"): band(k, m, 1) for k in (10, 20, 50) for m in (1.5, 2.0, 2.5, 3.0)},
@@ -104,7 +105,7 @@ def base_features(bars: DataFrame, rows: int | None = None) -> DataFrame:
     s.stage(
         **{f"return_{k}": s.pct("close", k) for k in (1, 3, 5, 10, 20)}, log_return=F.col("_lr"),
         **{f"rsi_{k}": rsi(s, k) for k in (7, 14, 21)},
-        **{f"volatility_{k}": s.std("_lr", k) for k in (10, 20)},
+        **{f"volatility_{k}": s.vol("_lr", k) for k in (10, 20)},
         **{f"volume_ratio_{k}": guarded("volume", s.mean("volume", k)) for k in (10, 20)},
         **{f"_s{k}": s.mean("close", k) for k in (10, 20, 50)},
         _e12=s.ewm("close", 12), _e26=s.ewm("close", 26), atr=s.mean("_tr", 14), _sd=s.std("close", 20),

@@ -17,7 +17,7 @@ def latest_market(bars: DataFrame, rows: int | None = None) -> DataFrame:
     """Latest row per symbol with close, 20-bar and 100-bar volatility of returns."""
     s = Pieces(bars, halo=128, rows=rows)
     s.stage(_ret=s.pct("close"))
-    s.stage(volatility=s.std("_ret", 20), avg_volatility=s.std("_ret", 100))
+    s.stage(volatility=s.vol("_ret", 20), avg_volatility=s.vol("_ret", 100))
     out = s.close().groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "volatility", "avg_volatility"), "pos").alias("r"))
     return out.select("symbol", "r.ts", c("r.close").alias("price"), "r.volatility", "r.avg_volatility")
 
@@ -29,7 +29,7 @@ def momentum_outputs(bars: DataFrame, rows: int | None = None) -> dict[str, Data
     """
     s = Pieces(bars, halo=256, rows=rows)
     s.stage(_ret=s.pct("close"))
-    s.stage(_sd=s.std("_ret", 50), **{f"_m{k}": s.pct("close", k) for k in (3, 10, 50)})
+    s.stage(_sd=s.vol("_ret", 50), **{f"_m{k}": s.pct("close", k) for k in (3, 10, 50)})
     s.stage(**{f"z{k}": F.try_divide(c(f"_m{k}"), c("_sd")) for k in (3, 10, 50)})
     last = materialize(s.close().groupBy("symbol").agg(F.max_by(F.struct("z3", "z10", "z50"), "pos").alias("r")), "momentum")
     out = {}
