@@ -34,7 +34,7 @@ def momentum_outputs(bars: DataFrame, rows: int | None = None) -> dict[str, Data
     last = materialize(s.close().groupBy("symbol").agg(F.max_by(F.struct("z3", "z10", "z50"), "pos").alias("r")), "momentum")
     out = {}
     for name, k in (("scalp", 3), ("intraday", 10), ("swing", 50)):
-        up = 0.9 / (1 + F.exp(-c(f"r.z{k}") / k))
+        up = 0.9 / (1 + F.exp(-c(f"r.z{k}") / k**0.5))
         d = last.select("symbol", up.alias("P_up"), F.lit(0.1).alias("P_flat"), (0.9 - up).alias("P_down"))
         out[name] = d.withColumn("expected_return", c("P_up") - c("P_down")).select("symbol", "P_up", "P_flat", "P_down", "expected_return").filter("P_up is not null")
     return out
