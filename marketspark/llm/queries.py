@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import curriculum, exact, ngram_join, sharding
+from . import curriculum, exact, ngram_join, sharding, substrings
 from .tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,8 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(documents(spark, sf_dir))
+
+
+@query("op3_super_kmer_dedup")
+def super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.strip(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
