@@ -80,16 +80,21 @@ def minimiser_runs(seeds: np.ndarray, fits: np.ndarray, width: int) -> tuple[np.
     return first[at], np.diff(np.append(at, len(first))), place[at]
 
 
-def segments(spark) -> int:
-    """Parts into which seeds are dealt: a power of two that grows with the shuffle width."""
-    return min(MOST_BITS // PAGE, 1 << (4 * shuffle_width(spark) - 1).bit_length())
+def buckets(spark) -> int:
+    """Buckets of strings: many more than tasks, so that one bucket, which a task holds at a time, stays small at any size."""
+    return 16 * shuffle_width(spark)
+
+
+def bucket_of(seeds: np.ndarray, count: int) -> np.ndarray:
+    return ((seeds >> U(20)) % U(count)).astype(np.int64)
 
 
 def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Broadcast:
     """Bitmap of the seeds that the corpus holds at least twice. Blocks send each seed once or twice, packed by segment."""
     spark = df.sparkSession
-    parts = segments(spark)
-    per = U(MOST_BITS // parts)
+    segments = min(MOST_BITS // PAGE, 1 << (4 * shuffle_width(spark) - 1).bit_length())
+    subs = max(1, 4 * shuffle_width(spark) // segments)  # a segment of the bitmap is counted in so many parts
+    per, parts = U(MOST_BITS // segments), segments * subs
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,7 +106,7 @@ def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray,
                     got.append(seeds_of(data[at[i]:at[j]], at[i:j + 1] - at[i]))
                 found, times = np.unique(np.concatenate(got), return_counts=True)
                 found = np.concatenate((found, found[times > 1]))
-                part = ((found & U(MOST_BITS - 1)) // per).astype(np.int64)
+                part = (((found & U(MOST_BITS - 1)) // per) * U(subs) + (found >> U(40)) % U(subs)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 found, ends = found[order], np.cumsum(np.bincount(part, minlength=parts))
                 full = np.flatnonzero(np.diff(np.append(0, ends)))
@@ -110,13 +115,13 @@ def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray,
 
     def pages(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         seeds = np.sort(np.frombuffer(b"".join(held), U))
-        bit = np.unique((seeds[1:][seeds[1:] == seeds[:-1]] & U(MOST_BITS - 1)).astype(np.int64)) - int(part) * int(per)
+        bit = np.unique((seeds[1:][seeds[1:] == seeds[:-1]] & U(MOST_BITS - 1)).astype(np.int64)) - int(part) // subs * int(per)
         bits = np.zeros(int(per), np.uint8)
         bits[bit] = 1
         packed = np.packbits(bits, bitorder="little").reshape(-1, PAGE // 8)
         some = np.flatnonzero(packed.any(1))
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some + int(part) * len(packed) + 1, pa.int64()), pa.array([packed[k].tobytes() for k in some], pa.binary())], ["page", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(some + int(part) // subs * len(packed) + 1, pa.int64()), pa.array([packed[k].tobytes() for k in some], pa.binary())], ["page", "held"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
@@ -132,6 +137,7 @@ def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray,
 
     sent = df.select(F.col(text_col).cast("string")).mapInArrow(gather, "part int, held binary")
     found = sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "page long, held binary")
+    found = found.groupBy("page").agg(F.bitmap_or_agg("held").alias("held"))
     return spark.sparkContext.broadcast(collect_bitmap(found, MOST_BITS))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minimisers import BLOCK, Prefix, finish, in_bitmap, minimiser_runs, repeated_seeds, segments
+from .minimisers import BLOCK, Prefix, bucket_of, buckets, finish, in_bitmap, minimiser_runs, repeated_seeds
 from .tables import stored
 from .textblocks import BYTE, U, binary, blocks, lists, mix, span_hash, spread, text_bytes, windows, words
 
@@ -63,7 +63,7 @@ def _merged(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, n: np.ndarray)
 def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> DataFrame:
     """(id, uid, start, n): runs of windows whose words also start in a document with a smaller id."""
     twice = repeated_seeds(df, text_col, lambda data, at: _strings(data, at, window, seed)[-1])
-    parts = segments(df.sparkSession)
+    parts = buckets(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(text).alias("uid"), text.alias("text"))
 
@@ -87,9 +87,9 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
                 if copy.any():
                     merged = _merged(doc[copy], uid[copy], begin[copy], count[copy])
                     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(seed_hash[0] & U(parts - 1))], pa.int32()), *map(one, merged), pa.array([None], pa.binary())], ["part", "id", "uid", "start", "n", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket_of(seed_hash[:1], parts), pa.int32()), *map(one, merged), pa.array([None], pa.binary())], ["part", "id", "uid", "start", "n", "held"])
                 send = np.flatnonzero(~copy)
-                part = (seed_hash[send] & U(parts - 1)).astype(np.int64)
+                part = bucket_of(seed_hash[send], parts)
                 send = send[np.argsort(part, kind="stable")]
                 part = np.sort(part, kind="stable")
                 # the strings, words joined by one space and strings ended by a line feed
@@ -126,7 +126,7 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
         if len(gone):
             yield pa.RecordBatch.from_arrays(_merged(doc[owner[gone]], uid[owner[gone]], at[gone], np.ones(len(gone), np.int64)), ["id", "uid", "start", "n"])
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, uids, starts, texts = None, [], [], [], []
         for b in batches:
             for i in range(b.num_rows):
@@ -147,7 +147,7 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
             yield from judge(ids, uids, starts, texts)
 
     sent = docs.mapInArrow(pack, "part int, id array<long>, uid array<long>, start array<long>, n array<long>, held binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(buckets, "id long, uid long, start long, n long")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(settle, "id long, uid long, start long, n long")
 
 
 def covered(rows: int, base: np.ndarray, spans: pa.Array, width: int, total: int) -> np.ndarray:
