@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, exact, ngram_join, packing, sharding, substrings, suffixes
+from . import curriculum, exact, ngram_join, packing, sharding, spots, substrings, suffixes
 from .tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_curve_packing")
 def curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op5_spot_fingerprints")
+def spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprints(documents(spark, sf_dir))
