@@ -1,6 +1,7 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
-Documents with the same shingle set are one row of the matrix. A pair can only reach the threshold when it shares one of
+Documents with the same shingle set are one row of the matrix. A row of which too few shingles occur in any other row is
+discarded by its size-derived bound before anything is sent (a bounded bitmap tells repeated shingles). A pair can only reach the threshold when it shares one of
 the first n - ceil(t n) + 1 shingles of both rows in any common order; rare shingles come first, so the columns of the
 product stay short. All rows of a column meet in the block of its hub (the row with the smallest id in the column), so the
 blocks hold every candidate pair, and a group of copies lies in few blocks. Inside a block, rows and columns that cannot
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .minimisers import repeated_seeds
 from .tables import bits_for, bitmap_of, checkpointed, in_bitmap, stored
 from .textblocks import BYTE_LOWER, STEP, U, binary, blocks, lists, mix, span_hash, spread, text_bytes, windows, words
 
@@ -41,7 +43,7 @@ MOST_FREQUENT = 1 << 18
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, shingle hash) of a block, by row and then by the hash's leading bits."""
+    """Distinct (row, shingle hash) of a block, by row and then by hash."""
     start, end, row = words(data, at)
     h = span_hash(data, start, end, BYTE_LOWER)
     first, grams = windows(h, row, n)
@@ -56,6 +58,8 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarr
                 total = total * STEP + h[begin[short] + i]
             owner, grams = np.concatenate((owner, short)), np.concatenate((grams, mix(total + U(k))))
     order = np.argsort((owner.astype(U) << U(40)) | (grams >> U(24)))
+    if np.any((owner[order][1:] == owner[order][:-1]) & (grams[order][1:] >> U(24) == grams[order][:-1] >> U(24)) & (grams[order][1:] < grams[order][:-1])):
+        order = np.lexsort((grams, owner))
     owner, grams = owner[order], grams[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])
@@ -76,14 +80,44 @@ def _identity(owner: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray,
     return size, mix(sums[ends] - sums[ends - size] + size.astype(U))
 
 
-def _frequent(df: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Hashes of the frequent shingles, most frequent last: counts over all documents, only the bounded top is collected."""
+def _half(owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mask of the half of each row's shingles with the smallest hashes."""
+    return np.arange(len(owner)) - (np.cumsum(size) - size)[owner] < (size[owner] + 1) // 2
+
+
+def _may_link(owner: np.ndarray, g: np.ndarray, size: np.ndarray, repeated: np.ndarray, jaccard) -> np.ndarray:
+    """Rows that the size-derived bound leaves. Rows x and y that link share at least t max(|x|, |y|) shingles, and at most
+    (1 - t) of either's are missing in the other; so among x's smaller half (|x| / 2 of them, or fewer if y's half ends
+    earlier) at least (t - 1/2) |x| occur in another set's smaller half too, and are in the bitmap of repeated shingles."""
+    a, b = jaccard
+    some = np.flatnonzero(_half(owner, size))
+    shared = np.bincount(owner[some[in_bitmap(repeated, g[some])]], minlength=len(size))
+    return (size > 0) & (2 * b * shared >= (2 * a - b) * size)
+
+
+def _repeated(df: DataFrame, text_col: str, n: int):
+    """Bitmap of the shingles in the smaller half of two different sets or more."""
+
+    def halves(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        owner, g = shingles(data, at, n)
+        size, sid = _identity(owner, g, len(at) - 1)
+        once = np.zeros(len(size), bool)
+        once[np.unique(sid, return_index=True)[1]] = True
+        return g[_half(owner, size) & once[owner]]
+
+    return repeated_seeds(df, text_col, halves)
+
+
+def _frequent(df: DataFrame, text_col: str, n: int, jaccard, repeated) -> np.ndarray:
+    """Hashes of the frequent shingles of the rows that are left, most frequent last: only the bounded top is collected."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = text_bytes(b.column(0))
             for lo, hi in blocks(at):
-                _, g = shingles(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], n)
+                owner, g = shingles(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], n)
+                size, _ = _identity(owner, g, hi - lo)
+                g = g[_may_link(owner, g, size, repeated.value, jaccard)[owner]]
                 found, times = np.unique(g, return_counts=True)
                 often = times > 2
                 yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often], pa.int64())], ["g", "n"])
@@ -93,8 +127,8 @@ def _frequent(df: DataFrame, text_col: str, n: int) -> np.ndarray:
     return top.column(0).to_numpy()[::-1].astype(np.int64).view(U)
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str, n: int, jaccard, frequent) -> DataFrame:
-    """id, sid (hash of the set), n, and the set's prefix: rare shingles, and frequent ones by rank."""
+def _rows(df: DataFrame, id_col: str, text_col: str, n: int, jaccard, repeated, frequent) -> DataFrame:
+    """id, sid (hash of the set), n, and, for the rows that are left, the set's prefix: rare shingles, and frequent ones by rank."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_hash = np.argsort(frequent.value)
@@ -116,7 +150,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str, n: int, jaccard, frequent)
                     hit = known[where] == g[maybe]
                     rank[maybe[hit]] = by_hash[where[hit]]
                 fresh = np.array([x not in seen and not seen.add(x) for x in sid.tolist()], bool)
-                want = np.where((size > 0) & fresh, size - least_overlap(size, jaccard) + 1, 0)
+                want = np.where(_may_link(owner, g, size, repeated.value, jaccard) & fresh, size - least_overlap(size, jaccard) + 1, 0)
                 rare = rank < 0
                 r_owner, r_g = owner[rare], g[rare]
                 r_count = np.bincount(r_owner, minlength=rows)
@@ -267,8 +301,9 @@ def _sets_of(df: DataFrame, id_col: str, text_col: str, n: int, wanted) -> DataF
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, jaccard=JACCARD,
             block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links) of every row of ``df``."""
-    frequent = df.sparkSession.sparkContext.broadcast(_frequent(df, text_col, n))
-    table = stored(_rows(df, id_col, text_col, n, jaccard, frequent), "join-rows")
+    repeated = _repeated(df, text_col, n)
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(df, text_col, n, jaccard, repeated))
+    table = stored(_rows(df, id_col, text_col, n, jaccard, repeated, frequent), "join-rows")
     some = table.filter("n > 0 AND id IS NOT NULL")
     reps = some.groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     # rare columns meet by sorting; a frequent column has its hub from one partial minimum, and no rows are gathered for it
