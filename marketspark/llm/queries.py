@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, exact, ngram_join, packing, sharding, spots, substrings, suffixes
+from . import curriculum, exact, language, ngram_join, packing, quality, sharding, spots, substrings, suffixes
 from .tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,13 @@ def curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_spot_fingerprints")
 def spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.fingerprints(documents(spark, sf_dir))
+
+
+@query("op2_language_ftrl")
+def language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+@query("op6_quality_nbsvm")
+def quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
