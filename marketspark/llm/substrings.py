@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def covered(rows: int, base: np.ndarray, spans: pa.Array, width: int, total: int
     step = np.zeros(total + 1, np.int64)
     flat = spans.flatten()
     if len(flat):
-        count = np.diff(spans.offsets.to_numpy()) if not spans.null_count else np.array([len(x) if x is not None else 0 for x in spans.to_pylist()])
+        count = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
         first = np.repeat(base[:rows], count) + np.asarray(flat.field("start"))
         np.add.at(step, first, 1)
         np.add.at(step, np.minimum(first + np.asarray(flat.field("n")) + width - 1, total), -1)

@@ -18,13 +18,17 @@ from marketspark.session import shared_folder
 
 #: Bits of the largest bitmap that is broadcast: 16 MB, whatever the input. A full bitmap lets more rows through; results stay the same.
 MOST_BITS = 1 << 27
+#: Bytes of one Arrow batch, so that batches of long texts stay small in every task.
+ARROW_BYTES = 8 << 20
 #: Bits that one value of bitmap_construct_agg holds (a fixed value of Spark).
 PAGE = 32768
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package's source to the executors once, for clusters where it is not installed."""
+    """Bounds the session's Arrow batches and sends this package's source to the executors once, for clusters where it is
+    not installed."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if getattr(sc, "_shipped_marketspark", False):
         return spark
     import marketspark

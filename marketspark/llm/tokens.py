@@ -70,11 +70,10 @@ class Encoder:
         if len(stop) != len(pieces):
             raise ValueError("a piece did not end in one end-of-word token")
         begin = np.concatenate(([0], stop[:-1])).astype(np.int64)
-        keys = np.concatenate((self.known, hashes))
-        by = np.argsort(keys)
-        self.known = keys[by]
-        self.at = np.concatenate((self.at, begin + len(self.ids)))[by]
-        self.count = np.concatenate((self.count, stop - begin))[by]
+        into = np.searchsorted(self.known, hashes)  # both ascend
+        self.known = np.insert(self.known, into, hashes)
+        self.at = np.insert(self.at, into, begin + len(self.ids))
+        self.count = np.insert(self.count, into, stop - begin)
         self.ids = np.concatenate((self.ids, flat))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
