@@ -4,29 +4,54 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import curriculum, exact
+from marketspark.llm import curriculum, exact, language, ngram_join, packing
 from marketspark.llm.tables import documents, ship
 from marketspark.session import shared_folder
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays open, go."""
+    return language.keep_known(docs, language.train(docs))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with the same text the one with the largest id stays."""
-    ship(spark)
     return exact.deduplicate(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that link by their shingles the one with the smallest id stays."""
+    return ngram_join.deduplicate(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every visit that the curriculum asks for, in training order."""
-    ship(spark)
+    """A row for every visit that the curriculum asks for, in training order; a document may come up to three times."""
     return curriculum.training_order(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2,048 ids, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", known_language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("packing", pack)]
+#: A trained model and a tokenizer are no SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
+def _shipped(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in STAGES]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:

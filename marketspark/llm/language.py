@@ -29,6 +29,8 @@ ALPHA, BETA, L1, L2, PASSES, SCALE = 0.3, 1.0, 0.05, 0.01, 2, 10.0
 GAP = 32
 NAMED = 0x3000
 UNKNOWN = "und"
+#: Score under which a filter rejects a text.
+LEAST_SCORE = 0.3
 
 
 def _letter(c: int) -> int:
@@ -180,44 +182,59 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return {"classes": list(classes), "weights": np.ascontiguousarray((w[:-1] * idf[:, None] * SCALE).T), "bias": w[-1], "temperature": t}
 
 
+def told(data: np.ndarray, at: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Language (an object array of strings) and score of each text of a block."""
+    points, bounds = letters(data, at)
+    rows, names = len(at) - 1, np.array([*m["classes"], UNKNOWN], object)
+    if not m["classes"]:
+        return names[np.zeros(rows, int)], np.zeros(rows)
+    some = np.concatenate(([0], np.cumsum(points != GAP)))
+    known = some[bounds[1:]] > some[bounds[:-1]]
+    total, number = np.zeros((len(m["classes"]), rows)), np.zeros(rows)
+    for k in ORDERS:
+        bucket = grams(points, k).astype(np.int64)
+        ends = np.maximum(bounds[:-1], bounds[1:] - k + 1)
+        number += ends - bounds[:-1]
+        for c in range(len(total)):
+            sums = np.concatenate(([0.0], np.cumsum(m["weights"][c][bucket])))
+            total[c] += sums[ends] - sums[bounds[:-1]]
+    s = (total / np.maximum(1, number) + m["bias"][:, None]) / m["temperature"]
+    p = np.exp(s - s.max(0))
+    p /= p.sum(0)
+    return names[np.where(known, p.argmax(0), len(names) - 1)], np.where(known, np.clip(p.max(0), 0, 1), 0.0)
+
+
 def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score of each row; only the text is looked at."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        names = np.array([*m["classes"], UNKNOWN], object)
         for b in batches:
             data, at = text_bytes(b.column(1))
             for lo, hi in blocks(at, 1 << 20):
-                points, bounds = letters(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
-                rows = hi - lo
-                some = np.concatenate(([0], np.cumsum(points != GAP)))
-                known = some[bounds[1:]] > some[bounds[:-1]]
-                total = np.zeros((len(m["classes"]), rows))
-                number = np.zeros(rows)
-                for k in ORDERS:
-                    bucket = grams(points, k).astype(np.int64)
-                    ends = np.maximum(bounds[:-1], bounds[1:] - k + 1)
-                    number += ends - bounds[:-1]
-                    for c in range(len(m["classes"])):
-                        sums = np.concatenate(([0.0], np.cumsum(m["weights"][c][bucket])))
-                        total[c] += sums[ends] - sums[bounds[:-1]]
-                if len(total):
-                    s = (total / np.maximum(1, number) + m["bias"][:, None]) / m["temperature"]
-                    p = np.exp(s - s.max(0))
-                    p /= p.sum(0)
-                    best, score = p.argmax(0), p.max(0)
-                else:
-                    best, score, known = np.zeros(rows, int), np.zeros(rows), np.zeros(rows, bool)
-                best, score = np.where(known, best, len(names) - 1), np.where(known, score, 0.0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], ["id", "lang_pred", "score"])
+                names, score = told(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], held.value)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_known(df: DataFrame, model: dict, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``df``, unchanged, whose text has a language with a score of at least ``least``; nothing shuffles."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = text_bytes(b.column(place).cast(pa.string()))
+            for lo, hi in blocks(at, 1 << 20):
+                names, score = told(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], held.value)
+                yield b.slice(lo, hi - lo).filter(pa.array((names != UNKNOWN) & (score >= least)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **params) -> DataFrame:
     """id, held_out, lang_pred, score of each row, by a model trained on the rows that may teach."""
-    told = predict(df, train(df, id_col, text_col, label_col, **params), id_col, text_col)
-    return told.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+    found = predict(df, train(df, id_col, text_col, label_col, **params), id_col, text_col)
+    return found.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .hilbert import hilbert_index
 from .tables import running_positions, stored
-from .textblocks import U, binary, blocks, text_bytes
+from .textblocks import U, binary, blocks, lists, text_bytes
 from .tokens import encoder
 
 LENGTH = 2048
@@ -87,7 +87,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc
             out = [b.column(0).take(pa.array(doc)), pa.array(start), pa.array(size), pa.array([zlib.crc32(p) for p in pieces], pa.int64()),
                    pa.array(n[doc]), pa.array(sequence), pa.array(begin - sequence * length), pa.array(curve[doc])]
             if with_ids:
-                out.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in pieces], pa.list_(pa.int32())))
+                out.append(lists(ids.astype(np.int32), np.concatenate(([0], np.cumsum(size))), pa.int32()))  # pieces follow each other
             yield pa.RecordBatch.from_arrays(out, names)
 
     joined = table.join(placed, F.col("row") == F.col("r")).select("id", "n", "curve", "ids", "at")
