@@ -170,7 +170,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         ready = [(bucket, SCALE * idf[bucket] * times / times.sum(), classes.index(label)) for _, label, bucket, times in rows]
         aside = ready[::5]
         w = follow_the_leader([r for i, r in enumerate(ready) if i % 5], max(1, len(classes)), 1 << BITS)
-        scores = np.array([(v[:, None] * w[b]).sum(0) + w[-1] for b, v, _ in aside]).reshape(len(aside), -1)
+        scores = np.array([(v[:, None] * w[b]).sum(0) + w[-1] for b, v, _ in aside]).reshape(len(aside), w.shape[1])
         t = temperature(scores, np.array([r[2] for r in aside], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([classes], pa.list_(pa.string())), pa.array([w.tobytes()], pa.binary()), pa.array([t])], ["classes", "w", "t"])
 

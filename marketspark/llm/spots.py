@@ -74,7 +74,7 @@ def _ordered_buckets(df: DataFrame, key: str, width: int) -> tuple[DataFrame, Co
     edges = F.array(*(F.lit(c).cast("long") for c in cuts))
     k = F.size(F.filter(edges, lambda c: c <= F.col(key)))
     lo, hi = F.get(edges, k - 1), F.get(edges, k)
-    part = F.coalesce(F.floor((F.col(key) - lo).cast("double") * inner / (hi - lo).cast("double")), F.lit(0))
+    part = F.coalesce(F.floor((F.col(key).cast("double") - lo.cast("double")) * inner / (hi.cast("double") - lo.cast("double"))), F.lit(0))
     return df, (k * inner + F.greatest(F.lit(0), F.least(F.lit(inner - 1), part))).cast("long")
 
 
