@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
@@ -169,27 +169,32 @@ def scaling_leak(df: DataFrame, feature: str, train: Column, keys: Sequence[str]
     return g.withColumns({"mean_shift": ratio(F.abs(c("mean_all") - c("mean_train")), "std_train"), "std_ratio": ratio("std_all", "std_train")})
 
 
-#: Name patterns that assign a feature to a model, in order.
+#: Parts of a name that assign a feature to a model.
 GROUPS: Mapping[str, Sequence[str]] = {
     "scalp": ("log_return", "rsi_", "micro_vol", "volume_ratio", "volume_spike", "atr_", "spread_", "cum_return"),
-    "intraday": ("sma_", "ema_", "macd", "vwap", "bb_", "funding", "oi_", "trend"),
-    "swing": ("regime", "golden", "death", "dominance", "volatility_", "return_", "drawdown"),
-    "risk": ("volatility", "drawdown", "var_", "cvar", "risk", "atr_norm", "skew", "kurt"),
+    "intraday": ("sma_", "ema_", "macd", "bb_", "adx", "obv", "vwap", "regime", "trend"),
+    "swing": ("weekly", "monthly", "long_term", "correlation_btc", "beta", "funding", "open_interest", "sentiment"),
+    "risk": ("volatility", "drawdown", "var_", "cvar", "sharpe", "sortino", "max_dd", "stress"),
 }
+#: Features that a model has at least, and how many it is given when it has fewer.
+FEWEST, GIVEN = 5, 10
 
 
-def assign_features(spark, names: Sequence[str], removed: DataFrame | None = None, minimum: int = 5) -> DataFrame:
-    """``(model, feature)`` by name pattern, pruned by a table of removed names.
+def assign_features(spark, names: Sequence[str], removed: DataFrame | None = None, minimum: int = FEWEST) -> DataFrame:
+    """``(model, feature)`` by name, pruned by a table of removed names.
 
-    A model left with fewer than ``minimum`` features takes all remaining ones.
+    A model with fewer than ``minimum`` features takes more: for scalp those among the first ten of all features that it
+    lacks, for the others the first ten that they lack. The order is that of ``names``.
     """
-    base = spark.createDataFrame([(n,) for n in names], "feature string")
+    base = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "k int, feature string")
     kept = base.join(removed.select("feature").distinct(), "feature", "left_anti") if removed is not None else base
-    models = F.explode(F.array_compact(F.array(*[F.when(c("feature").rlike("|".join(p)), F.lit(m)) for m, p in GROUPS.items()])))
-    hit = kept.select("feature", models.alias("model"))
-    few = spark.createDataFrame([(m,) for m in GROUPS], "model string").join(hit.groupBy("model").count(), "model", "left").filter(F.coalesce("count", F.lit(0)) < minimum).select("model")
-    every = kept.select("feature", F.explode(F.array(*[F.lit(m) for m in GROUPS])).alias("model")).join(few, "model", "left_semi")
-    return hit.unionByName(every.select("feature", "model")).distinct()
+    kept = kept.withColumn("all_k", F.row_number().over(Window.orderBy("k")))  # one row a column name
+    rows = kept.select("feature", "all_k", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.lower("feature").rlike("|".join(p)).alias("hit")) for m, p in GROUPS.items()])).alias("g")).select("feature", "all_k", "g.*")
+    one = Window.partitionBy("model")
+    rows = rows.withColumns({"own": F.count_if("hit").over(one), "lack_k": F.count_if(~c("hit")).over(one.orderBy("all_k"))})
+    more = ~c("hit") & (c("own") < minimum) & F.when(c("model") == "scalp", c("all_k") <= GIVEN).otherwise(c("lack_k") <= GIVEN)
+    return rows.filter(c("hit") | more).select("feature", "model")
 
 
 def missing_columns(df: DataFrame, expected: Sequence[str]) -> DataFrame:

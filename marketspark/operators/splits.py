@@ -84,9 +84,6 @@ def minimum_history(df: DataFrame, rows: int, total: str = "n") -> DataFrame:
     return df.filter(c(total) > rows)
 
 
-def sample_rows(df: DataFrame, cap: int, key: list[str], seed: int = 42) -> DataFrame:
-    """About ``cap`` rows, chosen by a hash of the key, so a rerun keeps the same rows."""
-    n = df.count()
-    if n <= cap:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) < int(1_000_000 * cap / n))
+def sample_rows(df: DataFrame, share: float, key: list[str], seed: int = 42) -> DataFrame:
+    """That share of the rows, chosen by a hash of the key, so a rerun keeps the same rows at any size."""
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) < int(1_000_000 * share))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,54 +34,91 @@ TIME_COLUMNS = ("funding_time", "timestamp", "open_time")
 #: Family name in a file name, then market, symbol and an optional timeframe.
 NAME = r"^(klines|funding_rate|open_interest|long_short_ratio|taker_volume|mark_price|premium_index)_usdt_m_([A-Z0-9]+?)(?:_([0-9]+[mhdw]))?\.csv$"
 
+#: The same inside a path, where the named file may be a folder of parts.
+IN_PATH = NAME.replace("^", "(?:^|/)").replace("$", "(?:/|$)")
+
+NAMED_PART = "/([^/]+[.]csv)(?:/[^/]*)?$"
+
 TICKS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("qty", T.DoubleType()),
     T.StructField("base_qty", T.DoubleType()), T.StructField("time", T.LongType()), T.StructField("is_buyer_maker", T.BooleanType()),
 ])
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text with the names of each file's own header next to every row.
+def _first_line(fs, path) -> str:
+    """The first line of one file; no more of it is read."""
+    jvm = SparkSession.active()._jvm
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
+    """Files that match a pattern, by their header. Like a listing, this reads metadata only: one line of each file.
 
-    Files of one family may lack a column, and a multi-file CSV read binds by position; here the header
-    line of each file is a row of the same scan, joined back on the file.
+    A folder with a matching name counts as a file that was written in parts.
     """
-    raw = spark.read.text(path, recursiveFileLookup=True).select("value", c("_metadata.file_path").alias("path"), c("_metadata.file_name").alias("file"))
-    head = raw.filter(c("value").rlike("^[A-Za-z_]")).select("path", F.split("value", ",").alias("names"))
-    rows = raw.filter(c("value").rlike("^[0-9]")).select("path", "file", F.split("value", ",").alias("cells"))
-    return rows.join(head, "path")
-
-
-def cell(name: str, kind: str, narrow: bool = False) -> Column:
-    """One typed cell by column name; absent columns and unreadable cells are null."""
-    value = F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
-    kind = {"double": "float", "long": "int"}[kind] if narrow and name not in TIME_COLUMNS and name not in ("volume", "quote_volume") else kind
-    return F.when(F.array_contains("names", name), value).try_cast(kind).alias(name)
-
-
-def scan_family(spark: SparkSession, base: str, family: str, narrow: bool = False) -> DataFrame:
-    """One family over all symbols (and timeframes): typed, in UTC, metadata columns dropped."""
-    rows = read_lines(spark, f"{base}/{family}_usdt_m_*.csv")
-    cols = FAMILIES[family]
-    df = rows.select(
-        F.regexp_extract("file", NAME, 2).alias("symbol"), F.regexp_extract("file", NAME, 3).alias("timeframe"),
-        *[cell(n, t, narrow) for n, t in cols.items()])
+    conf, root = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = root.getFileSystem(conf)
+    found = []
+    for status in fs.globStatus(root) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [x.getPath() for x in inside if not x.isDirectory() and x.getLen() > 0 and x.getPath().getName()[0] not in "._"]
+    with ThreadPoolExecutor(16) as pool:
+        lines = list(pool.map(lambda p: _first_line(fs, p), found))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, line in zip(found, lines):
+        names = tuple(x.strip().lstrip("\ufeff") for x in next(csv.reader([line]), []))
+        groups.setdefault(names, []).append(path.toString())
+    return groups
+
+
+def read_by_header(spark: SparkSession, pattern: str, kinds: Mapping[str, str]) -> DataFrame | None:
+    """``path`` and the columns of ``kinds`` by name, from files whose headers may differ; None if there is no file.
+
+    Files with the same header are one CSV scan, so no row is ever joined to its header. Quoted, signed and space-led cells
+    are the reader's business; a column that a file lacks, and a cell that is no number, are null.
+    """
+    parts = []
+    for names, paths in sorted(header_groups(spark, pattern).items()):
+        fields = [f"_{i}" for i in range(len(names))]
+        rows = spark.read.schema(", ".join(f"{f} string" for f in fields)).csv(
+            paths, header=True, enforceSchema=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        place = {n: f for f, n in reversed(list(zip(fields, names)))}
+        parts.append(rows.select(c("_metadata.file_path").alias("path"), *[
+            (c(place[n]) if n in place else F.lit(None).cast("string")).try_cast(k).alias(n) for n, k in kinds.items()]))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def narrowed(kinds: Mapping[str, str]) -> dict[str, str]:
+    """Half-width types, but for times and the two volumes that outgrow them."""
+    wide = (*TIME_COLUMNS, "volume", "quote_volume")
+    return {n: k if n in wide else {"double": "float", "long": "int"}[k] for n, k in kinds.items()}
+
+
+def scan_family(spark: SparkSession, base: str, family: str, narrow: bool = False, symbol: str = "*", timeframe: str = "*") -> DataFrame:
+    """One family over all or some symbols (and timeframes): typed, in UTC, metadata columns dropped.
+
+    Symbol and timeframe are parts of the file name, so other files are not opened.
+    """
+    cols = narrowed(FAMILIES[family]) if narrow else dict(FAMILIES[family])
+    df = read_by_header(spark, f"{base}/{family}_usdt_m_{symbol}{f'_{timeframe}' if family == 'klines' else ''}.csv", cols)
+    if df is None:
+        df = spark.createDataFrame([], ", ".join(["path string", *(f"{n} {k}" for n, k in cols.items())]))
     times = [n for n in TIME_COLUMNS if n in cols]
     prefix = PREFIX.get(family)
     values = [c(n).alias(f"{prefix}_{n}") if prefix else c(n) for n in cols if n not in times]
-    keys = ["symbol", "timeframe"] if family == "klines" else ["symbol"]
-    df = df.select(*keys, F.timestamp_millis(F.coalesce(*times)).alias("ts"), *values).filter("ts is not null")
-    if family == "klines":
-        df = df.withColumn("buy_ratio", guarded("taker_buy_volume", "volume"))
-    return df
+    keys = {"symbol": 2, "timeframe": 3} if family == "klines" else {"symbol": 2}
+    df = df.select(*[F.regexp_extract("path", IN_PATH, i).alias(n) for n, i in keys.items()], F.timestamp_millis(F.coalesce(*times)).alias("ts"), *values)
+    df = df.filter("ts is not null")
+    return df.withColumn("buy_ratio", guarded("taker_buy_volume", "volume")) if family == "klines" else df
 
 
 def scan_klines(spark: SparkSession, base: str, symbol: str | None = None, timeframe: str | None = None, narrow: bool = False) -> DataFrame:
     """Bars of all or one symbol and timeframe."""
-    df = scan_family(spark, base, "klines", narrow)
-    if symbol is not None:
-        df = df.filter(c("symbol") == symbol)
-    return df.filter(c("timeframe") == timeframe) if timeframe is not None else df
+    return scan_family(spark, base, "klines", narrow, symbol or "*", timeframe or "*")
 
 
 def optional_families(spark: SparkSession, base: str, families: Sequence[str] = tuple(f for f in FAMILIES if f != "klines")) -> dict[str, DataFrame]:
@@ -94,9 +134,11 @@ def discover(spark: SparkSession, base: str) -> DataFrame:
 
 
 def files(spark: SparkSession, base: str) -> DataFrame:
-    """Name, size and parsed parts of every file; contents are not read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length", c("_metadata.file_name").alias("file"))
-    return f.select("file", "length", F.regexp_extract("file", NAME, 1).alias("family"), F.regexp_extract("file", NAME, 2).alias("symbol"), F.regexp_extract("file", NAME, 3).alias("timeframe"))
+    """Name, size and parsed parts of every file; contents are not read. The parts of a folder with a file's name are one file."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length")
+    f = f.withColumn("file", F.coalesce(F.nullif(F.regexp_extract("path", NAMED_PART, 1), F.lit("")), F.regexp_extract("path", "([^/]+)$", 1)))
+    f = f.groupBy("file").agg(F.sum("length").alias("length"))
+    return f.select("file", "length", *[F.regexp_extract("file", NAME, i).alias(n) for i, n in ((1, "family"), (2, "symbol"), (3, "timeframe"))])
 
 
 def inventory(spark: SparkSession, base: str) -> DataFrame:
@@ -104,24 +146,37 @@ def inventory(spark: SparkSession, base: str) -> DataFrame:
 
 
 def data_version(names: DataFrame, column: str = "file", chars: int = 12) -> DataFrame:
-    """Version hash: md5 over the sorted md5 of names.
+    """Number of files and a version that changes with their names, whatever their order.
 
-    Names are hashed before they are gathered, 32 characters per file, so the list stays small.
+    The names' md5 halves are added up, so no list of names is gathered; the published form hashes the sorted list.
     """
-    g = names.select(F.md5(column).alias("h")).agg(F.array_sort(F.collect_list("h")).alias("h"), F.count(F.lit(1)).alias("files"))
-    return g.select("files", F.substring(F.md5(F.concat_ws(",", "h")), 1, chars).alias("version"))
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(column), at, 15), 16, 10).cast("decimal(38,0)"))
+    g = names.agg(F.count(F.lit(1)).alias("files"), half(1).alias("a"), half(17).alias("b"))
+    return g.select("files", F.substring(F.md5(F.concat_ws(",", c("files").cast("string"), c("a").cast("string"), c("b").cast("string"))), 1, chars).alias("version"))
 
 
 # ---------------------------------------------------------------- ticks
 
 
+#: Symbol of a tick file: the start of its name up to the first underscore.
+TICK_NAME = r"([^/_]+)_[^/]*\.csv(?:/[^/]*)?$"
+
+
 def scan_ticks(spark: SparkSession, path: str, streaming: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Tick files; the symbol is the file name up to the first underscore."""
-    reader = spark.readStream if streaming else spark.read
-    if streaming and files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    df = reader.schema(TICKS).option("header", "true").csv(path)
-    return df.select(F.split(c("_metadata.file_name"), "_")[0].alias("symbol"), "id", "price", "qty", "base_qty", F.timestamp_millis("time").alias("ts"), "is_buyer_maker")
+    """Tick files of a pattern, columns bound by name; the symbol is the file name up to the first underscore.
+
+    A stream cannot look at files to come: it takes the columns in the order of ``TICKS`` and fails on a file whose header
+    has another.
+    """
+    if streaming:
+        reader = spark.readStream.schema(TICKS).options(header="true", enforceSchema="false", recursiveFileLookup="true")
+        df = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).csv(path)
+        df = df.select(c("_metadata.file_path").alias("path"), *TICKS.names)
+    else:
+        df = read_by_header(spark, path, {f.name: f.dataType.simpleString() for f in TICKS})
+        if df is None:
+            df = spark.createDataFrame([], "path string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TICKS))
+    return df.select(F.regexp_extract("path", TICK_NAME, 1).alias("symbol"), "id", "price", "qty", "base_qty", F.timestamp_millis("time").alias("ts"), "is_buyer_maker")
 
 
 def first_by_id(ticks: DataFrame, keys: Sequence[str] = ("symbol", "id"), order: Sequence[str] = ("ts",)) -> DataFrame:

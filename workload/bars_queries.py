@@ -235,33 +235,29 @@ def stitch(spark, sf):
 # ------------------------------------------------------------------ files
 
 
-def _kline_files(spark, sf):
-    """Hourly bars written as one file per symbol, one file without the last columns."""
+def _write_by_symbol(df, base, name, shapes):
+    """One CSV folder a symbol; ``shapes`` change the columns or the options of single symbols."""
+    symbols = sorted(x["symbol"] for x in df.select("symbol").distinct().collect())  # five event types
+    for i, symbol in enumerate(symbols):
+        one = df.filter(F.col("symbol") == symbol)
+        one, options = shapes[i](one) if i < len(shapes) else (one.drop("symbol"), {})
+        one.write.csv(f"{base}/{name(symbol)}", header=True, **options)
+    return base
+
+
+def _new(spark, kind):
     import uuid
 
-    base = f"{shared_folder(spark)}/klines-{uuid.uuid4().hex}"
-    b = hourly(spark, sf).select(
-        F.unix_millis("ts").alias("timestamp"), "open", "high", "low", "close", "volume", (F.col("volume") * F.col("close")).alias("quote_volume"), F.col("trades_count").alias("trades"),
-        F.col("buy_volume").alias("taker_buy_volume"), F.lit("usdt_m").alias("market_type"), "symbol")
-    names = [x["symbol"] for x in b.select("symbol").distinct().collect()]  # one file name per symbol
-    for i, name in enumerate(sorted(names)):
-        one = b.filter(F.col("symbol") == name).drop("symbol")
-        one = one.drop("quote_volume", "market_type") if i == 0 else one
-        part = f"{base}/part-{i}"
-        one.coalesce(1).write.csv(part, header=True)
-        _rename_single(spark, part, f"{base}/klines_usdt_m_{name.upper()}USDT_1h.csv")
-    return base
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def _rename_single(spark, folder, target):
-    """Move the one part file of a folder to a plain file name."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for st in fs.listStatus(path):
-        if st.getPath().getName().startswith("part-"):
-            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(target))
-    fs.delete(path, True)
+def _kline_files(spark, sf):
+    """Hourly bars as one file a symbol: one without the last columns, one with a text column first and all cells quoted."""
+    b = hourly(spark, sf).select(
+        "symbol", F.unix_millis("ts").alias("timestamp"), "open", "high", "low", "close", "volume", (F.col("volume") * F.col("close")).alias("quote_volume"), F.col("trades_count").alias("trades"),
+        F.col("buy_volume").alias("taker_buy_volume"), F.lit("usdt_m").alias("market_type"))
+    return _write_by_symbol(b, _new(spark, "klines"), lambda x: f"klines_usdt_m_{x.upper()}USDT_1h.csv", [
+        lambda d: (d.drop("symbol", "quote_volume", "market_type"), {}), lambda d: (d, {"quoteAll": True})])
 
 
 @query("scan_klines_drifting_header", "WITH " + HOURLY + f""" SELECT upper(symbol) || 'USDT' AS symbol, '1h' AS timeframe, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')},
@@ -282,12 +278,68 @@ def inventory(spark, sf):
     return files.inventory(spark, _kline_files(spark, sf)).select("family", "files")
 
 
-@query("data_version", """SELECT count(*) AS files, substr(md5(string_agg(h, ',' ORDER BY h)), 1, 12) AS version FROM (SELECT md5(p_name || CAST(p_partkey AS VARCHAR)) AS h FROM part)""")
+@query("data_version", """SELECT n AS files, substr(md5(concat_ws(',', n, a, b)), 1, 12) AS version FROM (
+  SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS a, CAST(sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) AS VARCHAR) AS b
+  FROM (SELECT md5(p_name || CAST(p_partkey AS VARCHAR)) AS h FROM part))""")
 def data_version(spark, sf):
     p = table(spark, sf, "part").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("file"))
     return files.data_version(p)
 
 
+#: Column and value of each side family, all from one number; the last is missing in the first symbol's file.
+SIDE = {
+    "funding_rate": {"funding_rate": "value / 1000 - 0.05", "mark_price": "value * 10"},
+    "open_interest": {"sum_open_interest": "value * 100", "sum_open_interest_value": "value * 1000"},
+    "long_short_ratio": {"long_short_ratio": "value / 10", "long_account": "value / 100", "short_account": "1 - value / 100"},
+    "taker_volume": {"buy_sell_ratio": "value / 7", "buy_vol": "value * 3", "sell_vol": "value * 2"},
+    "mark_price": {"open": "value", "high": "value + 1", "low": "value - 1", "close": "value - 0.5"},
+    "premium_index": {"open": "-value", "high": "1 - value", "low": "-1 - value", "close": "-0.5 - value"},
+}
+
+
+def _side_sql(family):
+    *most, last = SIDE[family]
+    out = {n: f"{files.PREFIX[family]}_{n}" if family in files.PREFIX else n for n in SIDE[family]}
+    values = [r(SIDE[family][n], out[n]) for n in most] + [f"CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN NULL ELSE round({SIDE[family][last]}, 6) + 0.0 END AS {out[last]}"]
+    return f"SELECT upper(event_type) || 'USDT' AS symbol, date_trunc('millisecond', ts) AS ts, {', '.join(values)} FROM events"
+
+
+def _side_files(spark, sf, family):
+    """A file a symbol: one without the last column, one with a text column first and all cells quoted, one turned around."""
+    time = "funding_time" if family == "funding_rate" else "timestamp"
+    e = table(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.unix_millis("ts").alias(time), *[F.expr(x).alias(n) for n, x in SIDE[family].items()])
+    last = list(SIDE[family])[-1]
+    return _write_by_symbol(e, _new(spark, family), lambda x: f"{family}_usdt_m_{x.upper()}USDT.csv", [
+        lambda d: (d.drop("symbol", last), {}), lambda d: (d, {"quoteAll": True}), lambda d: (d.select(*reversed(d.columns)), {})])
+
+
+def _scan_side(family):
+    @query(f"scan_{family}", _side_sql(family))
+    def scan(spark, sf):
+        return rounded(files.scan_family(spark, _side_files(spark, sf, family), family))
+
+
+for _family in SIDE:
+    _scan_side(_family)
+
+
+@query("scan_one_series", "WITH " + HOURLY + f""" SELECT upper(symbol) || 'USDT' AS symbol, ts, CAST(CAST(close AS FLOAT) AS DOUBLE) AS close, {r('volume', 'volume')} FROM bars WHERE symbol = (SELECT max(symbol) FROM bars)""")
+def scan_one(spark, sf):
+    last = hourly(spark, sf).agg(F.max("symbol")).first()[0]
+    df = files.scan_klines(spark, _kline_files(spark, sf), f"{last.upper()}USDT", "1h", narrow=True)
+    return rounded(df.select("symbol", "ts", F.col("close").cast("double").alias("close"), "volume"), only=["volume"])
+
+
+@query("scan_ticks_by_name", f"SELECT event_type AS symbol, event_id AS id, {r('value', 'price')}, date_trunc('millisecond', ts) AS ts, user_id % 2 = 1 AS is_buyer_maker FROM events")
+def scan_ticks(spark, sf):
+    e = event_ticks(spark, sf).select("symbol", "id", "price", "qty", F.lit(None).cast("double").alias("base_qty"), F.unix_millis("ts").alias("time"), "is_buyer_maker")
+    base = _write_by_symbol(e, _new(spark, "ticks"), lambda x: f"{x}_trades.csv", [
+        lambda d: (d.select(*reversed(d.columns)), {}), lambda d: (d, {"quoteAll": True})])
+    again = e.filter("id % 10 = 0").withColumn("time", F.col("time") + 5)  # a second file of each symbol that repeats some trades
+    _write_by_symbol(again, base, lambda x: f"{x}_more.csv", [])
+    return rounded(files.first_by_id(files.scan_ticks(spark, f"{base}/*.csv")).select("symbol", "id", "price", "ts", "is_buyer_maker"))
+
+
 @query("parse_raw_klines", "WITH " + HOURLY + f""" SELECT symbol, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')}, CAST(trades_count AS BIGINT) AS trades FROM bars WHERE pos % 50 <> 7""")
 def parse_raw(spark, sf):
     b = hourly(spark, sf)

@@ -132,7 +132,15 @@ def stability(spark, sf):
     return rounded(quality.feature_stability(base(spark, sf), FEATS))
 
 
-@query("feature_assignment")
+def _assignment_sql():
+    low = " UNION ALL ".join(f"SELECT {i} AS k, '{f}' AS feature, var_pop({f}) <= 0.01 AS dropped FROM fx" for i, f in enumerate(FEATS))
+    hits = " UNION ALL ".join(f"SELECT feature, all_k, '{m}' AS model, regexp_matches(lower(feature), '{'|'.join(p)}') AS hit FROM kept" for m, p in quality.GROUPS.items())
+    return f"""{_base}, low AS ({low}), kept AS (SELECT feature, row_number() OVER (ORDER BY k) AS all_k FROM low WHERE NOT dropped), h AS ({hits}),
+  w AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY model) AS own, count(*) FILTER (NOT hit) OVER (PARTITION BY model ORDER BY all_k) AS lack FROM h)
+  SELECT feature, model FROM w WHERE hit OR (own < 5 AND CASE WHEN model = 'scalp' THEN all_k <= 10 ELSE lack <= 10 END)"""
+
+
+@query("feature_assignment", _assignment_sql())
 def assignment(spark, sf):
     d = materialize(base(spark, sf), "base")
     dropped = quality.low_variance(d, FEATS).filter("dropped").select("feature")
@@ -181,7 +189,7 @@ def hold_out(spark, sf):
 
 @query("sample_by_hash")
 def sample(spark, sf):
-    return splits.sample_rows(table(spark, sf, "lineitem"), 10_000, ["l_orderkey", "l_linenumber"])
+    return splits.sample_rows(table(spark, sf, "lineitem"), 0.2, ["l_orderkey", "l_linenumber"])
 
 
 # ------------------------------------------------------------------ model metrics
@@ -340,7 +348,7 @@ def model_binary(spark, sf):
 def model_risk(spark, sf):
     df, names = build.risk_table(hourly(spark, sf))
     df = splits.hold_out(materialize(df, "risk"))
-    m = ml.risk_model(names[:12], maxIter=4, maxDepth=3).fit(df.filter("part = 'train'"))
+    m = ml.risk_model(names, maxIter=4, maxDepth=3).fit(df.filter("part = 'train'"))
     return stats.regression_metrics(ml.score_risk(m, df.filter("part = 'test'")), "risk_score", "predicted_risk")
 
 
