@@ -90,7 +90,10 @@ def bucket_of(seeds: np.ndarray, count: int) -> np.ndarray:
 
 
 def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Broadcast:
-    """Bitmap of the seeds that the corpus holds at least twice. Blocks send each seed once or twice, packed by segment."""
+    """Bitmap of the seeds that the corpus holds at least twice. Blocks send each seed once or twice, packed by segment.
+
+    A seed travels as 32 bits beside its segment; two seeds that agree in all of them only set a bit too many.
+    """
     spark = df.sparkSession
     segments = min(MOST_BITS // PAGE, 1 << (4 * shuffle_width(spark) - 1).bit_length())
     subs = max(1, 4 * shuffle_width(spark) // segments)  # a segment of the bitmap is counted in so many parts
@@ -107,15 +110,17 @@ def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray,
                 found, times = np.unique(np.concatenate(got), return_counts=True)
                 found = np.concatenate((found, found[times > 1]))
                 part = (((found & U(MOST_BITS - 1)) // per) * U(subs) + (found >> U(40)) % U(subs)).astype(np.int64)
+                low = U(int(per).bit_length() - 1)
+                short = ((found & (per - U(1))) | ((found >> U(32)) << low)).astype(np.uint32)
                 order = np.argsort(part, kind="stable")
-                found, ends = found[order], np.cumsum(np.bincount(part, minlength=parts))
+                found, ends = short[order], np.cumsum(np.bincount(part, minlength=parts))
                 full = np.flatnonzero(np.diff(np.append(0, ends)))
                 held = [found[ends[k] - n:ends[k]].tobytes() for k, n in zip(full, np.diff(np.append(0, ends))[full])]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(held, pa.binary())], ["part", "held"])
 
     def pages(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        seeds = np.sort(np.frombuffer(b"".join(held), U))
-        bit = np.unique((seeds[1:][seeds[1:] == seeds[:-1]] & U(MOST_BITS - 1)).astype(np.int64)) - int(part) // subs * int(per)
+        seeds = np.sort(np.frombuffer(b"".join(held), np.uint32))
+        bit = np.unique((seeds[1:][seeds[1:] == seeds[:-1]] & np.uint32(per - U(1))).astype(np.int64))
         bits = np.zeros(int(per), np.uint8)
         bits[bit] = 1
         packed = np.packbits(bits, bitorder="little").reshape(-1, PAGE // 8)

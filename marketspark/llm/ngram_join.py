@@ -37,9 +37,10 @@ JACCARD = (75, 100)
 #: Rows and shingles of one block of the product.
 BLOCK_ROWS = 4096
 BLOCK_SHINGLES = 4_000_000
-#: A shingle is frequent when this many documents hold it; so many frequent ones are told apart (the order decides speed, never results).
+#: Counters that decide which shingles are rare (the order decides speed, never results), and parts they are added up in.
+COUNTER_BITS, COUNTER_PARTS = 24, 256
+#: From this count on the hub of a column comes from a partial minimum, not from its sorted rows.
 FREQUENT = 32
-MOST_FREQUENT = 1 << 18
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -108,33 +109,53 @@ def _repeated(df: DataFrame, text_col: str, n: int):
     return repeated_seeds(df, text_col, halves)
 
 
-def _frequent(df: DataFrame, text_col: str, n: int, jaccard, repeated) -> np.ndarray:
-    """Hashes of the frequent shingles of the rows that are left, most frequent last: only the bounded top is collected."""
+def _frequencies(df: DataFrame, text_col: str, n: int, jaccard, repeated):
+    """Broadcast array of counters: in how many of the rows that are left shingles with these leading bits occur, up to 255.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The array has a fixed size. Counters that several shingles share only make the common order less good.
+    """
+    shift, per = U(64 - COUNTER_BITS), (1 << COUNTER_BITS) // COUNTER_PARTS
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = text_bytes(b.column(0))
             for lo, hi in blocks(at):
                 owner, g = shingles(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], n)
-                size, _ = _identity(owner, g, hi - lo)
-                g = g[_may_link(owner, g, size, repeated.value, jaccard)[owner]]
-                found, times = np.unique(g, return_counts=True)
-                often = times > 2
-                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often], pa.int64())], ["g", "n"])
-
-    counts = df.select(F.col(text_col).cast("string")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "g").limit(MOST_FREQUENT).select("g").toArrow()
-    return top.column(0).to_numpy()[::-1].astype(np.int64).view(U)
-
-
-def _rows(df: DataFrame, id_col: str, text_col: str, n: int, jaccard, repeated, frequent) -> DataFrame:
-    """id, sid (hash of the set), n, and, for the rows that are left, the set's prefix: rare shingles, and frequent ones by rank."""
+                size, sid = _identity(owner, g, hi - lo)
+                once = np.zeros(hi - lo, bool)
+                once[np.unique(sid, return_index=True)[1]] = True
+                g = np.sort(g[(_may_link(owner, g, size, repeated.value, jaccard) & once)[owner]] >> shift).astype(np.uint32)
+                cut = np.searchsorted(g, np.arange(COUNTER_PARTS + 1, dtype=np.int64) * per)
+                full = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([g[cut[k]:cut[k + 1]].tobytes() for k in full], pa.binary())], ["part", "held"])
+
+    def told(part: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "held"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, None
+        for b in batches:
+            for p, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if p != part:
+                    if total is not None:
+                        yield told(part, total)
+                    part, total = p, np.zeros(per, np.int64)
+                total += np.bincount(np.frombuffer(held, np.uint32).astype(np.int64) - p * per, minlength=per)
+        if total is not None:
+            yield told(part, total)
+
+    sums = df.select(F.col(text_col).cast("string")).mapInArrow(gather, "part int, held binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, held binary")
+    counters = np.zeros(1 << COUNTER_BITS, np.uint8)
+    for p, held in sums.toLocalIterator():  # 16 MB in all
+        counters[p * per:(p + 1) * per] = np.frombuffer(bytes(held), np.uint8)
+    return df.sparkSession.sparkContext.broadcast(counters)
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str, n: int, jaccard, repeated, counters) -> DataFrame:
+    """id, sid (hash of the set), n, and, for the rows that are left, the set's prefix in the order of (count, hash): rare
+    shingles, and those that many rows have."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_hash = np.argsort(frequent.value)
-        known = frequent.value[by_hash]
-        page = np.zeros(1 << 22, bool)
-        page[(known >> U(42)).astype(np.int64)] = True
         seen: set[int] = set()  # sets of this task: a copy's columns are the same
         for b in batches:
             data, at = text_bytes(b.column(1))
@@ -143,30 +164,24 @@ def _rows(df: DataFrame, id_col: str, text_col: str, n: int, jaccard, repeated,
                 owner, g = shingles(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], n)
                 rows = hi - lo
                 size, sid = _identity(owner, g, rows)
-                rank = np.full(len(g), -1, np.int64)
-                if len(known):
-                    maybe = np.flatnonzero(page[(g >> U(42)).astype(np.int64)])
-                    where = np.minimum(np.searchsorted(known, g[maybe]), len(known) - 1)
-                    hit = known[where] == g[maybe]
-                    rank[maybe[hit]] = by_hash[where[hit]]
                 fresh = np.array([x not in seen and not seen.add(x) for x in sid.tolist()], bool)
                 want = np.where(_may_link(owner, g, size, repeated.value, jaccard) & fresh, size - least_overlap(size, jaccard) + 1, 0)
-                rare = rank < 0
-                r_owner, r_g = owner[rare], g[rare]
-                r_count = np.bincount(r_owner, minlength=rows)
-                take = np.minimum(want, r_count)
-                r_at = spread(np.cumsum(r_count) - r_count, take)
-                o_owner, o_rank = owner[~rare], rank[~rare]
-                order = np.lexsort((o_rank, o_owner))
-                o_rank = o_rank[order]
-                o_count = np.bincount(o_owner, minlength=rows)
-                more = np.minimum(want - take, o_count)
-                o_at = spread(np.cumsum(o_count) - o_count, more)
+                some = np.flatnonzero((want > 0)[owner])
+                s_owner, s_g = owner[some], g[some]
+                count = counters.value[(s_g >> U(64 - COUNTER_BITS)).astype(np.int64)]
+                order = np.argsort((s_owner << 8) | count, kind="stable")  # inside a row by hash already
+                held = np.bincount(s_owner, minlength=rows)
+                first = order[spread(np.cumsum(held) - held, want)]
+                # a shingle that one row has can link nothing
+                first = first[count[first] > 1]
+                many = count[first] >= FREQUENT
+                r_g, o_g = s_g[first[~many]], s_g[first[many]]
+                take, more = (np.bincount(s_owner[first[m]], minlength=rows) for m in (~many, many))
                 zero = np.zeros(1, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, rows).cast(pa.int64()), pa.array(sid.view(np.int64)), pa.array(size, pa.int64()),
-                    lists(r_g[r_at].view(np.int64), np.concatenate((zero, np.cumsum(take)))),
-                    lists(o_rank[o_at], np.concatenate((zero, np.cumsum(more))), pa.int64())], ["id", "sid", "n", "rare", "often"])
+                    lists(r_g.view(np.int64), np.concatenate((zero, np.cumsum(take)))),
+                    lists(o_g.view(np.int64), np.concatenate((zero, np.cumsum(more))))], ["id", "sid", "n", "rare", "often"])
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         make, "id long, sid long, n long, rare array<long>, often array<long>")
@@ -302,15 +317,15 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
             block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links) of every row of ``df``."""
     repeated = _repeated(df, text_col, n)
-    frequent = df.sparkSession.sparkContext.broadcast(_frequent(df, text_col, n, jaccard, repeated))
-    table = stored(_rows(df, id_col, text_col, n, jaccard, repeated, frequent), "join-rows")
+    counters = _frequencies(df, text_col, n, jaccard, repeated)
+    table = stored(_rows(df, id_col, text_col, n, jaccard, repeated, counters), "join-rows")
     some = table.filter("n > 0 AND id IS NOT NULL")
     reps = some.groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     # rare columns meet by sorting; a frequent column has its hub from one partial minimum, and no rows are gathered for it
     rare = some.select(F.explode("rare").alias("g"), "sid").repartition("g").sortWithinPartitions("g", "sid").mapInArrow(_hub_links, "hub long, sid long")
     often = some.select(F.explode("often").alias("g"), "sid")
-    hubs = often.groupBy("g").agg(F.min("sid").alias("hub"))  # at most MOST_FREQUENT rows of 16 bytes
-    often = often.join(F.broadcast(hubs), "g").select("hub", "sid")
+    hubs = stored(often.groupBy("g").agg(F.min("sid").alias("hub")), "join-hubs")  # a table, so that the join can split a hot column
+    often = often.join(hubs, "g").select("hub", "sid")
     at_hub = rare.unionByName(often).distinct()
     member = stored(at_hub.join(reps, "sid").select("hub", "sid", "rep", "n"), "join-members")
     member = member.join(member.groupBy("hub").agg(F.count("*").alias("k"), F.sum("n").alias("s")).filter("k > 1"), "hub")
