@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,16 +37,29 @@ def get_session(app: str = "marketspark", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, a temporary one only where none is set."""
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, whose tasks all run on this machine, may do without: it gets a temporary folder that goes with
+    the process. Anywhere else a machine-local folder would lose rows, so there the setting is required.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        if not runs_here(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
+def runs_here(master: str) -> bool:
+    """Whether all tasks of a session with this master run in the driver's own process."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table inside a loop."""
     sc = df.sparkSession.sparkContext

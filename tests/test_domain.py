@@ -210,3 +210,32 @@ def test_index_rows_is_dense(spark):
     df = spark.range(1000).select(F.lit("a").alias("k"), F.timestamp_seconds(c("id") * 3600).alias("ts"))
     pos = [r["pos"] for r in index_rows(df, ["k"], ["ts"], time_bucket("ts", 86_400)).orderBy("ts").collect()]
     assert pos == list(range(1000))
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from marketspark.session import runs_here, shared_folder
+
+    assert runs_here("local") and runs_here("local[*]") and runs_here("local[4,2]")
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        context.master = master
+        with pytest.raises(RuntimeError):
+            shared_folder(away)
+    away.conf.get = lambda *_: "hdfs://shared"
+    assert shared_folder(away) == "hdfs://shared"
+
+
+def test_csv_by_header_keeps_every_row(spark, tmp_path):
+    from marketspark.sources import files
+
+    (tmp_path / "klines_usdt_m_AUSDT_1h.csv").write_text('symbol,timestamp,open,high,low,close,volume\nAUSDT,1000,1,2,0.5,1.5,10\nAUSDT,2000,-1,2,0.5,1.5,10\n')
+    (tmp_path / "klines_usdt_m_BUSDT_1h.csv").write_text('volume,"close","timestamp",open,note\n"3",-2.5, 3000,"7","a, b"\n 4,1,4000,8,"say ""x"""\n,,5000,,\n')
+    (tmp_path / "klines_usdt_m_BUSDT_5m.csv").write_text("timestamp,open\n6000,1\n")
+    rows = {(r["symbol"], r["timeframe"], r["ts"].second): (r["open"], r["close"], r["volume"]) for r in files.scan_klines(spark, str(tmp_path)).collect()}
+    assert rows == {("AUSDT", "1h", 1): (1, 1.5, 10), ("AUSDT", "1h", 2): (-1, 1.5, 10), ("BUSDT", "1h", 3): (7, -2.5, 3), ("BUSDT", "1h", 4): (8, 1, 4),
+                    ("BUSDT", "1h", 5): (None, None, None), ("BUSDT", "5m", 6): (1, None, None)}
+    assert files.scan_klines(spark, str(tmp_path), "BUSDT", "5m").count() == 1
+    assert files.scan_family(spark, str(tmp_path), "funding_rate").count() == 0
