@@ -186,16 +186,17 @@ def kelly_validator(spark, sf):
 
 # ------------------------------------------------------------------ equity
 
-EQUITY = TRADES + """, dayr AS (SELECT account, l_shipdate AS ts, sum(r) AS r, sum(pnl) AS pnl FROM trades GROUP BY 1, 2),
- eq AS (SELECT account, ts, pnl, r, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY account) AS n, round(10000 * exp(0.08 * sum(r) OVER (w ROWS UNBOUNDED PRECEDING)), 3) AS equity FROM dayr WINDOW w AS (PARTITION BY account ORDER BY ts))"""
+EQUITY = TRADES + """, dayr AS (SELECT account, l_shipdate AS ts, sum(r - 0.005) AS r, sum(pnl) AS pnl FROM trades GROUP BY 1, 2),
+ eq AS (SELECT account, ts, pnl, r, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY account) AS n, round(10000 * exp(0.2 * sum(r) OVER (w ROWS UNBOUNDED PRECEDING)), 3) AS equity FROM dayr WINDOW w AS (PARTITION BY account ORDER BY ts))"""
 AW = "PARTITION BY account ORDER BY pos"
 
 
 def equity(spark, sf):
-    d = trades(spark, sf).groupBy("account", c("l_shipdate").alias("ts")).agg(F.sum("r").alias("r"), F.sum("pnl").alias("pnl"))
+    """Daily equity of three accounts, scaled so that every drawdown state and recovery occurs."""
+    d = trades(spark, sf).groupBy("account", c("l_shipdate").alias("ts")).agg(F.sum(c("r") - 0.005).alias("r"), F.sum("pnl").alias("pnl"))
     d = index_rows(d, ["account"], ["ts"], time_bucket("ts", 90 * 86_400), total="n")
     d = running(d, ["account"], ["pos"], F.floor(c("pos") / 512), {"cum": ("sum", c("r"))})
-    return d.withColumn("equity", F.round(10000 * F.exp(0.08 * c("cum")), 3)).drop("cum")
+    return d.withColumn("equity", F.round(10000 * F.exp(0.2 * c("cum")), 3)).drop("cum")
 
 
 STATES = EQUITY + f""", s0 AS (SELECT *, greatest(10000, max(equity) OVER ({AW})) AS peak_equity FROM eq), s1 AS (SELECT *, (peak_equity - equity) / peak_equity AS dd FROM s0),
