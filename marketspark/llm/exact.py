@@ -17,7 +17,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import bits_for, bitmap_of, in_bitmap
+from .tables import bits_for, bitmap_of, in_bitmap, stored
 
 #: Positions that one hash sets in the filter.
 PROBES = 2
@@ -51,7 +51,8 @@ def possibly_repeated(hashed: Column, twice: Broadcast) -> Column:
 
 
 def _groups(suspects: DataFrame) -> DataFrame:
-    return suspects.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count("*").alias("__size"))
+    """One row a text; written, so that the join with it sees two plain tables and can split a hot text over many tasks."""
+    return stored(suspects.groupBy("__sha").agg(F.max("__id").alias("__keep"), F.count("*").alias("__size")), "exact-groups")
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
