@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hilbert import hilbert_index
-from .tables import running_positions
+from .tables import running_positions, stored
 
 SHARDS = 40
 #: Bits of each quantised dimension.
@@ -64,9 +64,10 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     rows = df.select(
         F.col(id_col).alias("__id"), F.octet_length(text).cast("long").alias("__bytes"), F.crc32(text).alias("__crc"),
         F.xxhash64(text).alias("__text"), _rank(lang_col).alias("__lang"), _rank(source_col).alias("__source"))
-    groups = rows.groupBy("__text").agg(
+    # written tables, so that the joins with them can split a hot text over many tasks
+    groups = stored(rows.groupBy("__text").agg(
         F.count("*").alias("__n"), F.min("__id").alias("__first"), F.min("__lang").alias("__glang"), F.min("__source").alias("__gsource")
-    ).filter("__n > 1")
+    ).filter("__n > 1"), "shard-groups")
     rows = rows.join(groups, "__text", "left").select(
         "__id", "__bytes", "__crc", "__text", F.coalesce("__n", F.lit(1)).alias("__n"), F.coalesce("__first", "__id").alias("__first"),
         F.when(F.col("__n").isNull(), F.col("__lang")).otherwise(F.col("__glang")).alias("__lang"),
@@ -75,7 +76,7 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     placed = running_positions(narrow, ["__curve", "__text", "__id"], {"__at": "__size", "__index": None})
     total = placed.agg(F.max(F.col("__at") + F.col("__size"))).first()[0] or 1
     # a group's first byte; equal texts have equal sizes and lie together
-    begins = placed.filter("__n > 1").groupBy("__curve", "__text").agg(F.min("__at").alias("__begin"))
+    begins = stored(placed.filter("__n > 1").groupBy("__curve", "__text").agg(F.min("__at").alias("__begin")), "shard-begins")
     whole = (F.col("__n") > 1) & (F.col("__n") * F.col("__size") <= F.lit(together * total / shards))
     middle = F.when(whole, 2 * F.col("__begin") + F.col("__n") * F.col("__size")).otherwise(2 * F.col("__at") + F.col("__size"))
     cut = placed.join(begins, ["__curve", "__text"], "left").withColumn(
