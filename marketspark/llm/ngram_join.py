@@ -328,7 +328,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     often = often.join(hubs, "g").select("hub", "sid")
     at_hub = rare.unionByName(often).distinct()
     member = stored(at_hub.join(reps, "sid").select("hub", "sid", "rep", "n"), "join-members")
-    member = member.join(member.groupBy("hub").agg(F.count("*").alias("k"), F.sum("n").alias("s")).filter("k > 1"), "hub")
+    sizes = stored(member.groupBy("hub").agg(F.count("*").alias("k"), F.sum("n").alias("s")).filter("k > 1"), "join-sizes")  # as join-hubs
+    member = member.join(sizes, "hub")
     member = member.withColumn("blocks", F.ceil(F.greatest(F.col("k") / block_rows, F.col("s") / block_shingles)).cast("int"))
     wanted = bitmap_of(member, F.col("rep"), bits_for(member.select("rep").distinct().count()))
     sets = _sets_of(df, id_col, text_col, n, wanted)
