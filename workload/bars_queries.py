@@ -235,7 +235,7 @@ def stitch(spark, sf):
 # ------------------------------------------------------------------ files
 
 
-def _write_by_symbol(df, base, name, shapes):
+def write_by_symbol(df, base, name, shapes):
     """One CSV folder a symbol; ``shapes`` change the columns or the options of single symbols."""
     symbols = sorted(x["symbol"] for x in df.select("symbol").distinct().collect())  # five event types
     for i, symbol in enumerate(symbols):
@@ -256,7 +256,7 @@ def _kline_files(spark, sf):
     b = hourly(spark, sf).select(
         "symbol", F.unix_millis("ts").alias("timestamp"), "open", "high", "low", "close", "volume", (F.col("volume") * F.col("close")).alias("quote_volume"), F.col("trades_count").alias("trades"),
         F.col("buy_volume").alias("taker_buy_volume"), F.lit("usdt_m").alias("market_type"))
-    return _write_by_symbol(b, _new(spark, "klines"), lambda x: f"klines_usdt_m_{x.upper()}USDT_1h.csv", [
+    return write_by_symbol(b, _new(spark, "klines"), lambda x: f"klines_usdt_m_{x.upper()}USDT_1h.csv", [
         lambda d: (d.drop("symbol", "quote_volume", "market_type"), {}), lambda d: (d, {"quoteAll": True})])
 
 
@@ -309,7 +309,7 @@ def _side_files(spark, sf, family):
     time = "funding_time" if family == "funding_rate" else "timestamp"
     e = table(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.unix_millis("ts").alias(time), *[F.expr(x).alias(n) for n, x in SIDE[family].items()])
     last = list(SIDE[family])[-1]
-    return _write_by_symbol(e, _new(spark, family), lambda x: f"{family}_usdt_m_{x.upper()}USDT.csv", [
+    return write_by_symbol(e, _new(spark, family), lambda x: f"{family}_usdt_m_{x.upper()}USDT.csv", [
         lambda d: (d.drop("symbol", last), {}), lambda d: (d, {"quoteAll": True}), lambda d: (d.select(*reversed(d.columns)), {})])
 
 
@@ -333,10 +333,10 @@ def scan_one(spark, sf):
 @query("scan_ticks_by_name", f"SELECT event_type AS symbol, event_id AS id, {r('value', 'price')}, date_trunc('millisecond', ts) AS ts, user_id % 2 = 1 AS is_buyer_maker FROM events")
 def scan_ticks(spark, sf):
     e = event_ticks(spark, sf).select("symbol", "id", "price", "qty", F.lit(None).cast("double").alias("base_qty"), F.unix_millis("ts").alias("time"), "is_buyer_maker")
-    base = _write_by_symbol(e, _new(spark, "ticks"), lambda x: f"{x}_trades.csv", [
+    base = write_by_symbol(e, _new(spark, "ticks"), lambda x: f"{x}_trades.csv", [
         lambda d: (d.select(*reversed(d.columns)), {}), lambda d: (d, {"quoteAll": True})])
     again = e.filter("id % 10 = 0").withColumn("time", F.col("time") + 5)  # a second file of each symbol that repeats some trades
-    _write_by_symbol(again, base, lambda x: f"{x}_more.csv", [])
+    write_by_symbol(again, base, lambda x: f"{x}_more.csv", [])
     return rounded(files.first_by_id(files.scan_ticks(spark, f"{base}/*.csv")).select("symbol", "id", "price", "ts", "is_buyer_maker"))
 
 

@@ -310,37 +310,33 @@ def training(spark, sf):
     return materialize(d.filter("target is not null").select("symbol", "ts", "pos", "n", "target", *MODEL_FEATS), "training")
 
 
-def _small(f, y, **p):
-    return ml.direction_model(f, y, **({"numTrees": 8, "maxDepth": 4} | p))
-
-
 @query("model_direction_scores")
 def model_scores(spark, sf):
     d = splits.hold_out(training(spark, sf))
-    model = _small(MODEL_FEATS, "target").fit(d.filter("part = 'train'"))
+    model = ml.direction_model(MODEL_FEATS, "target").fit(d.filter("part = 'train'"))
     return ml.score_direction(model, d.filter("part = 'test'")).select("symbol", "ts", "P_down", "P_flat", "P_up", "predicted_class", "confidence", "expected_return")
 
 
 @query("model_cross_validation")
 def model_cv(spark, sf):
-    return ml.cross_validate(training(spark, sf), MODEL_FEATS, "target", _small, "direction", folds=3)
+    return ml.cross_validate(training(spark, sf), MODEL_FEATS, "target", ml.direction_model, "direction", folds=5)
 
 
 @query("model_baseline_summary")
 def model_baseline(spark, sf):
-    return ml.fold_summary(ml.cross_validate(training(spark, sf), MODEL_FEATS, "target", lambda f, y: ml.direction_model(f, y, "logistic", maxIter=15), "direction", folds=3))
+    return ml.fold_summary(ml.cross_validate(training(spark, sf), MODEL_FEATS, "target", lambda f, y: ml.direction_model(f, y, "logistic"), "direction", folds=5))
 
 
 @query("model_feature_importance")
 def model_importance(spark, sf):
-    return ml.importance(_small(MODEL_FEATS, "target").fit(training(spark, sf)), MODEL_FEATS, spark)
+    return ml.importance(ml.direction_model(MODEL_FEATS, "target").fit(training(spark, sf)), MODEL_FEATS, spark)
 
 
 @query("model_binary_next_bar")
 def model_binary(spark, sf):
     d = labels.next_bar(base(spark, sf), binary=True)
     d = splits.hold_out(materialize(d.select("symbol", "ts", "pos", "n", "target", *MODEL_FEATS), "binary"), (0.85, 0.15))
-    m = ml.binary_model(MODEL_FEATS, maxIter=4, maxDepth=3).fit(d.filter("part = 'train'"))
+    m = ml.binary_model(MODEL_FEATS).fit(d.filter("part = 'train'"))
     return stats.auc(ml.score_binary(m, d.filter("part = 'test'")), (), "P_up", c("target") == 1)
 
 
@@ -348,7 +344,7 @@ def model_binary(spark, sf):
 def model_risk(spark, sf):
     df, names = build.risk_table(hourly(spark, sf))
     df = splits.hold_out(materialize(df, "risk"))
-    m = ml.risk_model(names, maxIter=4, maxDepth=3).fit(df.filter("part = 'train'"))
+    m = ml.risk_model(names).fit(df.filter("part = 'train'"))
     return stats.regression_metrics(ml.score_risk(m, df.filter("part = 'test'")), "risk_score", "predicted_risk")
 
 
@@ -357,29 +353,29 @@ def model_event(spark, sf):
     d = stats.with_quantile(base(spark, sf), (), "return_1", 0.05, "p05")
     d = labels.tail_event(d, "return_1", c("p05")).withColumnRenamed("tail_event", "target")
     d = splits.hold_out(materialize(d.select("symbol", "ts", "pos", "n", "target", *MODEL_FEATS[1:]), "events"), (0.6, 0.2, 0.2), ("train", "valid", "test"))
-    m = ml.binary_model(MODEL_FEATS[1:], maxIter=3, maxDepth=3).fit(d.filter("part = 'train'"))
+    m = ml.binary_model(MODEL_FEATS[1:]).fit(d.filter("part = 'train'"))
     return stats.auc(ml.score_binary(m, d.filter("part <> 'train'")), ["part"], "P_up", c("target") == 1)
 
 
 @query("model_search")
 def model_search(spark, sf):
-    return ml.search(training(spark, sf), MODEL_FEATS, "target", _small, "direction", {"maxDepth": [2, 4]}, folds=2)
+    return ml.search(training(spark, sf), MODEL_FEATS, "target", ml.direction_model, "direction", {"maxDepth": [3, 5], "numTrees": [10, 20]}, folds=5)
 
 
 @query("model_determinism")
 def model_determinism(spark, sf):
     d = training(spark, sf).withColumn("y", c("target").cast("double"))
-    return ml.fit_twice(d, MODEL_FEATS, "y", lambda f, y: ml.risk_model(f, y, maxIter=2, maxDepth=2), ["symbol", "ts"])
+    return ml.fit_twice(d, MODEL_FEATS, "y", ml.risk_model, ["symbol", "ts"])
 
 
 @query("leakage_order_reversal")
 def leakage_order(spark, sf):
-    return ml.order_reversal(training(spark, sf), MODEL_FEATS, "target", _small)
+    return ml.order_reversal(training(spark, sf), MODEL_FEATS, "target", ml.direction_model)
 
 
 @query("leakage_cross_symbol")
 def leakage_cross(spark, sf):
-    return ml.cross_symbol(training(spark, sf), MODEL_FEATS, "target", _small, "view")
+    return ml.cross_symbol(training(spark, sf), MODEL_FEATS, "target", ml.direction_model, "view")
 
 
 # ------------------------------------------------------------------ streams
