@@ -410,3 +410,13 @@ class Pieces:
                 out[name] = F.when(usable, best["v"] if kind == "last" else best)
         self.df = df.withColumns(out).drop(*[f"_c_{n}" for n in specs], *[f"_x_{n}" for n in specs])
         return self
+
+
+def hashed_uniform(seed: int, *keys: str) -> Column:
+    """A uniform value in (0, 1) that depends on the keys alone, so it is the same on every cluster."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def hashed_normal(seed: int, *keys: str) -> Column:
+    """A standard normal value that depends on the keys alone."""
+    return F.sqrt(-2 * F.log(hashed_uniform(seed, *keys))) * F.cos(2 * math.pi * hashed_uniform(seed + 7919, *keys))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import Pieces, index_rows, time_bucket
+from ..functions.series import hashed_normal, index_rows, Pieces, time_bucket
 from ..session import cut_lineage, materialize
 from .stats import trade_metrics
 
@@ -187,7 +187,7 @@ def noise_runs(signals: DataFrame, bars: DataFrame, levels: Sequence[float] = (0
     """The backtest on prices multiplied by 1 + N(0, sigma), for every level and iteration."""
     runs = F.explode(F.array(*[F.struct(F.lit(s).alias("sigma"), F.lit(i).alias("iteration")) for s in levels for i in range(iterations)]))
     spread = lambda df: df.withColumn("_r", runs).select("*", "_r.sigma", "_r.iteration").drop("_r")
-    noisy = spread(bars).withColumns({p: c(p) * (1 + c("sigma") * F.randn(seed + i)) for i, p in enumerate(("open", "high", "low", "close"))})
+    noisy = spread(bars).withColumns({p: c(p) * (1 + c("sigma") * hashed_normal(seed + i, "symbol", "ts", "sigma", "iteration")) for i, p in enumerate(("open", "high", "low", "close"))})
     return _run(spread(signals), noisy, ["sigma", "iteration"])
 
 

@@ -82,17 +82,22 @@ ENGINE_VOL = {"low": 1.0, "medium": 0.8, "high": 0.5, "extreme": 0.2}
 ENGINE_COLUMNS = ["current_drawdown", "engine_state", "dd_multiplier", "scalp_disabled", "intraday_disabled", "swing_disabled"]
 
 
-def evaluate_signals(signals: DataFrame, states: DataFrame, payoff: DataFrame, portfolio_cvar: DataFrame, keys=("account",)) -> DataFrame:
-    """Second engine: veto, off, tail check, Kelly chain, drawdown multiplier, leverage.
+#: Fixed value: the reason of a veto by the kill switch.
+HALTED = "Kill switch active - all trading halted"
 
-    ``payoff``: n, win_rate, payoff_ratio per model.  ``portfolio_cvar``: one row with ``cvar``.
+
+def evaluate_signals(signals: DataFrame, states: DataFrame, payoff: DataFrame, portfolio_cvar: DataFrame, keys=("account",), halted: str | None = None) -> DataFrame:
+    """Second engine: kill switch, veto, off, tail check, Kelly chain, drawdown multiplier, leverage.
+
+    ``payoff``: n, win_rate, payoff_ratio per model.  ``portfolio_cvar``: one row with ``cvar`` (of several the largest
+    counts).  ``halted``: a boolean column of the signals that tells when the kill switch is on.
     """
     df = asof(signals, [Facts(states, ENGINE_COLUMNS)], keys=keys, fill=False)
     df = df.withColumns({"current_drawdown": F.coalesce("current_drawdown", F.lit(0.0)), "engine_state": F.coalesce("engine_state", F.lit("ON")),
                          "dd_multiplier": F.coalesce("dd_multiplier", F.lit(1.0)),
                          **{k: F.coalesce(k, F.lit(False)) for k in ENGINE_COLUMNS if k.endswith("disabled")}})
     df = df.join(payoff.select("model", c("n_trades").alias("_n"), c("win_rate").alias("_w"), c("payoff_ratio").alias("_p")), "model", "left")
-    one = portfolio_cvar.select(F.abs("cvar").alias("current_cvar"), F.lit(1).alias("_one"))
+    one = portfolio_cvar.agg(F.max(F.abs("cvar")).alias("current_cvar")).withColumn("_one", F.lit(1))  # one row, whatever is given
     df = df.join(F.broadcast(one), F.lit(1) == c("_one")).drop("_one")
     many = F.coalesce(c("_n") > 10, F.lit(False))
     df = df.withColumns({
@@ -100,12 +105,13 @@ def evaluate_signals(signals: DataFrame, states: DataFrame, payoff: DataFrame, p
         "cvar_utilization": c("current_cvar") / ENGINE["cvar_max"], "impact": F.abs("expected_return") * (1 - c("confidence")) * 0.1})
     df = D.kelly_chain(df)
     disabled = F.when(c("model") == "scalp", c("scalp_disabled")).when(c("model") == "intraday", c("intraday_disabled")).otherwise(c("swing_disabled"))
+    off = F.coalesce(c(halted), F.lit(False)) if halted else F.lit(False)
     tail = D.engine_admission(c("impact"), c("current_cvar"), ENGINE["cvar_max"])
     size = F.least(c("kelly") * c("dd_multiplier"), F.lit(ENGINE["max_position"]))
     lev = F.least(ENGINE["max_leverage"] * c("confidence") * lookup(c("volatility_regime"), ENGINE_VOL, 0.5) * c("dd_multiplier"), F.lit(ENGINE["max_leverage"]))
-    df = df.withColumns({"_size": size, "_lev": lev, "block_reason": F.when(disabled, "model disabled").when(c("engine_state") == "OFF", "risk off").when(tail.isNotNull(), tail)})
+    df = df.withColumns({"_size": size, "_lev": lev, "block_reason": F.when(off, HALTED).when(disabled, "model disabled").when(c("engine_state") == "OFF", "risk off").when(tail.isNotNull(), tail)})
     free = c("block_reason").isNull()
-    decision = (F.when(disabled, "vetoed").when(~free, "rejected").when(c("_size") < 0.001, "rejected").when(c("_size") < c("kelly") * 0.5, "reduced").otherwise("approved"))
+    decision = (F.when(off | disabled, "vetoed").when(~free, "rejected").when(c("_size") < 0.001, "rejected").when(c("_size") < c("kelly") * 0.5, "reduced").otherwise("approved"))
     return df.withColumns({"decision": decision, "approved_size": F.when(free, c("_size")).otherwise(0.0), "approved_leverage": F.when(free, c("_lev")).otherwise(0.0)}
                           ).drop("_size", "_lev", "_n", "_w", "_p")
 

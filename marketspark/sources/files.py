@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.series import PIECE_ROWS, guarded, running
+from ..functions.series import PIECE_ROWS, guarded, hashed_normal, hashed_uniform, running
 
 c = F.col
 
@@ -302,8 +302,11 @@ def synthetic_bars(spark: SparkSession, bars: int = 10_000, symbols: Sequence[st
     from ..operators.bars import TIMEFRAMES
 
     step = F.create_map(*[x for t in timeframes for x in (F.lit(t), F.lit(TIMEFRAMES[t]))])
+    normal = lambda k: hashed_normal(k, "symbol", "timeframe", "id")
     g = spark.range(bars).withColumn("symbol", F.explode(F.array(*[F.lit(s) for s in symbols]))).withColumn("timeframe", F.explode(F.array(*[F.lit(t) for t in timeframes])))
-    g = g.withColumns({"_z": F.randn(seed) * sigma, "_a": F.abs(F.randn(seed + 1)) * 0.005, "_b": F.abs(F.randn(seed + 2)) * 0.005, "_o": F.randn(seed + 3) * 0.002, "_v": F.rand(seed + 4)})
+    g = g.withColumns({
+        "_z": normal(seed) * sigma, "_a": F.abs(normal(seed + 1)) * 0.005, "_b": F.abs(normal(seed + 2)) * 0.005,
+        "_o": normal(seed + 3) * 0.002, "_v": hashed_uniform(seed + 4, "symbol", "timeframe", "id")})
     g = running(g, ["symbol", "timeframe"], ["id"], F.floor(c("id") / PIECE_ROWS), {"_w": ("sum", c("_z"))})
     close = 100 * F.exp("_w")
     g = g.withColumns({"close": close, "open": close * (1 + c("_o"))})
@@ -314,6 +317,6 @@ def synthetic_bars(spark: SparkSession, bars: int = 10_000, symbols: Sequence[st
 
 def fat_tailed_returns(spark: SparkSession, rows: int = 5_000, seed: int = 42, sigma: float = 0.02, share: float = 0.01, factor: float = 3.0) -> DataFrame:
     """Normal returns of which a share is scaled up."""
-    r = F.randn(seed) * sigma
-    return spark.range(rows).select(c("id").alias("pos"), F.when(F.rand(seed + 1) < share, r * factor).otherwise(r).alias("r"))
+    r = hashed_normal(seed, "id") * sigma
+    return spark.range(rows).select(c("id").alias("pos"), F.when(hashed_uniform(seed + 1, "id") < share, r * factor).otherwise(r).alias("r"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,17 +13,24 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.series import flag
 from ..operators import stats
-from ..operators.bars import bar_columns, width_of
+from ..operators.bars import WEEK_SHIFT, bar_columns, bin_label, width_of
 from ..operators.drawdown import EMERGENCY, MODEL_LEVELS, RECOVERY, multiplier, risk_state
 
 c = F.col
 
 
-def stream_bars(ticks: DataFrame, timeframe: str, late: str = "10 minutes") -> DataFrame:
-    """Continuous bars in append mode; ticks later than the watermark are dropped."""
-    w = F.window("ts", f"{width_of(timeframe)} seconds", startTime="4 days" if timeframe == "1w" else "0 seconds")
+def stream_bars(ticks: DataFrame, timeframe: str, late: str = "10 minutes", anchor_day: int | None = None) -> DataFrame:
+    """Continuous bars in append mode, labelled like the batch form; ticks later than the watermark are dropped.
+
+    Three-day bars count from a first day, which a stream cannot know: ``anchor_day`` is its epoch second.
+    """
+    if timeframe == "3d" and anchor_day is None:
+        raise ValueError("three-day bars of a stream need the first day")
+    width = width_of(timeframe)
+    start = WEEK_SHIFT if timeframe == "1w" else anchor_day % width if timeframe == "3d" else 0
+    w = F.window("ts", f"{width} seconds", startTime=f"{start} seconds")
     out = ticks.withWatermark("ts", late).groupBy("symbol", w.alias("w")).agg(*bar_columns())
-    return out.select("symbol", c("w.start").alias("ts"), "open", "high", "low", "close", "volume", "buy_volume", "sell_volume", "trades_count")
+    return out.select("symbol", bin_label(F.unix_seconds(c("w.start")), timeframe).alias("ts"), "open", "high", "low", "close", "volume", "buy_volume", "sell_volume", "trades_count")
 
 
 def sliding_statistics(ticks: DataFrame, length: str = "20 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -127,14 +135,29 @@ def alerts(scores: DataFrame, max_latency_ms: float = 100.0) -> DataFrame:
     return scores.withColumn("alert", F.explode(kinds))
 
 
+def _stored_batch(spark, path: str, batch_id: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{path}/batch={batch_id}")
+    except AnalysisException:
+        return None
+
+
 def alert_sink(table_path: str, alert_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: retain the scores, append row alerts and drift alerts as JSON."""
+    """foreachBatch body: retain the scores, write row alerts and drift alerts as JSON.
+
+    Every batch overwrites its own folder, so a batch that is run again changes nothing. Drift needs the last 50 scores of a
+    model: each batch writes them beside the table and the next one starts from there, whatever the table has grown to.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(table_path)
-        alerts(batch).write.mode("append").json(alert_path)
-        drift = degradation(batch.sparkSession.read.parquet(table_path)).filter("alert")
-        drift.select("model", F.lit("SIGNAL_DEGRADATION").alias("alert"), F.round("drift", 4).alias("drift")).write.mode("append").json(alert_path)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        before = _stored_batch(spark, f"{table_path}-recent", batch_id - 1)
+        held = batch if before is None else before.unionByName(batch)
+        stats.last_rows(held, ["model"], ["ts"], 50).select(*batch.columns).write.mode("overwrite").parquet(f"{table_path}-recent/batch={batch_id}")
+        drift = degradation(_stored_batch(spark, f"{table_path}-recent", batch_id)).filter("alert")
+        found = alerts(batch).unionByName(drift.select("model", F.lit("SIGNAL_DEGRADATION").alias("alert"), F.round("drift", 4).alias("drift")), allowMissingColumns=True)
+        found.write.mode("overwrite").json(f"{alert_path}/batch={batch_id}")
 
     return run
 
@@ -149,7 +172,7 @@ def refresh(bars: DataFrame, build: Callable[[DataFrame], DataFrame], publish: C
     """Rebuild features and scores on a timer: each batch extends the stored bars, then the batch path runs."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(store)
-        publish(build(batch.sparkSession.read.parquet(store)))
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        publish(build(batch.sparkSession.read.parquet(store).drop("batch")))
 
     return bars.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()

@@ -417,16 +417,17 @@ ENGINE = ENGINE_STATES + ", " + PROPOSALS.replace("WHEN 1 THEN 'normal'", "WHEN
  g2 AS (SELECT *, least(greatest(least(greatest(greatest(0, (w * pr - (1 - w)) / pr) * 0.25, 0.01), 0.5) * confidence * confidence * CASE volatility_regime WHEN 'low' THEN 1.2 WHEN 'medium' THEN 1.0 WHEN 'high' THEN 0.6 ELSE 0.2 END * CASE es WHEN 'ON' THEN 1.0 WHEN 'REDUCED' THEN 0.5 ELSE 0 END
    * CASE WHEN u > 0.5 THEN greatest(0, 1 - (u - 0.5) * 2) ELSE 1 END, 0.01), 0.5) AS k FROM g1),
  g3 AS (SELECT *, least(k * dm, 0.25) AS size, least(10 * confidence * CASE volatility_regime WHEN 'low' THEN 1.0 WHEN 'medium' THEN 0.8 WHEN 'high' THEN 0.5 ELSE 0.2 END * dm, 10) AS lev,
-   CASE WHEN dis THEN 'model disabled' WHEN es = 'OFF' THEN 'risk off' WHEN cv + impact > 0.03 THEN 'CVaR exceeds threshold' WHEN impact > 0.015 THEN 'Trade CVaR impact too high' END AS why FROM g2)"""
+   CASE WHEN o_orderkey % 50 = 7 THEN 'Kill switch active - all trading halted' WHEN dis THEN 'model disabled' WHEN es = 'OFF' THEN 'risk off' WHEN cv + impact > 0.03 THEN 'CVaR exceeds threshold' WHEN impact > 0.015 THEN 'Trade CVaR impact too high' END AS why FROM g2)"""
 
 
-@query("signal_evaluation_second_engine", f"""WITH {ENGINE} SELECT o_orderkey, CASE WHEN dis THEN 'vetoed' WHEN why IS NOT NULL THEN 'rejected' WHEN size < 0.001 THEN 'rejected' WHEN size < k * 0.5 THEN 'reduced' ELSE 'approved' END AS decision, why AS block_reason,
+@query("signal_evaluation_second_engine", f"""WITH {ENGINE} SELECT o_orderkey, CASE WHEN dis OR o_orderkey % 50 = 7 THEN 'vetoed' WHEN why IS NOT NULL THEN 'rejected' WHEN size < 0.001 THEN 'rejected' WHEN size < k * 0.5 THEN 'reduced' ELSE 'approved' END AS decision, why AS block_reason,
   {r('CASE WHEN why IS NULL THEN size ELSE 0 END', 'approved_size')}, {r('CASE WHEN why IS NULL THEN lev ELSE 0 END', 'approved_leverage')} FROM g3""")
 def second_engine(spark, sf):
     p = proposals(spark, sf).withColumn("volatility_regime", F.when(c("volatility_regime") == "normal", "medium").otherwise(c("volatility_regime")))
+    p = p.withColumn("halted", c("o_orderkey") % 50 == 7)  # the switch is on for every fiftieth proposal
     t = trades(spark, sf)
     cvar = stats.return_tail(t.withColumn("x", c("r") / 5), (), "x")
-    out = riskengine.evaluate_signals(p, drawdown.engine_equity_states(equity(spark, sf)), stats.payoff(t, ["model"], "pnl"), cvar)
+    out = riskengine.evaluate_signals(p, drawdown.engine_equity_states(equity(spark, sf)), stats.payoff(t, ["model"], "pnl"), cvar, halted="halted")
     return rounded(out.select("o_orderkey", "decision", "block_reason", "approved_size", "approved_leverage"))
 
 
