@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import ratio
+from ..functions.series import index_rows, ratio
 from ..session import materialize
 from .stats import lookup
 
@@ -100,11 +100,13 @@ def risk_bucket(df: DataFrame, raw: str = "risk_score") -> DataFrame:
 def rank_candidates(decisions: DataFrame) -> DataFrame:
     """Tradable symbols by confidence * |expected return| / max(risk, .1), ranked from 1.
 
-    The rank is global; it runs over one row per symbol.
+    The rank is global, but no task sees all rows: they are ranked inside ranges of the score, after the counts of the
+    ranges before.
     """
     score = c("confidence") * F.abs("expected_return") / F.greatest(c("risk_score"), F.lit(0.1))
     d = decisions.filter("should_trade").withColumn("final_score", score).filter(c("final_score") >= MIN_SCORE)
-    return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "symbol")))
+    ranked = index_rows(d.withColumn("_falling", -c("final_score")), [], ["_falling", "symbol"], F.floor(c("_falling") * 256), pos="rank")
+    return ranked.withColumn("rank", (c("rank") + 1).cast("int")).drop("_falling")
 
 
 def correlation_of(r: Column, other: list[float]) -> Column:

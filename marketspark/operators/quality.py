@@ -79,14 +79,18 @@ def target_summary(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataF
 # ---------------------------------------------------------------- screens on feature matrices
 
 
+#: Complete rows that a correlation matrix needs.
+FEWEST_ROWS = 100
+
+
 def _matrix(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, int]:
     """Correlation matrix (features x features) of complete rows; its size is fixed by the feature list."""
     if len(features) > 1000:
         raise ValueError("correlation matrices are meant for at most 1000 features")
     full = df.select(*[c(f).cast("double").alias(f) for f in features]).dropna()
     n = full.count()
-    if n < 100:
-        return np.eye(len(features)), n
+    if n < FEWEST_ROWS:
+        return np.full((len(features), len(features)), np.nan), n
     v = VectorAssembler(inputCols=list(features), outputCol="v").transform(full).select("v")
     return Correlation.corr(v, "v").first()[0].toArray(), n
 
@@ -94,14 +98,16 @@ def _matrix(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, int]:
 def correlated_pairs(df: DataFrame, features: Sequence[str], high: float = 0.95, moderate: float = 0.80) -> DataFrame:
     """Feature pairs above the moderate bound with their band, strongest first."""
     m, n = _matrix(df, features)
-    rows = [] if n < 100 else [(features[i], features[j], float(abs(m[i, j])), "high" if abs(m[i, j]) > high else "moderate")
+    rows = [] if n < FEWEST_ROWS else [(features[i], features[j], float(abs(m[i, j])), "high" if abs(m[i, j]) > high else "moderate")
                                for i in range(len(features)) for j in range(i + 1, len(features)) if abs(m[i, j]) > moderate]
     return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, corr double, band string").orderBy(F.desc("corr"))
 
 
 def inflation_factors(df: DataFrame, features: Sequence[str], limit: float = 10.0, approximate: bool = False) -> DataFrame:
     """Variance inflation per feature over all rows, from the correlation matrix."""
-    m, _ = _matrix(df, features)
+    m, n = _matrix(df, features)
+    if n < FEWEST_ROWS:  # too few complete rows for a verdict
+        return df.sparkSession.createDataFrame([(f, None, None) for f in features], "feature string, vif double, flagged boolean")
     if approximate:
         off = np.abs(m - np.eye(len(features)))
         vif = 1 / (1 - off.max(axis=1) ** 2 + 1e-10)
