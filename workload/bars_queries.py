@@ -62,13 +62,13 @@ def bars_sparse(spark, sf):
 
 #: orders per priority as an irregular fact series with holes; bars are the hourly event bars moved to its years
 FACTS = """facts AS (SELECT CASE event_type WHEN 'click' THEN 'purchase' ELSE event_type END AS symbol, ts, event_id,
-  CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS fv, value * 2 AS gv FROM events WHERE event_id % 3 = 0)"""
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS fv, value * 2 AS gv FROM events)"""
 ASOF = "WITH " + HOURLY + ", " + FACTS + """, latest AS (SELECT symbol, ts, arg_max(ROW(fv, gv), event_id) AS f FROM facts GROUP BY 1, 2),
  picked AS (SELECT b.symbol, b.ts, b.pos, b.close, (l.f)[1] AS fv, (l.f)[2] AS gv FROM bars b ASOF LEFT JOIN latest l ON b.symbol = l.symbol AND b.ts >= l.ts)"""
 
 
 def facts(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 3 = 0")
+    e = table(spark, sf, "events")
     return e.select(F.when(F.col("event_type") == "click", "purchase").otherwise(F.col("event_type")).alias("symbol"), "ts", "event_id",
                     F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("fv"), (F.col("value") * 2).alias("gv"))
 
@@ -86,24 +86,26 @@ def asof_filled(spark, sf):
     return rounded(asof.asof(hourly(spark, sf), [f], tie="event_id", bucket_seconds=86_400).select("symbol", "ts", "fv", "gv"))
 
 
-def _family(spark, sf, mod, rest, **cols_):
-    e = table(spark, sf, "events").filter(f"event_id % {mod} = {rest}")
-    return e.select(F.col("event_type").alias("symbol"), "ts", *[F.expr(x).alias(n) for n, x in cols_.items()])
+def _family(spark, sf, minutes, **cols_):
+    """All events as facts of one family, some minutes late; the last of each time counts."""
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("symbol"), "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return e.select("symbol", (F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTE")).alias("ts"), *[F.expr(x).alias(n) for n, x in cols_.items()])
 
 
-FAMILY_SQL = "WITH " + HOURLY + "".join(f""", {n} AS (SELECT event_type AS symbol, ts, {c} FROM events WHERE event_id % {m} = {k}),
-  j_{n} AS (SELECT b.symbol, b.ts, {', '.join(f'f.{x}' for x in names)} FROM bars b ASOF LEFT JOIN {n} f ON b.symbol = f.symbol AND b.ts >= f.ts)""" for n, m, k, c, names in (
-    ("funding", 4, 0, "value / 1000 AS funding_rate", ["funding_rate"]),
-    ("oi", 4, 1, "value * 10 AS sum_open_interest, value * 20 AS sum_open_interest_value", ["sum_open_interest", "sum_open_interest_value"]),
-    ("mark", 4, 2, "value AS mark_close", ["mark_close"])))
+FAMILY_SQL = "WITH " + HOURLY + ", last AS (SELECT event_type AS symbol, ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2)" + "".join(
+    f""", {n} AS (SELECT symbol, ts + INTERVAL {k} MINUTE AS ts, {c} FROM last),
+  j_{n} AS (SELECT b.symbol, b.ts, {', '.join(f'f.{x}' for x in names)} FROM bars b ASOF LEFT JOIN {n} f ON b.symbol = f.symbol AND b.ts >= f.ts)""" for n, k, c, names in (
+    ("funding", 7, "value / 1000 AS funding_rate", ["funding_rate"]),
+    ("oi", 11, "value * 10 AS sum_open_interest, value * 20 AS sum_open_interest_value", ["sum_open_interest", "sum_open_interest_value"]),
+    ("mark", 0, "value AS mark_close", ["mark_close"])))
 
 
 @query("asof_derivatives", FAMILY_SQL + f""" SELECT b.symbol, b.ts, {r('coalesce(funding_rate, 0)', 'funding_rate')}, {r('coalesce(sum_open_interest, 0)', 'sum_open_interest')},
   {r('coalesce(sum_open_interest_value, 0)', 'sum_open_interest_value')}, {r('mark_close', 'mark_close')}, {r('(close - mark_close) / mark_close * 100', 'basis')}
   FROM bars b JOIN j_funding USING (symbol, ts) JOIN j_oi USING (symbol, ts) JOIN j_mark USING (symbol, ts)""")
 def asof_derivatives(spark, sf):
-    fam = {"funding": _family(spark, sf, 4, 0, funding_rate="value / 1000"),
-           "open_interest": _family(spark, sf, 4, 1, sum_open_interest="value * 10", sum_open_interest_value="value * 20"), "mark": _family(spark, sf, 4, 2, mark_close="value")}
+    fam = {"funding": _family(spark, sf, 7, funding_rate="value / 1000"),
+           "open_interest": _family(spark, sf, 11, sum_open_interest="value * 10", sum_open_interest_value="value * 20"), "mark": _family(spark, sf, 0, mark_close="value")}
     out = asof.with_derivatives(hourly(spark, sf), fam)
     return rounded(out.select("symbol", "ts", "funding_rate", "sum_open_interest", "sum_open_interest_value", "mark_close", "basis"))
 
@@ -111,15 +113,15 @@ def asof_derivatives(spark, sf):
 @query("asof_zero_fill", FAMILY_SQL + f""" SELECT b.symbol, b.ts, {r('coalesce(funding_rate, 0)', 'funding_rate')}, {r('coalesce(sum_open_interest, 0)', 'sum_open_interest')}
   FROM bars b JOIN j_funding USING (symbol, ts) JOIN j_oi USING (symbol, ts)""")
 def asof_zero(spark, sf):
-    fam = {"funding": _family(spark, sf, 4, 0, funding_rate="value / 1000"), "open_interest": _family(spark, sf, 4, 1, sum_open_interest="value * 10"), "mark": _family(spark, sf, 4, 2, mark_close="value")}
+    fam = {"funding": _family(spark, sf, 7, funding_rate="value / 1000"), "open_interest": _family(spark, sf, 11, sum_open_interest="value * 10"), "mark": _family(spark, sf, 0, mark_close="value")}
     return rounded(asof.with_derivatives(hourly(spark, sf), fam, mode="zero").select("symbol", "ts", "funding_rate", "sum_open_interest"))
 
 
-@query("join_exact_time_fill", "WITH " + HOURLY + f""", f AS (SELECT symbol, ts, volume * 2 AS fv FROM bars WHERE pos % 8 = 0)
+@query("join_exact_time_fill", "WITH " + HOURLY + f""", f AS (SELECT symbol, min(ts) AS ts, sum(volume) * 2 AS fv FROM bars GROUP BY symbol, pos // 8)
   SELECT b.symbol, b.ts, round(coalesce(last_value(fv IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.ts), 0), 6) + 0.0 AS fv FROM bars b LEFT JOIN f ON f.symbol = b.symbol AND f.ts = b.ts""")
 def join_exact(spark, sf):
     b = hourly(spark, sf)
-    f = b.filter("pos % 8 = 0").select("symbol", "ts", (F.col("volume") * 2).alias("fv"))
+    f = b.groupBy("symbol", F.floor(F.col("pos") / 8)).agg(F.min("ts").alias("ts"), (F.sum("volume") * 2).alias("fv")).select("symbol", "ts", "fv")
     return rounded(asof.exact_join_fill(b, f, ["fv"], 0.0).select("symbol", "ts", "fv"))
 
 
@@ -140,14 +142,11 @@ def join_benchmark(spark, sf):
     return rounded(benchmark_relation(s).close().select("symbol", "ts", "btc_return", "btc_corr_10", "btc_corr_20", "relative_strength", "btc_beta"))
 
 
-@query("join_benchmark_live", "WITH " + HOURLY + f""", base AS (SELECT ts, {ratio('close', 'lag(close) OVER (ORDER BY ts)')} - 1 AS btc_return FROM bars WHERE symbol = 'view' AND pos % 7 <> 3)
+@query("join_benchmark_live", "WITH " + HOURLY + f""", base AS (SELECT ts + INTERVAL 30 MINUTE AS ts, {ratio('close', 'lag(close) OVER (ORDER BY ts)')} - 1 AS btc_return FROM bars WHERE symbol = 'view')
   SELECT b.symbol, b.ts, {r('base.btc_return', 'btc_return')} FROM bars b ASOF LEFT JOIN base ON b.ts >= base.ts""")
 def join_benchmark_live(spark, sf):
     b = hourly(spark, sf)
-    base = b.filter("symbol = 'view' AND pos % 7 <> 3")
-    from marketspark.functions.series import index_rows, time_bucket
-
-    base = index_rows(base.drop("pos"), ["symbol"], ["ts"], time_bucket("ts", 86_400))
+    base = b.filter("symbol = 'view'").withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 MINUTE"))  # known half an hour later
     return rounded(asof.join_benchmark(b, asof.benchmark_returns(base, "view"), live=True).select("symbol", "ts", "btc_return"))
 
 
@@ -319,8 +318,8 @@ def _scan_side(family):
         return rounded(files.scan_family(spark, _side_files(spark, sf, family), family))
 
 
-for _family in SIDE:
-    _scan_side(_family)
+for _side in SIDE:
+    _scan_side(_side)
 
 
 @query("scan_one_series", "WITH " + HOURLY + f""" SELECT upper(symbol) || 'USDT' AS symbol, ts, CAST(CAST(close AS FLOAT) AS DOUBLE) AS close, {r('volume', 'volume')} FROM bars WHERE symbol = (SELECT max(symbol) FROM bars)""")

@@ -195,14 +195,14 @@ def flagship(spark, sf):
         F.round("take_profit_1", 4).alias("take_profit_1"), F.round("take_profit_2", 4).alias("take_profit_2"), "leverage", F.round("risk_percent", 6).alias("risk_percent"), F.round("position_size_pct", 6).alias("position_size_pct"))
 
 
-#: every third hourly bar opens a signal; direction by position, stop 30 %, target 60 %
+#: every hourly bar opens a signal; direction by position, stop 30 %, target 60 %
 SIGNALS = HOURLY + """, sig AS (SELECT symbol, ts, pos, CASE WHEN pos % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, close AS entry, CASE WHEN pos % 2 = 0 THEN close * 0.3 ELSE close * 2.5 END AS sl,
-   CASE WHEN pos % 2 = 0 THEN close * 2.2 ELSE close * 0.4 END AS tp FROM bars WHERE pos % 3 = 1)"""
+   CASE WHEN pos % 2 = 0 THEN close * 2.2 ELSE close * 0.4 END AS tp FROM bars)"""
 
 
 def bt_signals(bars):
     long = c("pos") % 2 == 0
-    return bars.filter("pos % 3 = 1").select("symbol", "ts", "pos", F.when(long, "LONG").otherwise("SHORT").alias("direction"), c("close").alias("entry"),
+    return bars.select("symbol", "ts", "pos", F.when(long, "LONG").otherwise("SHORT").alias("direction"), c("close").alias("entry"),
                                              F.when(long, c("close") * 0.3).otherwise(c("close") * 2.5).alias("sl"), F.when(long, c("close") * 2.2).otherwise(c("close") * 0.4).alias("tp"))
 
 

@@ -293,7 +293,7 @@ def swing_derivatives(spark, sf):
 
 
 DOM = ["dominance_change_5d", "dominance_change_20d", "dominance_vs_sma", "dominance_rising", "dominance_falling"]
-DOM_SQL = HOURLY + """, dom AS (SELECT ts, 50 + avg(close) / 100 AS btc_dominance FROM bars GROUP BY ts HAVING extract(hour FROM ts) % 3 = 0),
+DOM_SQL = HOURLY + """, dom AS (SELECT time_bucket(INTERVAL 3 HOUR, ts) AS ts, 50 + avg(close) / 100 AS btc_dominance FROM bars GROUP BY 1),
  joined AS (SELECT b.*, last_value(d.btc_dominance IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY b.ts) AS btc_dominance FROM bars b LEFT JOIN dom d ON d.ts = b.ts)"""
 
 
@@ -302,7 +302,7 @@ DOM_SQL = HOURLY + """, dom AS (SELECT ts, 50 + avg(close) / 100 AS btc_dominanc
     {"dominance_rising": flag("dominance_change_5d > 0.01"), "dominance_falling": flag("dominance_change_5d < -0.01")}], DOM, source="joined"))
 def swing_dominance(spark, sf):
     b = hourly(spark, sf)
-    dom = b.groupBy("ts").agg((50 + F.avg("close") / 100).alias("btc_dominance")).filter(F.hour("ts") % 3 == 0)
+    dom = b.groupBy(F.window("ts", "3 hours").start.alias("ts")).agg((50 + F.avg("close") / 100).alias("btc_dominance"))
     return out(swing.swing_features(asof.join_market_series(b, dom)), DOM)
 
 
