@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that one block holds; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Bytes that one run of prefix sums covers in :func:`span_hash`.
 CHUNK = 1 << 20
 
