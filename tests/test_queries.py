@@ -32,3 +32,9 @@ def test_runs_without_sql(spark, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns and df.count() > 0
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    monkeypatch.setattr(entry, "find_spec", lambda name: None)
+    assert "trade_signals_flagship" in entry.queries() and not [n for n in entry.queries() if n == "pipeline" or n.startswith("op")]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
