@@ -13,7 +13,7 @@ from marketspark.operators.features import build, labels, technical
 from marketspark.session import materialize, shared_folder
 from marketspark.streaming import jobs
 from workload.feature_queries import BASE_STAGES
-from workload.registry import HOURLY, event_ticks, hourly, query, r, rounded, table
+from workload.registry import EVENT_TICKS, HOURLY, event_ticks, hourly, query, r, rounded, table
 from workload.sqltext import W, staged
 
 c = F.col
@@ -410,11 +410,44 @@ def stream_bars(spark, sf):
     return rounded(_drain(jobs.stream_bars(s, "1h", late="10 minutes")))
 
 
-@query("stream_sliding_statistics")
+@query("stream_sliding_statistics", f"""WITH {EVENT_TICKS}, w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events),
+  x AS (SELECT symbol, price, qty, date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS st FROM ticks, (SELECT unnest(range(4)) AS k))
+  SELECT symbol, st AS ts, count(price) AS n, {r('avg(price)', 'mean')}, {r('stddev_samp(price)', 'std')}, {r('sum(qty)', 'volume')}, {r('min(price)', 'low')}
+  FROM x, w WHERE st + INTERVAL 4 HOUR <= mark GROUP BY 1, 2""")
 def stream_sliding(spark, sf):
     path = _tick_files(spark, sf)
     s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return _drain(jobs.sliding_statistics(s, "4 hours", "1 hour"))
+    return rounded(_drain(jobs.sliding_statistics(s, "4 hours", "1 hour")))
+
+
+def _score_stream(spark, sf):
+    """Events as scores of models, read as a stream."""
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    table(spark, sf, "events").select(
+        c("event_type").alias("model"), "ts", ((c("user_id") % 100) / 100.0).alias("risk_score"), c("value").alias("latency_ms"),
+        ((c("event_id") % 100) / 100.0).alias("confidence")).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+@query("stream_alerts", """WITH a AS (
+  SELECT event_type AS model, unnest(list_filter([CASE WHEN value > 100 THEN 'HIGH_LATENCY' END, CASE WHEN (event_id % 100) / 100.0 < 0.3 THEN 'LOW_CONFIDENCE' END,
+         CASE WHEN (user_id % 100) / 100.0 > 0.9 THEN 'HIGH_RISK' END], lambda x: x IS NOT NULL)) AS alert FROM events)
+  SELECT model, alert, count(*) AS n FROM a GROUP BY 1, 2""")
+def stream_alerts(spark, sf):
+    base = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    w = _score_stream(spark, sf).writeStream.foreachBatch(jobs.alert_sink(f"{base}/scores", f"{base}/alerts"))
+    w.option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("model string, alert string").json(f"{base}/alerts/*")
+    return found.filter("alert <> 'SIGNAL_DEGRADATION'").groupBy("model", "alert").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_refresh", f"SELECT event_type AS model, count(*) AS n, {r('max(value)', 'worst')} FROM events GROUP BY 1")
+def stream_refresh(spark, sf):
+    base = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    build = lambda d: d.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max("latency_ms").alias("worst"))
+    publish = lambda d: d.write.mode("overwrite").parquet(f"{base}/out")
+    jobs.refresh(_score_stream(spark, sf), build, publish, f"{base}/chk", f"{base}/store", {"availableNow": True}).awaitTermination()
+    return rounded(spark.read.parquet(f"{base}/out"))
 
 
 @query("stream_prediction_history", f"SELECT event_type AS symbol, ts, {r('value', 'price')} FROM events")
