@@ -105,9 +105,17 @@ def base(spark, sf):
     return technical.base_features(hourly(spark, sf))
 
 
-@query("feature_pairs_correlated", f"{_base}, pr AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, abs(corr({a}, {b})) AS x FROM fx" for a, b in _pairs) + f") SELECT feature_1, feature_2, {r('x', 'corr')}, CASE WHEN x > 0.95 THEN 'high' ELSE 'moderate' END AS band FROM pr WHERE x > 0.80")
+#: two more features, one nearly and one wholly told by others, so that both bands occur
+MORE = {"rsi_mean": "(rsi_7 + rsi_14) / 2", "atr_double": "atr * 2"}
+_more_pairs = [(a, b) for i, a in enumerate([*FEATS, *MORE]) for b in [*FEATS, *MORE][i + 1:]]
+
+
+@query("feature_pairs_correlated", f"{_base}, fm AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in MORE.items())} FROM fx), pr AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, abs(corr({a}, {b})) AS x FROM fm" for a, b in _more_pairs) + f""")
+  SELECT feature_1, feature_2, {r('x', 'corr')}, CASE WHEN x > 0.95 THEN 'high' ELSE 'moderate' END AS band FROM pr WHERE x > 0.80""")
 def feature_pairs(spark, sf):
-    return rounded(quality.correlated_pairs(materialize(base(spark, sf), "base"), FEATS))
+    d = base(spark, sf).withColumns({n: F.expr(x) for n, x in MORE.items()})
+    return rounded(quality.correlated_pairs(materialize(d, "base"), [*FEATS, *MORE]))
 
 
 @query("feature_low_variance", f"{_base} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, {r(f'var_pop({f})', 'variance')}, var_pop({f}) <= 0.01 AS dropped FROM fx" for f in FEATS))
