@@ -124,6 +124,28 @@ def equal_prefixes(data: np.ndarray, at: np.ndarray, length: int = LENGTH, shall
     return blind_tries(keys, order, head, length)
 
 
+def later_copies(data: np.ndarray, at: np.ndarray, length: int = LENGTH, chunk: int = CHUNK_SUFFIXES) -> np.ndarray:
+    """Which of the suffixes, given in document order, have an equal one before them (their places in ``at``).
+
+    More suffixes than two chunks are dealt by a hash of their bytes first, so that a seed with very many different strings
+    needs no more memory than others; equal ones stay together.
+    """
+    if len(at) > 2 * chunk:
+        parts = -(-len(at) // chunk)
+        of = (Prefix(BYTE[data]).spans(at, at + length) >> U(7)) % U(parts)
+        found = [np.flatnonzero(of == U(k)) for k in range(parts)]
+    else:
+        found = [np.arange(len(at))]
+    out = [np.zeros(0, np.int64)]
+    for some in found:
+        if len(some):
+            order, head = equal_prefixes(data, at[some], length)
+            first = np.flatnonzero(head)
+            least = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order))))
+            out.append(some[order[order != least]])
+    return np.concatenate(out)
+
+
 def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed: int) -> DataFrame:
     """(id, uid, start, n): runs of starts whose ``length`` bytes also start earlier in the corpus."""
     twice = repeated_seeds(df, text_col, lambda data, at: _strings(data, at, length, seed)[-1])
@@ -189,10 +211,7 @@ def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed:
             part = part[np.lexsort((begin[part], uid[part], doc[part]))]
             string = np.repeat(part, count[part])
             inner = spread(np.zeros(len(part), np.int64), count[part])
-            order, head = equal_prefixes(data, place[string] + inner, length)
-            at = np.flatnonzero(head)
-            least = np.repeat(np.minimum.reduceat(order, at), np.diff(np.append(at, len(order))))
-            gone = order[order != least]
+            gone = later_copies(data, place[string] + inner, length)
             out.append((doc[string[gone]], uid[string[gone]], begin[string[gone]] + inner[gone], np.ones(len(gone), np.int64)))
         doc, uid, begin, count = (np.concatenate(c) for c in zip(*out))
         if len(doc):

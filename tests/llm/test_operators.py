@@ -100,6 +100,20 @@ def test_suffix_order():
     assert head.tolist() == [k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]
 
 
+def test_later_copies_in_parts():
+    rng = np.random.default_rng(4)
+    data = np.tile(rng.integers(97, 123, 300), 5).astype(np.uint8)
+    data[650] = 65
+    at = np.arange(len(data) - 100)
+    raw, seen, want = data.tobytes(), set(), []
+    for k, i in enumerate(at):
+        if raw[i:i + 100] in seen:
+            want.append(k)
+        seen.add(raw[i:i + 100])
+    assert sorted(suffixes.later_copies(data, at).tolist()) == want
+    assert sorted(suffixes.later_copies(data, at, chunk=50).tolist()) == want
+
+
 def shingle_sets(rows):
     out = []
     for i, t, *_ in rows:
