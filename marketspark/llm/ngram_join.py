@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -187,32 +187,6 @@ def _rows(df: DataFrame, id_col: str, text_col: str, n: int, jaccard, repeated,
         make, "id long, sid long, n long, rare array<long>, often array<long>")
 
 
-def _hub_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (g, sid) sorted by both: (hub, sid) for every column with two rows or more; the first row of a column is its hub."""
-    last_g = last_hub = last_sid = None
-    for b in batches:
-        g, sid = (b.column(i).to_numpy() for i in (0, 1))
-        if not len(g):
-            continue
-        head = np.ones(len(g), bool)
-        head[1:] = g[1:] != g[:-1]
-        carry = last_g is not None and g[0] == last_g
-        hub = sid[np.maximum.accumulate(np.where(head, np.arange(len(g)), 0))]
-        if carry:
-            head[0] = False
-            stop = int(np.argmax(head)) if head.any() else len(g)
-            hub[:stop] = last_hub
-        fresh = np.ones(len(g), bool)
-        fresh[1:] = (sid[1:] != sid[:-1]) | head[1:]
-        if carry:
-            fresh[0] = sid[0] != last_sid
-        member = fresh & (sid != hub)
-        out_h, out_s = hub[member], sid[member]
-        pairs = np.unique(np.stack((np.concatenate((out_h, out_h)), np.concatenate((out_s, out_h))), 1), axis=0) if len(out_h) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["hub", "sid"])
-        last_g, last_hub, last_sid = g[-1], hub[-1], sid[-1]
-
-
 def _group(label: np.ndarray, i: int, others: np.ndarray) -> None:
     """Joins the components of ``others`` with that of i."""
     for old in np.unique(label[others]):
@@ -321,8 +295,10 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     table = stored(_rows(df, id_col, text_col, n, jaccard, repeated, counters), "join-rows")
     some = table.filter("n > 0 AND id IS NOT NULL")
     reps = some.groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    # rare columns meet by sorting; a frequent column has its hub from one partial minimum, and no rows are gathered for it
-    rare = some.select(F.explode("rare").alias("g"), "sid").repartition("g").sortWithinPartitions("g", "sid").mapInArrow(_hub_links, "hub long, sid long")
+    # a rare column has few rows, which meet; a frequent column has its hub from one partial minimum, and no rows are gathered for it
+    column = Window.partitionBy("g")
+    rare = some.select(F.explode("rare").alias("g"), "sid").select(F.min("sid").over(column).alias("hub"), F.max("sid").over(column).alias("top"), "sid")
+    rare = rare.filter("hub <> top").select("hub", "sid")
     often = some.select(F.explode("often").alias("g"), "sid")
     hubs = stored(often.groupBy("g").agg(F.min("sid").alias("hub")), "join-hubs")  # a table, so that the join can split a hot column
     often = often.join(hubs, "g").select("hub", "sid")

@@ -19,7 +19,7 @@ from marketspark.session import shared_folder
 #: Bits of the largest bitmap that is broadcast: 16 MB, whatever the input. A full bitmap lets more rows through; results stay the same.
 MOST_BITS = 1 << 27
 #: Bytes of one Arrow batch, so that batches of long texts stay small in every task.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 #: Bits that one value of bitmap_construct_agg holds (a fixed value of Spark).
 PAGE = 32768
 

@@ -5,6 +5,7 @@ Each helper works on one bounded block of rows that Spark hands to a task; nothi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,11 @@ import xxhash
 #: Bytes of text that one block holds; a longer text is a block of its own.
 BLOCK = 2 << 20
 #: Bytes that one run of prefix sums covers in :func:`span_hash`.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 U = np.uint64
+#: The C library's call that returns free memory, where it has one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -65,6 +68,13 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0]:at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on and would keep it for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def blocks(at: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Row ranges whose bytes stay under ``limit``, or single longer rows."""
     lo, n = 0, len(at) - 1
@@ -72,6 +82,7 @@ def blocks(at: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
+    release()
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

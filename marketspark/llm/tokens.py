@@ -20,7 +20,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMAL = ["NFC", "Replace", "Lowercase"]
 END = "</w>"
 #: Pieces that a worker remembers.
-MOST_PIECES = 1_500_000
+MOST_PIECES = 800_000
 
 LETTER, NUMBER, OTHER, GAP = 0, 1, 2, 3
 
