@@ -17,7 +17,7 @@ from marketspark.llm import components, curriculum, exact, hilbert, language, ng
 from marketspark.llm.suffixes import equal_prefixes
 from marketspark.llm.tokens import Encoder
 
-from .cases import SCHEMA, copy_rows, edge_rows, frame, got
+from .cases import SCHEMA, copy_rows, edge_rows, frame, got, rows_of
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -154,6 +154,50 @@ def test_ngram_join_large_hubs(spark):
     assert got(df, "doc_id", "n_shingles", "component_id") == want
 
 
+def boilerplate_rows(n, own, shared=120, seed=3):
+    """Texts with a passage of ``shared`` words in common and ``own`` words of each."""
+    rng = np.random.default_rng(seed)
+    passage = " ".join(f"p{i}" for i in range(shared))
+    return rows_of([passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, own)) for _ in range(n)])
+
+
+def test_ngram_join_boilerplate(spark):
+    rows = boilerplate_rows(40, 30)  # 116 of 146 shingles in common: nothing links
+    df = frame(spark, rows)
+    repeated = ngram_join._repeated(df, "text", 5)
+    table = ngram_join._rows(df, "doc_id", "text", 5, (75, 100), repeated, ngram_join._frequencies(df, "text", 5, (75, 100), repeated))
+    assert table.filter("size(often) > 0").count() == 40  # the prefix reaches into the passage
+    assert ngram_join._members(table.filter("n > 0")).count() == 0
+    assert got(ngram_join.similar(df), "doc_id", "n_shingles", "component_id") == brute_components(shingle_sets(rows))
+
+
+def test_ngram_join_tiles(spark):
+    rng = np.random.default_rng(6)
+    parts = [" ".join(f"s{k}x{i}" for i in range(20)) for k in range(50)]
+    rows = rows_of([" ".join(parts[k] for k in np.sort(rng.choice(50, 42, replace=False))) for _ in range(48)] + [" ".join(parts[:40])] * 2)
+    want = brute_components(shingle_sets(rows))
+    assert got(ngram_join.similar(frame(spark, rows), block_rows=6), "doc_id", "n_shingles", "component_id") == want
+    where = [(1, i, i, 100, i % 3 > 0, i < 500) for i in range(600)]
+    df = spark.createDataFrame(where, "hub long, rep long, sid long, n long, early boolean, stray boolean")
+    tiles = [tuple(r) for r in ngram_join._tiles(df, 100, 1_000_000).collect()]
+    held = defaultdict(list)
+    for hub, lo, hi, side, early, rep, sid in tiles:
+        held[lo, hi].append((side, early, sid))
+    assert max(map(len, held.values())) < 160  # 100 in the mean, as they are dealt by hash; one block had all 500 strays before
+    met = set()
+    for (lo, hi), x in held.items():
+        for k, (s, e, i) in enumerate(x):
+            met |= {(min(i, j), max(i, j)) for s2, e2, j in x[:k] if (lo == hi or s != s2) and (e or e2)}
+    must = {(i, j) for j in range(600) for i in range(j) if (where[i][4] or where[j][4]) and (where[i][5] or where[j][5])}
+    assert must <= met
+
+
+def test_counter_levels():
+    total = np.concatenate((np.arange(2000), 2 ** np.arange(11, 23)))
+    level = ngram_join._level(total)
+    assert (np.diff(level.astype(int)) >= 0).all() and level[:128].tolist() == list(range(128)) and len(set(level[-12:].tolist())) == 12
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (7, 7)]
     want = sorted([(i, 0) for i in range(41)] + [(100, 100), (103, 100), (105, 100)])
