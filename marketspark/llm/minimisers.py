@@ -3,6 +3,9 @@
 A window's minimiser is the seed with the smallest hash inside it (the leftmost of equals), so equal windows have equal
 minimisers at equal offsets, wherever they are. Seeds that occur once in the corpus cannot lie in a repeated window; a
 bounded bitmap of the repeated ones keeps the other strings at home. A full bitmap only lets more strings travel.
+
+A seed around which very many strings lie (a hot one) is no bucket: its windows travel one by one, each to the bucket of its own hash. Equal windows
+have equal seeds, so they are dealt alike wherever they are; a second bounded bitmap tells the hot seeds, and a bit too many only deals more windows so.
 """
 
 from __future__ import annotations
@@ -16,13 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import MOST_BITS, PAGE, bits_for, bitmap_of, collect_bitmap, in_bitmap, shuffle_width
-from .textblocks import BASE, INVERSE, POWER, U, _powers, blocks, text_bytes
+from .textblocks import BASE, INVERSE, POWER, U, _powers, blocks, spread, text_bytes
 
 #: Bytes of text in one block here: the arrays of a block take about 100 times as much.
 BLOCK = 1 << 20
 #: Low bits that hold a position, so that a minimum also tells where it is.
 PLACE = U((1 << 31) - 1)
 SCRAMBLE = U(0x9FB21C651E98DF25)
+#: Strings from which on a seed is hot.
+HOT = 1 << 15
+#: Bytes of strings that leave a block at once.
+SENT = 8 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +96,9 @@ def bucket_of(seeds: np.ndarray, count: int) -> np.ndarray:
     return ((seeds >> U(20)) % U(count)).astype(np.int64)
 
 
-def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Broadcast:
-    """Bitmap of the seeds that the corpus holds at least twice. Blocks send each seed once or twice, packed by segment.
+def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray, np.ndarray], np.ndarray], hot: int | None = None):
+    """Bitmap of the seeds that the corpus holds at least twice; with ``hot`` also that of those it holds so often. Blocks send each
+    seed once or twice, packed by segment, and for the second bitmap the count of one that they hold more often.
 
     A seed travels as 32 bits beside its segment; two seeds that agree in all of them only set a bit too many.
     """
@@ -108,42 +116,92 @@ def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray,
                     i, j = i + lo, j + lo
                     got.append(seeds_of(data[at[i]:at[j]], at[i:j + 1] - at[i]))
                 found, times = np.unique(np.concatenate(got), return_counts=True)
-                found = np.concatenate((found, found[times > 1]))
+                many = np.flatnonzero(times > 2) if hot else np.zeros(0, np.int64)
+                rest = (times[many] - 2).astype(np.uint32)
+                found = np.concatenate((found, found[times > 1], found[many]))
                 part = (((found & U(MOST_BITS - 1)) // per) * U(subs) + (found >> U(40)) % U(subs)).astype(np.int64)
                 low = U(int(per).bit_length() - 1)
                 short = ((found & (per - U(1))) | ((found >> U(32)) << low)).astype(np.uint32)
-                order = np.argsort(part, kind="stable")
-                found, ends = short[order], np.cumsum(np.bincount(part, minlength=parts))
-                full = np.flatnonzero(np.diff(np.append(0, ends)))
-                held = [found[ends[k] - n:ends[k]].tobytes() for k, n in zip(full, np.diff(np.append(0, ends))[full])]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(held, pa.binary())], ["part", "held"])
-
-    def pages(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        seeds = np.sort(np.frombuffer(b"".join(held), np.uint32))
-        bit = np.unique((seeds[1:][seeds[1:] == seeds[:-1]] & np.uint32(per - U(1))).astype(np.int64))
+
+                def packed(part: np.ndarray, *values: np.ndarray) -> list[list[bytes]]:
+                    order, ends = np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+                    return [[v[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])] for v in (x[order] for x in values)]
+
+                n = len(found) - len(many)
+                (held,), (more, extra) = packed(part[:n], short[:n]), packed(part[n:], short[n:], rest)
+                full = [k for k in range(parts) if held[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([v[k] for k in full], pa.binary()) for v in (held, more, extra))], ["part", "held", "more", "extra"])
+
+    def told(part: int, seeds: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(int(per), np.uint8)
-        bits[bit] = 1
+        bits[(seeds & np.uint32(per - U(1))).astype(np.int64)] = 1
         packed = np.packbits(bits, bitorder="little").reshape(-1, PAGE // 8)
         some = np.flatnonzero(packed.any(1))
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some + int(part) // subs * len(packed) + 1, pa.int64()), pa.array([packed[k].tobytes() for k in some], pa.binary())], ["page", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(some + int(part) // subs * len(packed) + 1 + shift, pa.int64()), pa.array([packed[k].tobytes() for k in some], pa.binary())], ["page", "held"])
+
+    def pages(part: int, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        seeds, more, extra = (np.frombuffer(b"".join(h), np.uint32) for h in held)
+        seeds = np.sort(seeds)
+        yield from told(part, seeds[1:][seeds[1:] == seeds[:-1]], 0)
+        if hot:
+            head = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1]))
+            total = np.diff(np.append(head, len(seeds)))
+            total += np.bincount(np.searchsorted(seeds[head], more), weights=extra, minlength=len(head)).astype(np.int64)
+            yield from told(part, seeds[head[total >= hot]], MOST_BITS // PAGE)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
+        part, held = None, [[], [], []]
         for b in batches:
-            for p, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if p != part and held:
+            for p, *values in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if p != part and held[0]:
                     yield from pages(part, held)
-                    held = []
+                    held = [[], [], []]
                 part = p
-                held.append(h)
-        if held:
+                for h, v in zip(held, values):
+                    h.append(v)
+        if held[0]:
             yield from pages(part, held)
 
-    sent = df.select(F.col(text_col).cast("string")).mapInArrow(gather, "part int, held binary")
+    sent = df.select(F.col(text_col).cast("string")).mapInArrow(gather, "part int, held binary, more binary, extra binary")
     found = sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "page long, held binary")
     found = found.groupBy("page").agg(F.bitmap_or_agg("held").alias("held"))
-    return spark.sparkContext.broadcast(collect_bitmap(found, MOST_BITS))
+    if hot is None:
+        return spark.sparkContext.broadcast(collect_bitmap(found, MOST_BITS))
+    both = collect_bitmap(found, 2 * MOST_BITS)
+    return tuple(spark.sparkContext.broadcast(x.copy()) for x in (both[:MOST_BITS // 8], both[MOST_BITS // 8:]))
+
+
+def seed_bitmaps(df: DataFrame, text_col: str, strings_of, window: int, hot: int) -> tuple[Broadcast, Broadcast, Broadcast]:
+    """Bitmaps of the repeated seeds, of the hot ones, and of the repeated windows of hot seeds (a second pass, if there are hot ones).
+
+    ``strings_of`` ends in prefix hashes, first windows, numbers of windows and seeds of a block.
+    """
+    twice, often = repeated_seeds(df, text_col, lambda data, at: strings_of(data, at)[-1], hot)
+    if not often.value.any():
+        return twice, often, often
+
+    def singles(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        prefix, first, count, seed_hash = strings_of(data, at)[-4:]
+        many = in_bitmap(often.value, seed_hash)
+        first = spread(first[many], count[many])
+        return prefix.spans(first, first + window)
+
+    return twice, often, repeated_seeds(df, text_col, singles)
+
+
+def dealt(prefix: Prefix, first: np.ndarray, count: np.ndarray, seed_hash: np.ndarray, window: int, hot: np.ndarray, again: np.ndarray):
+    """Strings (first window, windows, seed) with those of hot seeds cut into single windows, each with its own hash as the seed; windows
+    that occur once in the corpus stay at home."""
+    many = in_bitmap(hot, seed_hash)
+    if not many.any():
+        return first, count, seed_hash
+    single = spread(first[many], count[many])
+    single = single[in_bitmap(again, prefix.spans(single, single + window))]
+    first = np.concatenate((first[~many], single))
+    order = np.argsort(first, kind="stable")
+    count = np.concatenate((count[~many], np.ones(len(single), np.int64)))[order]
+    return first[order], count, np.concatenate((seed_hash[~many], prefix.spans(single, single + window)))[order]
 
 
 def ranges_by_document(ranges: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Repeated runs of words by super-k-mer partitioning.
 
 Consecutive windows of 13 words that share a minimiser (a seed of five words) travel as one packed string to the bucket of
-that seed, so every occurrence of a window meets there. The bucket sorts its windows and finds for each the smallest
+that seed (with very many strings around one seed: each window to the bucket of its hash), so every occurrence of a window meets there. The bucket sorts its windows and finds for each the smallest
 document that has it. Copies inside one block of a task are settled there: only the smallest document's string travels, so
 a text that holds a third of all rows sends each task's share once.
 
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minimisers import BLOCK, Prefix, bucket_of, buckets, finish, in_bitmap, minimiser_runs, repeated_seeds
+from .minimisers import BLOCK, HOT, SENT, Prefix, bucket_of, buckets, dealt, finish, in_bitmap, minimiser_runs, seed_bitmaps
 from .tables import stored
 from .textblocks import BYTE, U, binary, blocks, lists, mix, span_hash, spread, text_bytes, windows, words
 
@@ -61,9 +61,9 @@ def _merged(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, n: np.ndarray)
     return [pa.array(doc[at]), pa.array(uid[at]), pa.array(start[at]), pa.array(total)]
 
 
-def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> DataFrame:
+def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int, hot: int = HOT) -> DataFrame:
     """(id, uid, start, n): runs of windows whose words also start in a document with a smaller id."""
-    twice = repeated_seeds(df, text_col, lambda data, at: _strings(data, at, window, seed)[-1])
+    twice, often, again = seed_bitmaps(df, text_col, lambda data, at: _strings(data, at, window, seed), window, hot)
     parts = buckets(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(text).alias("uid"), text.alias("text"))
@@ -78,12 +78,14 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
                 go = np.flatnonzero(in_bitmap(twice.value, seed_hash))
                 if not len(go):
                     continue
-                first, count, seed_hash = first[go], count[go], seed_hash[go]
+                first, count, seed_hash = dealt(prefix, first[go], count[go], seed_hash[go], window, often.value, again.value)
+                if not len(first):
+                    continue
                 word0 = np.searchsorted(row, np.arange(hi - lo))
                 doc, uid = ids[lo:hi][row[first]], uids[lo:hi][row[first]]
                 begin = first - word0[row[first]]
                 by, head = smallest_first(prefix.spans(first, first + count + window - 1), doc)
-                copy = np.zeros(len(go), bool)
+                copy = np.zeros(len(first), bool)
                 copy[by] = doc[by] > doc[by][head]
                 if copy.any():
                     merged = _merged(doc[copy], uid[copy], begin[copy], count[copy])
@@ -91,23 +93,26 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
                     yield pa.RecordBatch.from_arrays([pa.array(bucket_of(seed_hash[:1], parts), pa.int32()), *map(one, merged), pa.array([None], pa.binary())], ["part", "id", "uid", "start", "n", "held"])
                 send = np.flatnonzero(~copy)
                 part = bucket_of(seed_hash[send], parts)
-                send = send[np.argsort(part, kind="stable")]
-                part = np.sort(part, kind="stable")
-                # the strings, words joined by one space and strings ended by a line feed
-                length = count[send] + window - 1
-                word = spread(first[send], length)
-                size = end[word] - start[word] + 1
-                held = data[np.minimum(spread(start[word], size), len(data) - 1)].copy()
-                ends = np.cumsum(size)
-                held[ends - 1] = 32
-                stops = np.cumsum(length)
-                held[ends[stops - 1] - 1] = 10
-                parts_here, k = np.unique(part, return_counts=True)
-                cut = np.concatenate(([0], np.cumsum(k)))
-                byte_cut = np.concatenate(([0], ends[stops[cut[1:] - 1] - 1]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(parts_here, pa.int32()), *(lists(np.ascontiguousarray(v[send]), cut) for v in (doc, uid, begin, count)), binary(held, byte_cut)],
-                    ["part", "id", "uid", "start", "n", "held"])
+                everything = send[np.argsort(part, kind="stable")]
+                parts_of = np.sort(part, kind="stable")
+                far = end[first[everything] + count[everything] + window - 2] - start[first[everything]] + 1
+                for i, j in blocks(np.append(0, np.cumsum(far)), SENT):
+                    send, part = everything[i:j], parts_of[i:j]
+                    # the strings, words joined by one space and strings ended by a line feed
+                    length = count[send] + window - 1
+                    word = spread(first[send], length)
+                    size = end[word] - start[word] + 1
+                    held = data[np.minimum(spread(start[word], size), len(data) - 1)].copy()
+                    ends = np.cumsum(size)
+                    held[ends - 1] = 32
+                    stops = np.cumsum(length)
+                    held[ends[stops - 1] - 1] = 10
+                    parts_here, k = np.unique(part, return_counts=True)
+                    cut = np.concatenate(([0], np.cumsum(k)))
+                    byte_cut = np.concatenate(([0], ends[stops[cut[1:] - 1] - 1]))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(parts_here, pa.int32()), *(lists(np.ascontiguousarray(v[send]), cut) for v in (doc, uid, begin, count)), binary(held, byte_cut)],
+                        ["part", "id", "uid", "start", "n", "held"])
 
     def judge(ids, uids, starts, texts) -> Iterator[pa.RecordBatch]:
         doc, uid, begin = (np.concatenate(x) for x in (ids, uids, starts))
@@ -163,9 +168,9 @@ def covered(rows: int, base: np.ndarray, spans: pa.Array, width: int, total: int
     return np.cumsum(step[:-1]) > 0
 
 
-def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """id, n_words, n_removed, kept_text (the kept words joined by one space) of each row of ``df``."""
-    ranges = stored(removed_windows(df, id_col, text_col, window, seed).select(F.when(F.col("id") != NONE, F.col("id")).alias("id"), "uid", "start", "n"), "removed-windows")
+    ranges = stored(removed_windows(df, id_col, text_col, window, seed, hot).select(F.when(F.col("id") != NONE, F.col("id")).alias("id"), "uid", "start", "n"), "removed-windows")
 
     def work(ids, texts, spans) -> Iterator[pa.RecordBatch]:
         data_all, at_all = text_bytes(texts)

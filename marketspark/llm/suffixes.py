@@ -1,7 +1,7 @@
 """Repeated byte strings by suffix sorting: a multikey sort to a shallow depth, then blind tries for the deep groups.
 
 The suffixes of the corpus are dealt by the minimiser of their first 100 bytes, so equal prefixes meet in one bucket, and
-neighbouring suffixes with one minimiser travel as one string. Suffixes whose minimiser occurs once cannot repeat and stay
+neighbouring suffixes with one minimiser travel as one string (with very many strings around one minimiser: each suffix to the bucket of its hash). Suffixes whose minimiser occurs once cannot repeat and stay
 at home; equal strings are settled once, so only the strings around the edges of repeated passages are sorted suffix by
 suffix. A bucket orders its suffixes by eight bytes at a time to 24 bytes; groups that are still equal are ordered by blind
 tries: a trie node skips the bytes its suffixes share, found by comparing them with one leader, and branches by one byte.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minimisers import BLOCK, Prefix, bucket_of, buckets, finish, in_bitmap, minimiser_runs, repeated_seeds
+from .minimisers import BLOCK, HOT, SENT, Prefix, bucket_of, buckets, dealt, finish, in_bitmap, minimiser_runs, seed_bitmaps
 from .substrings import NONE, _merged, covered, smallest_first
 from .tables import stored
 from .textblocks import BYTE, U, binary, blocks, lists, runs, spread, text_bytes
@@ -146,9 +146,9 @@ def later_copies(data: np.ndarray, at: np.ndarray, length: int = LENGTH, chunk:
     return np.concatenate(out)
 
 
-def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed: int) -> DataFrame:
+def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed: int, hot: int = HOT) -> DataFrame:
     """(id, uid, start, n): runs of starts whose ``length`` bytes also start earlier in the corpus."""
-    twice = repeated_seeds(df, text_col, lambda data, at: _strings(data, at, length, seed)[-1])
+    twice, often, again = seed_bitmaps(df, text_col, lambda data, at: _strings(data, at, length, seed), length, hot)
     parts = buckets(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(text).alias("uid"), text.alias("text"))
@@ -164,12 +164,14 @@ def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed:
                 go = np.flatnonzero(in_bitmap(twice.value, seed_hash))
                 if not len(go):
                     continue
-                first, count, seed_hash = first[go], count[go], seed_hash[go]
+                first, count, seed_hash = dealt(prefix, first[go], count[go], seed_hash[go], length, often.value, again.value)
+                if not len(first):
+                    continue
                 row = np.searchsorted(at, first, "right") - 1
                 doc, uid, begin = ids[lo:hi][row], uids[lo:hi][row], first - at[row]
                 size = count + length - 1
                 by, head = smallest_first(prefix.spans(first, first + size), doc, uid, begin)
-                copy = np.zeros(len(go), bool)
+                copy = np.zeros(len(first), bool)
                 copy[by] = (doc[by] != doc[by][head]) | (uid[by] != uid[by][head]) | (begin[by] != begin[by][head])
                 if copy.any():
                     merged = _merged(doc[copy], uid[copy], begin[copy], count[copy])
@@ -177,15 +179,17 @@ def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed:
                     yield pa.RecordBatch.from_arrays([pa.array(bucket_of(seed_hash[:1], parts), pa.int32()), *map(one, merged), pa.array([[]], pa.list_(pa.int64())), pa.array([None], pa.binary())], names)
                 send = np.flatnonzero(~copy)
                 part = bucket_of(seed_hash[send], parts)
-                send = send[np.argsort(part, kind="stable")]
-                part = np.sort(part, kind="stable")
-                here, k = np.unique(part, return_counts=True)
-                cut = np.concatenate(([0], np.cumsum(k)))
-                held = data[spread(first[send], size[send])]
-                ends = np.cumsum(size[send])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(here, pa.int32()), *(lists(np.ascontiguousarray(v[send]), cut) for v in (doc, uid, begin, count)),
-                    lists(seed_hash[send].view(np.int64), cut), binary(held, np.concatenate(([0], ends[cut[1:] - 1])))], names)
+                everything = send[np.argsort(part, kind="stable")]
+                parts_of = np.sort(part, kind="stable")
+                for i, j in blocks(np.append(0, np.cumsum(size[everything])), SENT):
+                    send = everything[i:j]
+                    here, k = np.unique(parts_of[i:j], return_counts=True)
+                    cut = np.concatenate(([0], np.cumsum(k)))
+                    held = data[spread(first[send], size[send])]
+                    ends = np.cumsum(size[send])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(here, pa.int32()), *(lists(np.ascontiguousarray(v[send]), cut) for v in (doc, uid, begin, count)),
+                        lists(seed_hash[send].view(np.int64), cut), binary(held, np.concatenate(([0], ends[cut[1:] - 1])))], names)
 
     def judge(columns: list[list[np.ndarray]], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         doc, uid, begin, count, seeds = (np.concatenate(c) for c in columns)
@@ -240,9 +244,9 @@ def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed:
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(settle, "id long, uid long, start long, n long")
 
 
-def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row of ``df``."""
-    ranges = stored(removed_starts(df, id_col, text_col, length, seed).select(F.when(F.col("id") != NONE, F.col("id")).alias("id"), "uid", "start", "n"), "removed-starts")
+    ranges = stored(removed_starts(df, id_col, text_col, length, seed, hot).select(F.when(F.col("id") != NONE, F.col("id")).alias("id"), "uid", "start", "n"), "removed-starts")
 
     def work(ids, texts, spans) -> Iterator[pa.RecordBatch]:
         data_all, at_all = text_bytes(texts)

@@ -13,8 +13,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from marketspark.llm import components, curriculum, exact, hilbert, language, ngram_join, packing, quality, sharding, spots, substrings, suffixes, tables
+from marketspark.llm import components, curriculum, exact, hilbert, language, minimisers, ngram_join, packing, quality, sharding, spots, substrings, suffixes, tables
 from marketspark.llm.suffixes import equal_prefixes
+from marketspark.llm.textblocks import text_bytes
 from marketspark.llm.tokens import Encoder
 
 from .cases import SCHEMA, copy_rows, edge_rows, frame, got, rows_of
@@ -89,6 +90,42 @@ def test_suffix_dedup(table):
     assert found == brute_bytes([r[:2] for r in rows])
 
 
+def seam_rows(n=60, seed=7):
+    """A passage that two thirds of the rows share, with other words around it, and some copies of a few of its seams."""
+    rng = np.random.default_rng(seed)
+    passage = " ".join(f"p{i}" for i in range(40))
+    around = lambda: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 30))
+    seams = [around() for _ in range(4)]
+    return rows_of([f"{seams[i % 4] if i % 5 == 0 else around()} {passage} {around()}" if i % 3 else around() for i in range(n)])
+
+
+def test_hot_seeds(spark):
+    rows = copy_rows() + seam_rows()
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    df = frame(spark, rows)
+    columns = ("doc_id", "n_words", "n_removed", "kept_text")
+    assert got(substrings.strip(df, hot=8), *columns) == got(substrings.strip(df), *columns)
+    found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffixes.strip(df, hot=8).collect()), key=str)
+    assert found == brute_bytes([r[:2] for r in rows])
+
+
+def test_hot_seeds_are_dealt(spark):
+    df = frame(spark, seam_rows())
+    strings_of = lambda data, at: suffixes._strings(data, at, 100, 24)
+    twice, often, again = minimisers.seed_bitmaps(df, "text", strings_of, 100, 8)
+    data, at = text_bytes(df.select("text").toArrow().column(0))
+    prefix, first, count, seeds = strings_of(data, at)
+    _, kind, many = np.unique(seeds, return_inverse=True, return_counts=True)
+    assert many.max() == 40 and (tables.in_bitmap(often.value, seeds) == (many[kind] >= 8)).all()
+    f, c, s = minimisers.dealt(prefix, first, count, seeds, 100, often.value, again.value)
+    windows = {}
+    for i, k in zip(f[c == 1], s[c == 1]):
+        windows.setdefault(data[i:i + 100].tobytes(), set()).add(int(k))
+    assert all(len(k) == 1 for k in windows.values())  # equal windows go to one bucket
+    whole = np.unique(s[c > 1], return_counts=True)[1]
+    assert whole.max() < 8  # no seed keeps its many strings together
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     data = np.concatenate([np.tile(rng.integers(97, 99, 40), 6), rng.integers(97, 100, 400), np.tile([97], 300)]).astype(np.uint8)
