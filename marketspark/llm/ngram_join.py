@@ -173,11 +173,12 @@ def _rows(df: DataFrame, id_col: str, text_col: str, n: int, jaccard, repeated,
         for b in batches:
             data, at = text_bytes(b.column(1))
             ids = b.column(0)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)  # a row without an id takes no part
             for lo, hi in blocks(at):
                 owner, g = shingles(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], n)
                 rows = hi - lo
                 size, sid = _identity(owner, g, rows)
-                fresh = np.array([x not in seen and not seen.add(x) for x in sid.tolist()], bool)
+                fresh = np.array([k and x not in seen and not seen.add(x) for k, x in zip(known[lo:hi].tolist(), sid.tolist())], bool)
                 want = np.where(_may_link(owner, g, size, repeated.value, jaccard) & fresh, size - least_overlap(size, jaccard) + 1, 0)
                 some = np.flatnonzero((want > 0)[owner])
                 s_owner, s_g = owner[some], g[some]
@@ -260,10 +261,10 @@ def block_links(sets: list[np.ndarray], jaccard=JACCARD, early: np.ndarray | Non
 
 
 def _product(jaccard):
-    """Task over rows (hub, lo, hi, side, early, id, set) sorted by hub, lo and hi: emits the links of each block (lo = hi) or tile."""
+    """Task over rows (hub, lo, hi, side, early, id, set, sid) sorted by hub, lo, hi and sid: emits the links of each block (lo = hi) or tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, ids, sets, first, sides = None, [], [], [], []
+        held_key, last, ids, sets, first, sides = None, None, [], [], [], []
 
         def done():
             links, _ = block_links(sets, jaccard, np.array(first, bool), None if held_key[1] == held_key[2] else np.array(sides))
@@ -274,14 +275,16 @@ def _product(jaccard):
         for b in batches:
             hub, lo, hi, side, early, who = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             data, at = text_bytes(b.column(6))
+            sid = b.column(7).to_numpy()
             for i in range(b.num_rows):
                 key = (hub[i], lo[i], hi[i])
                 if key != held_key:
                     if len(sets) > 1:
                         yield from done()
                     held_key, ids, sets, first, sides = key, [], [], [], []
-                elif who[i] == ids[-1]:  # the bitmap also lets a copy of a set through now and then
+                elif sid[i] == last:  # the bitmap also lets a copy of a set through now and then
                     continue
+                last = sid[i]
                 ids.append(who[i])
                 first.append(bool(early[i]))
                 sides.append(int(side[i]))
@@ -363,8 +366,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     placed = member.select("hub", F.explode(carried).alias("lo"), "early", "rep", "sid").select("hub", "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), "early", "rep", "sid")
 
     def multiply(who: DataFrame) -> DataFrame:
-        full = who.join(sets, F.col("sid") == F.col("s2")).select("hub", "lo", "hi", "side", "early", "rep", "held")
-        return full.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "rep").mapInArrow(_product(jaccard), "a long, b long, hub long")
+        full = who.join(sets, F.col("sid") == F.col("s2")).select("hub", "lo", "hi", "side", "early", "rep", "held", "sid")
+        return full.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "sid").mapInArrow(_product(jaccard), "a long, b long, hub long")
 
     links = checkpointed(multiply(placed))
     large = member.filter("blocks > 1")

@@ -229,6 +229,18 @@ def test_ngram_join_tiles(spark):
     assert must <= met
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    words_ = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(100)]
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(None, *r[1:]) if k == 0 else r for k, r in enumerate(rows_of([" ".join(words_)] * 2 + [near(words_)]))]
+    texts = [" ".join(words_), " ".join(other), near(other), near(words_)]
+    twice = [(i, *r[1:]) for i, r in zip((5, 5, 7, 8), rows_of(texts))]
+    for case in (rows, twice):
+        df = frame(spark, case).coalesce(1)
+        assert got(ngram_join.similar(df), "doc_id", "n_shingles", "component_id") == brute_components(shingle_sets(case))
+
+
 def test_counter_levels():
     total = np.concatenate((np.arange(2000), 2 ** np.arange(11, 23)))
     level = ngram_join._level(total)
