@@ -83,11 +83,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Parquet table in the shared folder, for a result that several later passes read."""
     from marketspark.session import materialize
 
-    return materialize(df, name)
+    return materialize(df, name, **options)
 
 
 def shuffle_width(spark: SparkSession) -> int:
