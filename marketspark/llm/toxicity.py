@@ -1,7 +1,8 @@
 """Toxicity of a text: a linear classifier that is trained not to react to which group a sentence names.
 
-A text is the set of its words and pairs of neighbouring words (letters, marks and digits, lower case), hashed into a fixed
-table; an indicator is scaled down with the share of rows that have it. Labelled sentences are copied with the identity
+A text is the set of its words, beginnings of words and pairs of neighbouring words (letters, marks and digits, lower case),
+each once, at least twice and at least four times, hashed into a fixed table; an indicator is scaled down with the share of
+rows that have it. Labelled sentences are copied with the identity
 terms in them swapped for others of the same kind (counterfactuals); a sentence that names no group gets a term put in
 front. The fit minimises the logistic loss of the labelled texts plus L1 and L2 penalties plus ``fairness`` times the mean
 squared change of the score (log odds) over all such pairs, by accelerated proximal gradient steps. So a term's weight
@@ -31,15 +32,17 @@ from .linear import SAMPLE_ROWS, sampled
 from .strings import span_keys
 from .textblocks import U, blocks, lists, mix, text_bytes, words
 
-BITS = 18
-SIZE = 2 << BITS
+BITS = 19
+SIZE = 1 << BITS
+#: Bytes of the beginnings of words, and how many counts (1, 2, 4) are told apart.
+STEMS, LEVELS = (4, 6, 8), 3
 #: Penalties and steps of the fit. Features that fewer sampled rows have are left out.
-L1, L2, FAIRNESS, STEPS, ROWS_LEAST = 3e-4, 1e-5, 5.0, 200, 3
+L1, L2, FAIRNESS, STEPS, ROWS_LEAST = 2e-4, 1e-5, 5.0, 200, 3
 #: Counterfactual pairs of one sampled row at most.
 SWAPS = 6
 THRESHOLD = 0.5
 #: Share of rows from which on an indicator is scaled down.
-COMMON = 0.01
+COMMON = 0.05
 
 #: Default identity terms by kind; terms are swapped inside their kind only.
 IDENTITY = {
@@ -69,57 +72,66 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) of a block of plain texts, ascending."""
     start, end, row = words(data, at)
     h, _ = span_keys(data, start, end)
-    keys = [(row.astype(U) << U(BITS + 1)) | (h >> U(64 - BITS))]
-    if len(h) > 1:
-        both = np.flatnonzero(row[1:] == row[:-1])
-        pair = mix(h[both] * U(0x9E3779B97F4A7C15) + h[both + 1]) >> U(64 - BITS)
-        keys.append((row[both].astype(U) << U(BITS + 1)) | (pair + U(1 << BITS)))
-    found = np.unique(np.concatenate(keys))
-    return (found >> U(BITS + 1)).astype(np.int64), (found & U(SIZE - 1)).astype(np.int64)
-
-
-def counterfactuals(text: str, identity: dict[str, list[str]], most: int = SWAPS) -> list[tuple[str, str]]:
-    """Pairs of a plain sentence and the same with its identity terms swapped, in the order of the text, ``most`` at most.
-
-    Each sentence that names a group pairs with the next terms of the kind; if no sentence does, the middle one gets a
-    term of some kind in front. Which terms come is a function of the text alone.
+    codes, rows = [h], [row]
+    for n in STEMS:
+        long = np.flatnonzero(end - start > n)
+        k, _ = span_keys(data, start[long], start[long] + n)
+        codes.append(mix(k + U(n)))
+        rows.append(row[long])
+    both = np.flatnonzero(row[1:] == row[:-1])
+    codes.append(mix(h[both] * U(0x9E3779B97F4A7C15) + h[np.minimum(both + 1, len(h) - 1)]))
+    rows.append(row[both])
+    held, times = np.unique((np.concatenate(rows).astype(U) << U(40)) | (np.concatenate(codes) >> U(24)), return_counts=True)
+    found = []
+    for level in range(LEVELS):
+        some = held[times >= 1 << level]
+        found.append((some >> U(40) << U(BITS)) | (mix((some << U(2)) + U(level) & U((1 << 42) - 1)) >> U(64 - BITS)))
+    found = np.unique(np.concatenate(found))
+    return (found >> U(BITS)).astype(np.int64), (found & U(SIZE - 1)).astype(np.int64)
+
+
+def counterfactuals(texts: list[str], identity: dict[str, list[str]], most: int = SWAPS) -> list[tuple[int, str, str]]:
+    """(row, sentence, the same with its identity terms swapped) in plain words, ``most`` a row at most, in the order of the texts.
+
+    Each sentence that names a group pairs with the two next terms of the kind; if no sentence of a text does, the middle
+    one gets a term of some kind in front. Which terms come is a function of the text alone.
     """
     kind_of = {term: (kind, k) for kind, terms in identity.items() for k, term in enumerate(terms)}
-    sentences = [s for s in (x.strip() for x in plain(pa.array(SENTENCE.split(text), pa.string())).to_pylist()) if s]
-    out, turn = [], len(text)
-    for s in sentences:
-        w = s.split(" ")
-        hits = [i for i, x in enumerate(w) if x in kind_of]
-        if not hits:
-            continue
-        for step in range(1, 3):
-            swapped = list(w)
-            for i in hits:
-                kind, k = kind_of[w[i]]
-                terms = identity[kind]
-                swapped[i] = terms[(k + step + turn) % len(terms)]
-                if swapped[i] == w[i]:
-                    swapped[i] = terms[(k + 1) % len(terms)]
-            turn += 1
-            if swapped != w:
-                out.append((s, " ".join(swapped)))
-            if len(out) == most:
-                return out
-    if not out and sentences and kind_of:
-        s, terms = sentences[len(sentences) // 2], [*kind_of]
-        out = [(s, f"{terms[(turn + step * 7) % len(terms)]} {s}") for step in range(2)]
+    every = [*kind_of]
+    cut = [SENTENCE.split(t) for t in texts]
+    clean = iter(plain(pa.array([x for c in cut for x in c], pa.string())).to_pylist())
+    out = []
+    for r, c in enumerate(cut):
+        sentences, found, turn = [w for w in (next(clean).split() for _ in c) if w], [], len(texts[r])
+        for w in sentences:
+            hits = [i for i, x in enumerate(w) if x in kind_of]
+            if not hits:
+                continue
+            for step in (1, 2):
+                swapped = list(w)
+                for i in hits:
+                    kind, k = kind_of[w[i]]
+                    others = [t for t in identity[kind] if t != w[i]] or [w[i]]
+                    swapped[i] = others[(k + step + turn) % len(others)]
+                turn += 1
+                if swapped != w:
+                    found.append((r, " ".join(w), " ".join(swapped)))
+            if len(found) >= most:
+                break
+        if not found and sentences and every:
+            s = " ".join(sentences[len(sentences) // 2])
+            found = [(r, s, f"{every[(turn + step * 7) % len(every)]} {s}") for step in range(2)]
+        out += found[:most]
     return out
 
 
-def changes(pairs: list[tuple[str, str]]) -> list[np.ndarray]:
+def changes(pairs: list[tuple[int, str, str]]) -> list[np.ndarray]:
     """Of each pair the features that only the second has, and, as -1 - feature, those that only the first has."""
-    out = []
-    for one, two in pairs:
-        data, at = text_bytes(pa.array([one, two], pa.string()))
-        row, f = features(data, at)
-        a, b = f[row == 0], f[row == 1]
-        out.append(np.concatenate((np.setdiff1d(b, a), -1 - np.setdiff1d(a, b))))
-    return out
+    data, at = text_bytes(pa.array([x for p in pairs for x in p[1:]], pa.string()))
+    row, f = features(data, at)
+    cut = np.searchsorted(row, np.arange(2 * len(pairs) + 1))
+    sets = [f[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    return [np.concatenate((np.setdiff1d(b, a, True), -1 - np.setdiff1d(a, b, True))) for a, b in zip(sets[::2], sets[1::2])]
 
 
 class Rows:
@@ -221,10 +233,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for lo, hi in blocks(at, 1 << 20):
                 row, f = features(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                found = [changes(counterfactuals(t or "", identity)) for t in b.column(0).slice(lo, hi - lo).to_pylist()]
-                pairs = [p.tolist() for p in found for p in p]
-                at_row = np.concatenate(([0], np.cumsum([len(p) for p in found])))
-                swaps = pa.ListArray.from_arrays(pa.array(at_row, pa.int32()), pa.array(pairs, pa.list_(pa.int32())))
+                pairs = counterfactuals([t or "" for t in b.column(0).slice(lo, hi - lo).to_pylist()], identity)
+                at_row = np.searchsorted([r for r, *_ in pairs], np.arange(hi - lo + 1))
+                swaps = pa.ListArray.from_arrays(pa.array(at_row, pa.int32()), pa.array([x.tolist() for x in changes(pairs)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), lists(f, cut, pa.int32()), swaps], ["label", "salt", "f", "swaps"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
