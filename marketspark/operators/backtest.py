@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import hashed_normal, index_rows, Pieces, time_bucket
-from ..session import cut_lineage, materialize
+from ..functions.series import hashed_normal, index_rows, Pieces, running, time_bucket
+from ..session import materialize
 from .stats import trade_metrics
 
 c = F.col
@@ -92,51 +92,88 @@ def bracket_outcomes(signals: DataFrame, bars: DataFrame) -> DataFrame:
     }).drop("_found", "_level", "_from", "_xts", "_xlo", "_xhi", "_end")
 
 
+def _chain(pos: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Next taken signal of each signal inside its piece (the piece's length: none), and the exit of the last one of its chain."""
+    n = len(pos)
+    nxt = np.searchsorted(pos, exits, side="left")
+    last = np.where(nxt < n, nxt, np.arange(n))
+    while True:  # pointer doubling: every pointer jumps twice as far each time
+        far = last[last]
+        if (far == last).all():
+            return nxt, exits[last]
+        last = far
+
+
+def _reached(nxt: np.ndarray, start: int) -> np.ndarray:
+    """All signals of the chain that begins at ``start``."""
+    jump, jumps = np.append(nxt, len(nxt)), []
+    while (jump < len(nxt)).any():
+        jumps.append(jump)
+        jump = jump[jump]
+    found = np.array([start])
+    for jump in jumps[::-1]:
+        found = np.concatenate((found, jump[found]))
+        found = found[found < len(nxt)]
+    return found
+
+
 def one_position(outcomes: DataFrame, rows: int = 65_536, order: Sequence[str] = ("pos", "direction")) -> DataFrame:
     """Keep only signals that find no open position of their symbol.
 
-    A signal is taken when its bar is at or after the exit of the last taken one.  Inside a bounded
-    piece of signals the chain is followed from every possible start; across pieces only one free
-    position per symbol is handed on.
+    A signal is taken when its bar is at or after the exit of the last taken one.  Signals are cut
+    into bounded pieces.  A piece is a function from the position at which its symbol becomes free
+    to the one at which it is free again after the piece; only positions at which some piece is left
+    are ever handed to a later piece, so these are the function's nodes.  The chain from a symbol's
+    first piece on is found by pointer doubling over the nodes: each round joins the pointers with
+    themselves and doubles the part of the chain that is known, so the number of jobs grows with the
+    logarithm of the number of pieces.
     """
     w = index_rows(outcomes, ["symbol"], list(order), F.floor(c("pos") / rows), pos="_idx")
     w = w.withColumn("_piece", F.floor(c("_idx") / rows).cast("long"))
     # a timeout closes after the last bar: nothing can follow it
-    slim = w.select("symbol", "_piece", "_idx", "pos", F.when(c("exit_reason") == "timeout", F.lit(2**62)).otherwise(c("exit_pos")).alias("_exit"))
+    slim = materialize(w.select("symbol", "_piece", "_idx", "pos", F.when(c("exit_reason") == "timeout", F.lit(2**62)).otherwise(c("exit_pos")).cast("long").alias("_exit")), "signals")
+    pieces = slim.groupBy("symbol", "_piece").agg(F.max("pos").alias("_at"))
+    nodes = slim.select("symbol").distinct().select("symbol", F.lit(0).cast("long").alias("_piece"), F.lit(-1).cast("long").alias("_start"))
+    reached = nodes
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+    def free_at(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_idx")
-        pos, exit_ = pdf["pos"].to_numpy(), pdf["_exit"].to_numpy()
-        nxt = np.searchsorted(pos, exit_, side="left")
-        free = exit_.copy()
-        for i in range(len(pos) - 1, -1, -1):
-            if nxt[i] < len(pos):
-                free[i] = free[nxt[i]]
-        return pdf.assign(_free=free)
-
-    schema = "symbol string, _piece long, _idx long, pos long, _exit long, _free long"
-    chains = slim.groupBy("symbol", "_piece").applyInPandas(follow, schema)
-    last = slim.agg(F.max("_piece")).first()[0] or 0
-    entry = slim.select("symbol").distinct().select("symbol", F.lit(0).cast("long").alias("_piece"), F.lit(-1).cast("long").alias("_start"))
-    entries = entry
-    for piece in range(last):
-        here = chains.filter(c("_piece") == piece).join(entry.select("symbol", "_start"), "symbol").filter(c("pos") >= c("_start"))
-        moved = here.groupBy("symbol").agg(F.min_by("_free", "_idx").alias("_f"))
-        entry = entry.join(moved, "symbol", "left").select("symbol", F.lit(piece + 1).cast("long").alias("_piece"), F.coalesce("_f", "_start").alias("_start"))
-        entry = cut_lineage(entry)
-        entries = entries.unionByName(entry)
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, free = _chain(pdf["pos"].to_numpy(), pdf["_exit"].to_numpy())
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "_piece": pdf["_piece"].iloc[0], "_free": np.unique(free[free < 2**62])})
+
+    def leave(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_idx")
+        _, free = _chain(pdf["pos"].to_numpy(), pdf["_exit"].to_numpy())
+        return starts.assign(_free=free[np.searchsorted(pdf["pos"].to_numpy(), starts["_start"].to_numpy(), side="left")]) if len(pdf) else starts.assign(_free=0).iloc[:0]
+
+    def mark(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        if not len(starts):
+            return pdf.iloc[:0][["symbol", "_piece", "_idx"]]
         pdf = pdf.sort_values("_idx")
-        pos, exit_ = pdf["pos"].to_numpy(), pdf["_exit"].to_numpy()
-        taken = np.zeros(len(pos), dtype=bool)
-        i = int(np.searchsorted(pos, pdf["_start"].iloc[0], side="left"))
-        while i < len(pos):
-            taken[i] = True
-            i = int(np.searchsorted(pos, exit_[i], side="left"))
-        return pdf.loc[taken, ["symbol", "_piece", "_idx"]]
-
-    taken = slim.join(entries, ["symbol", "_piece"]).groupBy("symbol", "_piece").applyInPandas(mark, "symbol string, _piece long, _idx long")
+        pos = pdf["pos"].to_numpy()
+        nxt, _ = _chain(pos, pdf["_exit"].to_numpy())
+        return pdf.iloc[np.sort(_reached(nxt, int(np.searchsorted(pos, starts["_start"].iloc[0], side="left"))))][["symbol", "_piece", "_idx"]]
+
+    together = lambda other: slim.groupBy("symbol", "_piece").cogroup(other.groupBy("symbol", "_piece"))
+    last = pieces.agg(F.max("_piece")).first()[0] or 0
+    if last:
+        exits = slim.groupBy("symbol", "_piece").applyInPandas(free_at, "symbol string, _piece long, _free long")
+        # where each exit goes on: the first piece that still has a signal at or after it
+        both = exits.select("symbol", (-c("_free")).alias("_neg"), F.lit(1).alias("_kind"), "_piece", "_free").unionByName(
+            pieces.select("symbol", (-c("_at")).alias("_neg"), F.lit(0).alias("_kind"), "_piece", F.lit(None).cast("long").alias("_free")))
+        both = running(both, ["symbol"], ["_neg", "_kind"], F.floor(c("_neg") / rows), {"_to": ("min", F.when(c("_kind") == 0, c("_piece")))})
+        to = materialize(both.filter("_kind = 1 AND _to IS NOT NULL").select("symbol", "_piece", "_free", "_to"), "exits")
+        nodes = nodes.unionByName(to.select("symbol", c("_to").alias("_piece"), c("_free").alias("_start")).distinct())
+        jump = together(nodes).applyInPandas(leave, "symbol string, _piece long, _start long, _free long")
+        jump = materialize(jump.join(to, ["symbol", "_piece", "_free"]).select("symbol", "_piece", "_start", c("_to").alias("_p"), c("_free").alias("_s")), "jumps")
+        while True:
+            more = materialize(reached.join(jump, ["symbol", "_piece", "_start"]).select("symbol", c("_p").alias("_piece"), c("_s").alias("_start")), "reached")
+            if more.isEmpty():
+                break
+            reached = reached.unionByName(more)
+            on = jump.select("symbol", c("_piece").alias("_p"), c("_start").alias("_s"), c("_p").alias("_p2"), c("_s").alias("_s2"))
+            jump = materialize(jump.join(on, ["symbol", "_p", "_s"]).select("symbol", "_piece", "_start", c("_p2").alias("_p"), c("_s2").alias("_s")), "jumps")
+    taken = together(reached).applyInPandas(mark, "symbol string, _piece long, _idx long")
     return w.join(taken, ["symbol", "_piece", "_idx"], "left_semi").drop("_piece", "_idx")
 
 
@@ -207,8 +244,6 @@ def by_regime(signals: DataFrame, bars: DataFrame) -> DataFrame:
 
 def equity_curve(tr: DataFrame, keys: Sequence[str] = (), capital: float = CAPITAL) -> DataFrame:
     """Closed-trade equity in exit order."""
-    from ..functions.series import running
-
     t = index_rows(tr, keys, ["exit_ts", "symbol", "ts"], time_bucket("exit_ts", 7 * 86_400))
     t = running(t, keys, ["pos"], F.floor(c("pos") / 32_768), {"_cum": ("sum", c("pnl"))})
     return t.withColumn("equity", capital + c("_cum")).drop("_cum")

@@ -262,12 +262,45 @@ def time_blocks(spark, sf):
     return backtest.time_blocks(hourly(spark, sf), 5, 0.7)
 
 
-for _name, _fn in (("backtest_walk_forward", backtest.walk_forward), ("backtest_in_out_of_sample", backtest.in_and_out_of_sample), ("backtest_by_regime", backtest.by_regime)):
+def run_sql(tags: str, tag: str, kind: str) -> str:
+    """Backtest inside each value of ``tag``; ``tags`` are CTEs over ``bars0`` that end in ``tagged`` (bars with their tag)."""
+    signals = HOURLY.replace("bars AS (", "bars0 AS MATERIALIZED (", 1) + f""", {tags}, bars AS MATERIALIZED (
+      SELECT symbol || '|' || CAST({tag} AS VARCHAR) AS symbol, {tag}, ts, pos AS pos0, open, high, low, close,
+             row_number() OVER g - 1 AS pos, count(*) OVER (PARTITION BY symbol, {tag}) AS n
+      FROM tagged WINDOW g AS (PARTITION BY symbol, {tag} ORDER BY ts)),
+     sig AS (SELECT symbol, {tag}, ts, pos, CASE WHEN pos0 % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, close AS entry,
+             CASE WHEN pos0 % 2 = 0 THEN close * 0.3 ELSE close * 2.5 END AS sl, CASE WHEN pos0 % 2 = 0 THEN close * 2.2 ELSE close * 0.4 END AS tp FROM bars)"""
+    chain = CHAIN[CHAIN.index(", hit AS"):]
+    return f"""WITH RECURSIVE {signals}{chain},
+     k AS (SELECT CAST(split_part(t.symbol, '|', 2) AS {kind}) AS {tag}, pnl, (epoch_us(exit_ts) - epoch_us(ts)) / 3.6e9 AS h FROM t1 t JOIN taken x ON x.symbol = t.symbol AND x.pos = t.pos),
+     m AS (SELECT {tag}, count(*) AS total_trades, count(*) FILTER (pnl > 0) AS winning_trades, count(*) FILTER (pnl <= 0) AS losing_trades,
+             coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gross_profit, coalesce(abs(sum(pnl) FILTER (pnl <= 0)), 1) AS loss,
+             coalesce(avg(pnl) FILTER (pnl > 0), 0) AS avg_win, coalesce(avg(pnl) FILTER (pnl <= 0), 0) AS avg_loss, avg(pnl) AS avg_trade, avg(h) AS avg_duration_h FROM k GROUP BY 1)
+     SELECT {tag}, total_trades, winning_trades, losing_trades, {r('gross_profit', 'gross_profit')}, {r('avg_win', 'avg_win')}, {r('avg_loss', 'avg_loss')}, {r('avg_trade', 'avg_trade')},
+            {r('avg_duration_h', 'avg_duration_h')}, {r('winning_trades / total_trades', 'win_rate')}, {r('CASE WHEN loss > 0 THEN gross_profit / loss ELSE 0 END', 'profit_factor')},
+            {r('winning_trades / total_trades * avg_win + (1 - winning_trades / total_trades) * avg_loss', 'expectancy')} FROM m"""
+
+
+def block_sql(blocks: int, share: float, tag: str, keep: str) -> str:
+    """Bars with their time block, see ``time_blocks``."""
+    return f"""tk AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT ts FROM bars0)),
+     tb AS (SELECT ts, k // (m // {blocks}) AS block, k % (m // {blocks}) >= floor((m // {blocks}) * {share}) AS is_test FROM tk WHERE k // (m // {blocks}) < {blocks}),
+     tagged AS (SELECT b.*, {tag} FROM bars0 b JOIN tb USING (ts) WHERE {keep})"""
+
+
+REGIMES = """rx AS (SELECT *, close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY pos) - 1 AS x FROM bars0),
+ tagged AS (SELECT *, CASE WHEN x > 0.05 THEN 'bull' WHEN x < -0.05 THEN 'bear' ELSE 'flat' END AS regime FROM rx)"""
+RUNS = {
+    "backtest_walk_forward": (backtest.walk_forward, run_sql(block_sql(5, 0.7, "block", "is_test"), "block", "BIGINT")),
+    "backtest_in_out_of_sample": (backtest.in_and_out_of_sample, run_sql(block_sql(1, 0.8, "CASE WHEN is_test THEN 'out_of_sample' ELSE 'in_sample' END AS sample", "true"), "sample", "VARCHAR")),
+    "backtest_by_regime": (backtest.by_regime, run_sql(REGIMES, "regime", "VARCHAR")),
+}
+for _name, (_fn, _sql) in RUNS.items():
     def _bt(spark, sf, fn=_fn):
         b = hourly(spark, sf)
         return rounded(fn(bt_signals(b), b))
 
-    query(_name)(_bt)
+    query(_name, _sql)(_bt)
 
 
 @query("backtest_noise")
