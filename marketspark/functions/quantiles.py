@@ -1,70 +1,155 @@
-"""Exact quantiles of arbitrarily large groups, without holding a group in one task.
+"""Exact ranks and quantiles of arbitrarily large groups, without holding a group in one task.
 
-Two passes: a bounded sketch gives split points per group; counts per bucket locate
-the bucket of each wanted rank; only the rows of those buckets are ranked.
+A wanted rank is an open interval of values that is narrowed until few enough values lie inside: a bounded
+sketch of the values inside proposes two of them as split points, one aggregate counts what lies below,
+and the part with the rank goes on.  All columns and ranks share each aggregate, so rows are neither
+multiplied by columns nor shuffled; only the values inside narrow intervals are gathered and sorted.
+Every round divides an interval by about a hundred, so their number grows with the logarithm of the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPLITS = 64
-#: Accuracy of the sketch; the result is exact whatever the sketch answers.
-SKETCH = 2_000
+from ..session import materialize
 
+#: Values of one group, column and rank that one task may gather.
+BOUND = 1 << 16
+#: Distinct values that one bucket of ``distinct_counts`` may hold on average.
+BUCKET = 1 << 18
+#: Split points that a sketch proposes, and its accuracy; results are exact whatever the sketch answers.
+GRID, SKETCH = 256, 10_000
 
-def distinct_counts(df: DataFrame, keys: Sequence[str], value: str, **counts: Column) -> DataFrame:
+
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins a table with one row per key (one row in all without keys); null keys meet null keys."""
+    if not keys:  # one row of fixed width
+        one = table.withColumn("_one", F.lit(1))
+        return df.join(F.broadcast(one), F.lit(1) == F.col("_one"), how).drop("_one")
+    renamed = table.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return df.join(renamed, on, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def distinct_counts(df: DataFrame, keys: Sequence[str], value: str, bucket_rows: int = BUCKET, **counts: Column) -> DataFrame:
     """Counts per distinct value with a bucket ``b`` that never decreases along the value.
 
-    ``counts`` are extra sums per value.  Bucket limits come from a bounded sketch; equal values
-    collapse before the shuffle, so a hot value is one row.
+    ``counts`` are extra sums per value.  Equal values collapse before the shuffle, so a hot value is one
+    row.  There are as many buckets as the largest group needs; their limits come from a bounded sketch
+    and are found by two short searches.
     """
     rows = df.filter(F.col(value).isNotNull())
-    marks = [i / SPLITS for i in range(1, SPLITS)]
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx(value, marks, SKETCH).alias("_splits"))
     values = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"), *[F.sum(e).alias(n) for n, e in counts.items()])
-    if keys:
-        values = values.join(sketch, list(keys))
-    else:  # one sketch row of fixed size
-        values = values.join(F.broadcast(sketch.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
-    return values.withColumn("b", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-largest // bucket_rows)
+    if parts <= 1:
+        return values.withColumn("b", F.lit(0))
+    marks = [i / parts for i in range(1, parts)]
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx(value, marks, max(SKETCH, 10 * parts)).alias("_splits"))
+    values = attach(values, sketch, keys)
+    width = int(len(marks) ** 0.5) + 1
+    below = lambda a: F.size(F.filter(a, lambda s: s < F.col(value)))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(len(marks) // width)), lambda k: F.element_at("_splits", (k * width).cast("int"))) if len(marks) >= width else F.slice("_splits", 1, 0)
+    values = values.withColumn("_full", below(ends))
+    return values.withColumn("b", F.col("_full") * width + below(F.slice("_splits", F.col("_full") * width + 1, F.lit(width)))).drop("_splits", "_full")
+
+
+def _split(state: DataFrame, i: int, m: int) -> DataFrame:
+    """Two split points around the wanted rank from the sketch of its interval."""
+    p = f"{i}_{m}"
+    at = F.floor(F.try_divide(F.col(f"_k{p}") - F.col(f"_b{p}") + 0.5, F.col(f"_in{p}")) * GRID).cast("int")
+    pick = lambda k: F.get(f"_s{p}", k)
+    return state.withColumns({f"_ws{p}": F.when(at >= 2, pick(at - 2)), f"_wt{p}": pick(at + 1)})
+
+
+def _inside(v: Column, p: str) -> Column:
+    return (v > F.coalesce(f"_lo{p}", F.lit(float("-inf")))) & (v < F.coalesce(f"_hi{p}", F.lit(float("inf")))) | (
+        F.col(f"_lo{p}").isNull() & F.col(f"_hi{p}").isNull())
 
 
-def values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: Callable[[Column], list[Column]]) -> DataFrame:
+def _narrow(rows: DataFrame, state: DataFrame, keys: Sequence[str], wanted: list[tuple[int, int]], bound: int) -> DataFrame:
+    """One round for the ranks whose interval still holds more than ``bound`` values."""
+    marks = [g / GRID for g in range(1, GRID)]
+    is_open = lambda p: (F.col(f"_in{p}") > bound) & F.col(f"_x{p}").isNull()
+    names = [f"{i}_{m}" for i, m in wanted]
+    j = attach(rows, state, keys)
+    sketch = j.groupBy(*keys).agg(*[F.percentile_approx(F.when(is_open(p) & _inside(F.col(f"_v{i}"), p), F.col(f"_v{i}")), marks, SKETCH).alias(f"_s{p}")
+                                    for (i, _), p in zip(wanted, names)])
+    state = attach(state, sketch, keys)
+    for i, m in wanted:
+        state = _split(state, i, m)
+    state = materialize(state.drop(*[f"_s{p}" for p in names]), "rank-splits")
+    j = attach(rows, state, keys)
+    counts = []
+    for (i, _), p in zip(wanted, names):
+        v, s1, s2 = F.col(f"_v{i}"), F.col(f"_ws{p}"), F.col(f"_wt{p}")
+        counts += [F.count_if(is_open(p) & t).alias(f"_w{n}{p}") for n, t in (("a", v < s1), ("b", v <= s1), ("c", v < s2), ("d", v <= s2))]
+    state = attach(state, j.groupBy(*keys).agg(*counts), keys)
+    new = {}
+    for p in names:
+        k, before, end, s1, s2 = F.col(f"_k{p}"), F.col(f"_b{p}"), F.col(f"_b{p}") + F.col(f"_in{p}"), F.col(f"_ws{p}"), F.col(f"_wt{p}")
+        a, b = (F.when(s1.isNull(), before).otherwise(F.col(f"_w{n}{p}")) for n in ("a", "b"))
+        c, d = (F.when(s2.isNull(), end).otherwise(F.col(f"_w{n}{p}")) for n in ("c", "d"))
+        case = F.when(~is_open(p), 0).when(k < a, 1).when(k < b, 2).when(k < c, 3).when(k < d, 4).otherwise(5)
+        lo, hi = F.col(f"_lo{p}"), F.col(f"_hi{p}")
+        choose = lambda *v, case=case: reduce(lambda w, x: w.when(case == x[0], x[1]), list(enumerate(v))[1:], F.when(case == 0, v[0]))
+        new |= {
+            f"_lo{p}": choose(lo, lo, lo, F.coalesce(s1, lo), lo, s2), f"_hi{p}": choose(hi, s1, hi, F.coalesce(s2, hi), hi, hi),
+            f"_b{p}": choose(before, before, before, b, before, d), f"_in{p}": choose(F.col(f"_in{p}"), a - before, F.lit(1), c - b, F.lit(1), end - d),
+            f"_x{p}": choose(F.col(f"_x{p}"), F.lit(None), s1, F.lit(None), s2, F.lit(None))}
+    state = state.withColumns(new)
+    return materialize(state.drop(*[x for x in state.columns[len(keys):] if x.startswith("_w")]), "rank-intervals")
+
+
+def values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: Callable[[Column], list[Column]], bound: int = BOUND) -> DataFrame:
     """Interpolated values at 0-based ranks given by ``ranks(n)``: ``(keys..., column, n, q array)``.
 
-    Nulls are ignored.
+    Nulls are ignored; a group whose column has no value has no row.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
-    group = [*keys, "column"]
-    counts = distinct_counts(df.select(*keys, pairs.alias("_p")).select(*keys, "_p.column", "_p.v"), group, "v")
-    per_bucket = counts.groupBy(*group, "b").agg(F.sum("c").alias("n_b"))
-    wb = Window.partitionBy(*group)
-    per_bucket = per_bucket.select(
-        *group, "b", "n_b",
-        F.coalesce(F.sum("n_b").over(wb.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("n_b").over(wb).alias("n"),
-    )
-    wanted = F.posexplode(F.array(*[h.cast("double") for h in ranks(F.col("n"))])).alias("i", "h")
-    marks = per_bucket.select("*", wanted)
-    marks = marks.filter((F.ceil("h") >= F.col("before")) & (F.floor("h") < F.col("before") + F.col("n_b")))
-    # only rows of the buckets that hold a wanted rank go on
-    hit = counts.join(marks.select(*group, "b", "before").distinct(), [*group, "b"])
-    wv = Window.partitionBy(*group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = hit.withColumn("hi", F.col("before") + F.sum("c").over(wv)).withColumn("lo", F.col("hi") - F.col("c"))
-    found = hit.join(marks.select(*group, "b", "i", "h", "n"), [*group, "b"])
-    pick = lambda r: F.max(F.when((F.col("lo") <= r) & (r < F.col("hi")), F.col("v")))
-    out = found.groupBy(*group, "i", "h", "n").agg(pick(F.floor("h")).alias("a"), pick(F.ceil("h")).alias("z"))
-    value = F.col("a") + (F.col("z") - F.col("a")) * (F.col("h") - F.floor("h"))
-    return (
-        out.withColumn("q", value).groupBy(*group, "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))
-    )
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    keys = list(keys)
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    every = range(len(columns))
+    per = len(ranks(F.lit(1)))
+    largest = rows.groupBy(*keys).agg(F.greatest(*[F.count(f"_v{i}") for i in every], F.lit(0)).alias("n")).agg(F.max("n")).first()[0] or 0
+    h = lambda i: [x.cast("double") for x in ranks(F.col(f"_n{i}"))]
+    if largest <= bound:
+        found = rows.groupBy(*keys).agg(*[F.sort_array(F.collect_list(f"_v{i}")).alias(f"_all{i}") for i in every]).withColumns({f"_n{i}": F.size(f"_all{i}").cast("long") for i in every})
+        value = lambda i, j, k: F.get(f"_all{i}", k.cast("int"))
+    else:
+        wanted = [(i, m) for i in every for m in range(2 * per)]
+        state = rows.groupBy(*keys).agg(*[F.count(f"_v{i}").alias(f"_n{i}") for i in every])
+        first = {}
+        for i, m in wanted:
+            p, x = f"{i}_{m}", h(i)[m // 2]
+            first |= {f"_k{p}": (F.ceil(x) if m % 2 else F.floor(x)).cast("long"), f"_lo{p}": F.lit(None).cast("double"), f"_hi{p}": F.lit(None).cast("double"),
+                      f"_b{p}": F.lit(0).cast("long"), f"_in{p}": F.col(f"_n{i}"), f"_x{p}": F.lit(None).cast("double")}
+        state = materialize(state.withColumns(first), "rank-intervals")
+        while (state.agg(F.max(F.greatest(F.lit(0), *[F.when(F.col(f"_x{i}_{m}").isNull(), F.col(f"_in{i}_{m}")) for i, m in wanted]))).first()[0] or 0) > bound:
+            state = _narrow(rows, state, keys, wanted, bound)
+        some = lambda i: reduce(lambda a, b: a | b, [F.col(f"_x{i}_{m}").isNull() & _inside(F.col(f"_v{i}"), f"{i}_{m}") for m in range(2 * per)])
+        found = attach(rows, state, keys).groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(some(i), F.col(f"_v{i}")))).alias(f"_all{i}") for i in every])
+        found = attach(found, state, keys)
+
+        def value(i, j, k):
+            # the same rank as floor and as ceiling: the column is chosen by position, see below
+            p = f"{i}_{j}"
+            skipped = F.when(F.col(f"_lo{p}").isNull(), 0).otherwise(F.size(F.filter(f"_all{i}", lambda x: x <= F.col(f"_lo{p}"))))
+            return F.coalesce(f"_x{p}", F.get(f"_all{i}", (k - F.col(f"_b{p}") + skipped).cast("int")))
+
+    out = []
+    for i, c in enumerate(columns):
+        q = []
+        for j, x in enumerate(h(i)):
+            a, z = value(i, 2 * j, F.floor(x)), value(i, 2 * j + 1, F.ceil(x))
+            q.append(a + (z - a) * (x - F.floor(x)))
+        out.append(F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.when(F.col(f"_n{i}") > 0, F.array(*q)).alias("q")))
+    return found.select(*keys, F.explode(F.array(*out)).alias("_o")).filter("_o.n > 0").select(*keys, "_o.column", "_o.n", "_o.q")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], bound: int = BOUND) -> DataFrame:
     """Linear-interpolation quantiles: ``(keys..., column, n, q array)``."""
-    return values_at(df, keys, columns, lambda n: [F.lit(float(p)) * (n - 1) for p in probs])
+    return values_at(df, keys, columns, lambda n: [F.lit(float(p)) * (n - 1) for p in probs], bound)
