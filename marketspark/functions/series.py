@@ -125,6 +125,27 @@ def index_rows(
     )
 
 
+def carries(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, Column]], piece: str = "_piece") -> DataFrame:
+    """State before each piece of a series: one partial aggregate, then a window over one row per piece.
+
+    Kinds: ``sum``, ``max``, ``min`` and ``since``, whose expression is a struct (r, d): r is the place of the
+    last reset inside the piece up to a row (-1: none), d a value at that row.  The state is the largest d since
+    the last reset: states of two neighbouring pieces merge into that of both.
+    """
+    fn = {"sum": F.sum, "max": F.max, "min": F.min, "since": F.max}
+    g = df.groupBy(*keys, piece).agg(*[fn[kind](expr).alias(n) for n, (kind, expr) in specs.items()])
+    along = Window.partitionBy(*keys).orderBy(piece)
+    upto, before = (along.rowsBetween(Window.unboundedPreceding, last) for last in (0, -1))
+    g = g.withColumns({n: F.struct(F.max(F.col(n)["r"]).over(upto).alias("r"), F.col(n)["d"].alias("d")) for n, (kind, _) in specs.items() if kind == "since"})
+    return g.select(*keys, piece, *[fn[kind](n).over(before).alias(n) for n, (kind, _) in specs.items()])
+
+
+def with_carries(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, Column]], rows: int, pos: str = "pos") -> DataFrame:
+    """``df`` with the state before each row's piece; ``df`` should be a written table, since it is read twice."""
+    df = df.withColumn("_piece", F.floor(F.col(pos) / rows).cast("long"))
+    return df.join(carries(df, keys, specs), [*keys, "_piece"], "left").drop("_piece")
+
+
 # --------------------------------------------------------------------------- pieces with halo
 
 
@@ -374,6 +395,32 @@ class Pieces:
         x = F.when(p == period, col(seed) / alpha).when(p > period, col(c)).otherwise(F.lit(0.0))
         return F.when(p >= period, self._decayed(x, alpha))
 
+    # -- running values across pieces, from the rows of the series themselves
+    def running_from(self, raw: DataFrame, **specs: tuple[str, Column]) -> "Pieces":
+        """Running sum or max over the whole series, valid on core rows.
+
+        ``raw`` is the series before it was cut.  The state before each piece comes from a partial aggregate over
+        it, so rows are shuffled once, to their pieces, whatever is computed there.
+        """
+        raw = raw.withColumn("_piece", F.floor(F.col(self.pos) / self.rows).cast("long"))
+        before = carries(raw, self.keys, {f"_c_{n}": spec for n, spec in specs.items()})
+        self.df = self.df.join(before, self.part, "left")
+        self.stage(**{n: self.merged(kind, F.col(f"_c_{n}"), self.inside(kind, expr)) for n, (kind, expr) in specs.items()})
+        self.df = self.df.drop(*[f"_c_{n}" for n in specs])
+        return self
+
+    def inside(self, kind: str, expr: Column) -> Column:
+        """Running value over the core rows of the piece."""
+        fn = F.sum if kind == "sum" else F.max
+        return fn(F.when(F.col("_core"), expr)).over(self.w0.rowsBetween(Window.unboundedPreceding, 0))
+
+    @staticmethod
+    def merged(kind: str, before: Column, here: Column) -> Column:
+        """A state before a piece and one inside it."""
+        if kind == "sum":
+            return F.coalesce(before, F.lit(0.0)) + F.coalesce(here, F.lit(0.0))
+        return F.greatest(before, here)
+
     # -- expanding values across pieces
     def expanding(self, **specs: tuple[str, Column]) -> "Pieces":
         """Running sum / max / last over the whole series, valid on core rows and on the

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import Pieces, ratio
+from ..functions.series import Pieces, ratio, with_carries
+from ..session import materialize
 
 #: Drawdown levels of the global state and multiplier.
 LEVEL_1, LEVEL_2, LEVEL_3, LEVEL_4, EMERGENCY = 0.05, 0.10, 0.15, 0.20, 0.25
@@ -51,39 +52,45 @@ def equity_states(equity: DataFrame, initial: float = 10_000.0, keys=("account",
     """
     s = Pieces(equity, keys=keys, pos=pos, halo=16, rows=rows)
     p = F.col(pos)
-    s.expanding(_top=("max", F.col("equity")))
+    s.running_from(equity, _top=("max", F.col("equity")))
     s.stage(peak_equity=F.greatest(F.col("_top"), F.lit(initial)))
     s.stage(current_drawdown=F.when(F.col("peak_equity") > 0, ratio(F.col("peak_equity") - F.col("equity"), "peak_equity")).otherwise(0.0))
     dd = F.col("current_drawdown")
-    s.expanding(max_drawdown=("max", dd), _peak_pos=("max", F.when(dd <= 0, p)), _reset=("max", F.when(dd < RECOVERY, p)),
-                _latched=("max", (dd >= EMERGENCY).cast("int")))
     four_back = F.when(p >= 4, s.lag("equity", 4)).when(p == 3, F.lit(initial))
-    s.stage(
-        drawdown_duration=p - F.coalesce(F.col("_peak_pos"), F.lit(-1)),
-        recovery_ratio=F.when(F.col("max_drawdown") > 0, 1 - ratio(dd, "max_drawdown")).otherwise(1.0),
-        drawdown_velocity=F.coalesce(ratio(four_back - F.col("equity"), F.col("peak_equity") * 4), F.lit(0.0)),
-        risk_state=risk_state(dd), risk_multiplier=multiplier(dd), emergency=F.col("_latched") == 1,
-        _since=F.struct(F.coalesce("_reset", F.lit(-1)).alias("r"), dd.alias("d")),
-    )
-    s.expanding(_worst=("max", F.col("_since")))
-    worst = F.col("_worst")["d"]
-    return s.stage(**{
-        f"{m}_state": F.when(worst >= off, "disabled").when(worst >= low, "reduced").otherwise("enabled")
-        for m, (low, off) in MODEL_LEVELS.items()
-    }).close()
+    s.stage(drawdown_velocity=F.coalesce(ratio(four_back - F.col("equity"), F.col("peak_equity") * 4), F.lit(0.0)))
+    t = _since_reset(s, keys, pos, dd < RECOVERY, {"peak_pos": F.when(dd <= 0, p), "latched": (dd >= EMERGENCY).cast("int")})
+    worst = F.col("worst")
+    return t.withColumns({
+        "drawdown_duration": p - F.coalesce(F.col("peak_pos"), F.lit(-1)),
+        "recovery_ratio": F.when(F.col("max_drawdown") > 0, 1 - ratio(dd, "max_drawdown")).otherwise(1.0),
+        "risk_state": risk_state(dd), "risk_multiplier": multiplier(dd), "emergency": F.col("latched") == 1,
+        **{f"{m}_state": F.when(worst >= off, "disabled").when(worst >= low, "reduced").otherwise("enabled") for m, (low, off) in MODEL_LEVELS.items()},
+    }).drop("peak_pos", "latched", "worst")
+
+
+def _since_reset(s: Pieces, keys, pos: str, reset: Column, tops: dict[str, Column]):
+    """Adds ``max_drawdown``, ``worst`` (largest drawdown since the last row where ``reset`` holds) and the running maxima ``tops``.
+
+    Values inside the piece are written once; the states before the pieces come from one aggregate over that table.
+    """
+    dd = F.col("current_drawdown")
+    tops = {"max_drawdown": dd, **tops}
+    s.stage(**{n: s.inside("max", x) for n, x in tops.items()}, last_reset=F.coalesce(s.inside("max", F.when(reset, F.col(pos))), F.lit(-1)))
+    s.stage(since=s.inside("max", F.struct(F.col("last_reset").cast("long").alias("r"), dd.alias("d"))))
+    t = with_carries(materialize(s.close(), "states"), keys, {**{f"_c_{n}": ("max", F.col(n)) for n in tops}, "_c_since": ("since", F.col("since"))}, s.rows, pos)
+    worst = F.when(F.col("since.r") >= 0, F.col("since.d")).otherwise(F.greatest(F.col("_c_since.d"), F.col("since.d")))
+    return t.withColumns({**{n: F.greatest(f"_c_{n}", n) for n in tops}, "worst": worst}).drop("since", "last_reset", "_c_since", *[f"_c_{n}" for n in tops])
 
 
 def engine_equity_states(equity: DataFrame, keys=("account",), pos: str = "pos", rows: int | None = None) -> DataFrame:
     """Second engine: peak of the data only, 5/10/15 % levels, disabling with re-enable below 5 %."""
     s = Pieces(equity, keys=keys, pos=pos, halo=16, rows=rows)
-    s.expanding(peak_equity=("max", F.greatest(F.col("equity"), F.lit(0.0))))
+    s.running_from(equity, peak_equity=("max", F.greatest(F.col("equity"), F.lit(0.0))))
     s.stage(current_drawdown=F.when(F.col("peak_equity") > 0, ratio(F.col("peak_equity") - F.col("equity"), "peak_equity")).otherwise(0.0))
-    dd = F.col("current_drawdown")
-    s.expanding(max_drawdown=("max", dd), _reset=("max", F.when(dd < 0.05, F.col(pos))))
-    s.stage(engine_state=engine_state(dd), dd_multiplier=warning_multiplier(dd), _since=F.struct(F.coalesce("_reset", F.lit(-1)).alias("r"), dd.alias("d")))
-    s.expanding(_worst=("max", F.col("_since")))
-    worst = F.col("_worst")["d"]
-    return s.stage(scalp_disabled=worst > 0.10, intraday_disabled=worst > 0.15, swing_disabled=F.lit(False)).close()
+    dd, worst = F.col("current_drawdown"), F.col("worst")
+    t = _since_reset(s, keys, pos, dd < 0.05, {})
+    return t.withColumns({"engine_state": engine_state(dd), "dd_multiplier": warning_multiplier(dd), "scalp_disabled": worst > 0.10,
+                          "intraday_disabled": worst > 0.15, "swing_disabled": F.lit(False)}).drop("worst")
 
 
 def auto_kill(equity: DataFrame, keys=("account",), pos: str = "pos", max_dd: float = 0.20, max_losses: int = 5,
@@ -93,14 +100,15 @@ def auto_kill(equity: DataFrame, keys=("account",), pos: str = "pos", max_dd: fl
     Needs ``equity``, ``pnl`` and ``day_start_equity`` per row.
     """
     s = Pieces(equity, keys=keys, pos=pos, halo=16, rows=rows)
-    s.expanding(_peak=("max", F.col("equity")), _win=("max", F.when(F.col("pnl") > 0, F.col(pos))))
+    s.running_from(equity, _peak=("max", F.col("equity")), _win=("max", F.when(F.col("pnl") > 0, F.col(pos))))
     losses = F.col(pos) - F.coalesce("_win", F.lit(-1))
     day = ratio(F.col("day_start_equity") - F.col("equity"), "day_start_equity")
     s.stage(consecutive_losses=losses, drawdown=ratio(F.col("_peak") - F.col("equity"), "_peak"), daily_loss=day)
     hit = (F.col("drawdown") > max_dd) | (losses > max_losses) | F.coalesce(day > max_daily_loss, F.lit(False))
     s.stage(trigger=hit)
-    s.expanding(_k=("max", F.col("trigger").cast("int")))
-    return s.stage(kill_switch=F.col("_k") == 1).close()
+    s.stage(fired=s.inside("max", F.col("trigger").cast("int")))
+    t = with_carries(materialize(s.close(), "switches"), keys, {"_c": ("max", F.col("fired"))}, s.rows, pos)
+    return t.withColumn("kill_switch", F.greatest("_c", "fired") == 1).drop("_c", "fired")
 
 
 def state_events(states: DataFrame, keys=("account",), pos: str = "pos", rows: int | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import distinct_counts, exact_quantiles, values_at
-from ..functions.series import Pieces, flag, guarded, index_rows, ratio, running
+from ..functions.quantiles import attach, distinct_counts, exact_quantiles, values_at
+from ..functions.series import Pieces, flag, guarded, index_rows, ratio, running, with_carries
+from ..session import materialize
 
 #: Fixed values.
 WINDOW, MIN_SAMPLES, BLOCK, STRESS, CONFIDENCE = 252, 30, 0.08, 1.5, 0.95
@@ -102,9 +103,7 @@ def loss_features(tail: DataFrame, prefix: str = "model") -> DataFrame:
 def with_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """Attach an exact group quantile to every row."""
     t = exact_quantiles(df, keys, [value], [q]).select(*keys, F.col("q")[0].alias(name))
-    if keys:
-        return df.join(t, list(keys))
-    return df.join(F.broadcast(t.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
+    return attach(df, t, keys)
 
 
 def return_tail(df: DataFrame, keys: Sequence[str], value: str, confidence: float = CONFIDENCE) -> DataFrame:
@@ -250,11 +249,13 @@ def return_bundle(returns: DataFrame, keys: Sequence[str], value: str = "r", pos
     """Metric bundle of a return series: tail, compounding drawdown, ratios (population std), stability."""
     r = F.col(value)
     s = Pieces(returns, keys=keys, pos=pos, halo=16, rows=rows)
-    s.expanding(_lg=("sum", F.log1p(r)))
-    s.stage(eq=F.exp("_lg"))
-    s.expanding(_pk=("max", F.col("eq")))
-    s.stage(dd=guarded(F.col("_pk") - F.col("eq"), "_pk"), step=s.diff("eq"))
-    rows_ = with_quantile(s.close(), keys, value, 0.05, "p05")
+    s.running_from(returns, _lg=("sum", F.log1p(r)))
+    s.stage(eq=F.when(F.log1p(r).isNotNull(), F.exp("_lg")))
+    # the equity one row before is this one without this return
+    s.stage(pk=s.inside("max", F.col("eq")), step=F.when(s.lag(value).isNotNull(), ratio(F.col("eq") * r, 1 + r)))
+    t = materialize(s.close().select(*keys, pos, value, "eq", "pk", "step"), "equity")
+    t = with_carries(t, keys, {"_pk": ("max", F.col("pk"))}, s.rows, pos).withColumn("pk", F.greatest("_pk", "pk"))
+    rows_ = with_quantile(t.withColumn("dd", guarded(F.col("pk") - F.col("eq"), "pk")), keys, value, 0.05, "p05")
     neg = F.when(r < 0, r)
     m = rows_.groupBy(*keys).agg(
         F.count(r).alias("n"), F.abs(F.avg(F.when(r <= F.col("p05"), r))).alias("cvar"), F.max("dd").alias("max_drawdown"),
@@ -287,9 +288,10 @@ def decision_statistics(decisions: DataFrame, keys: Sequence[str], value: str =
     """Shares per outcome and statistics of the returns that followed."""
     r = F.col(value)
     s = Pieces(decisions, keys=keys, pos=pos, halo=16, rows=rows)
-    s.expanding(cum=("sum", r))
-    s.expanding(top=("max", F.col("cum")))
-    df = s.close()
+    s.running_from(decisions, _cum=("sum", r))
+    s.stage(cum=F.when(r.isNotNull(), F.col("_cum")))
+    s.stage(top=s.inside("max", F.col("cum")))
+    df = with_carries(materialize(s.close(), "decisions"), keys, {"_top": ("max", F.col("top"))}, s.rows, pos).withColumn("top", F.greatest("_top", "top")).drop("_top")
     head = with_quantile(df.withColumn("_loss", -r), keys, "_loss", 0.95, "var95")
     base = df.groupBy(*keys).agg(F.avg(r).alias("_m"), F.stddev_pop(r).alias("_s"), F.min("cum").alias("_lo"))
     j = head.join(base, list(keys))
