@@ -39,12 +39,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Hashes of any spans of a sequence of 64-bit values."""
+    """Hashes of any spans of a sequence of 64-bit values; with ``second`` values also a pair of hashes that tells short spans apart.
 
-    def __init__(self, values: np.ndarray):
+    The sums are polynomials, so the values must be strong hashes themselves (of words) where equality rests on the pair;
+    over raw bytes they only deal spans to buckets.
+    """
+
+    def __init__(self, values: np.ndarray, second: np.ndarray | None = None):
         power, self.inverse = powers(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, U)
         np.cumsum(values * power[:len(values)], out=self.sums[1:])
+        self.second = None if second is None else Prefix(second)
+
+    def both(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.spans(start, end), self.second.spans(start, end)
 
     def rolling(self, n: int) -> np.ndarray:
         """Hash of each span of ``n`` values."""

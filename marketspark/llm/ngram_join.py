@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .minimisers import repeated_seeds
 from .tables import bits_for, bitmap_of, checkpointed, in_bitmap, stored
-from .textblocks import BYTE_LOWER, STEP, U, binary, blocks, lists, mix, span_hash, spread, text_bytes, windows, words
+from .strings import span_keys
+from .textblocks import LOWER, STEP, U, binary, blocks, lists, mix, spread, text_bytes, windows, words
 
 WORDS = 5
 #: Threshold as a ratio of integers.
@@ -47,7 +48,7 @@ FREQUENT = 32
 def shingles(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, shingle hash) of a block, by row and then by hash."""
     start, end, row = words(data, at)
-    h = span_hash(data, start, end, BYTE_LOWER)
+    h, _ = span_keys(LOWER[data], start, end)
     first, grams = windows(h, row, n)
     owner = row[first]
     count = np.bincount(row, minlength=len(at) - 1)

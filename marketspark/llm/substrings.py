@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .minimisers import BLOCK, HOT, SENT, Prefix, bucket_of, buckets, dealt, finish, in_bitmap, minimiser_runs, seed_bitmaps
 from .tables import stored
-from .textblocks import BYTE, U, binary, blocks, lists, mix, span_hash, spread, text_bytes, windows, words
+from .strings import span_keys
+from .textblocks import U, binary, blocks, lists, spread, text_bytes, windows, words
 
 WINDOW = 13
 SEED = 5
@@ -31,8 +32,8 @@ NONE = -(1 << 63)
 def _strings(data, at, window, seed):
     """Words of a block and its super-k-mers: first word, windows, seed hash."""
     start, end, row = words(data, at)
-    h = span_hash(data, start, end)
-    prefix = Prefix(h)
+    h, second = span_keys(data, start, end)
+    prefix = Prefix(h, second)
     seeds = prefix.rolling(seed)
     fits = np.zeros(len(h), bool)
     m = len(h) - window + 1
@@ -42,11 +43,12 @@ def _strings(data, at, window, seed):
     return start, end, row, prefix, first, count, seeds[place] if len(place) else np.zeros(0, U)
 
 
-def smallest_first(identity: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts by identity and then by ``order``; returns the sorting and, for each sorted row, where its group begins."""
-    by = np.lexsort((*order[::-1], identity))
+def smallest_first(identity: tuple[np.ndarray, np.ndarray], *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts by identity (two keys) and then by ``order``; returns the sorting and, for each sorted row, where its group begins."""
+    a, b = identity
+    by = np.lexsort((*order[::-1], b, a))
     head = np.ones(len(by), bool)
-    head[1:] = identity[by][1:] != identity[by][:-1]
+    head[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
     return by, np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))
 
 
@@ -84,7 +86,7 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
                 word0 = np.searchsorted(row, np.arange(hi - lo))
                 doc, uid = ids[lo:hi][row[first]], uids[lo:hi][row[first]]
                 begin = first - word0[row[first]]
-                by, head = smallest_first(prefix.spans(first, first + count + window - 1), doc)
+                by, head = smallest_first(prefix.both(first, first + count + window - 1), doc)
                 copy = np.zeros(len(first), bool)
                 copy[by] = doc[by] > doc[by][head]
                 if copy.any():
@@ -119,9 +121,9 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
         data = np.frombuffer(b"".join(texts), np.uint8)
         line = np.flatnonzero(data == 10) + 1
         start, end, row = words(data, np.concatenate(([0], line)))
-        h = span_hash(data, start, end)
+        h, second = span_keys(data, start, end)
         first, a = windows(h, row, window)
-        _, c = windows(mix(h ^ BYTE[7]), row, window)
+        _, c = windows(second, row, window)
         owner = row[first]
         at = begin[owner] + first - np.searchsorted(row, owner)
         by = np.lexsort((doc[owner], c, a))

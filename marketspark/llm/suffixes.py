@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .minimisers import BLOCK, HOT, SENT, Prefix, bucket_of, buckets, dealt, finish, in_bitmap, minimiser_runs, seed_bitmaps
 from .substrings import NONE, _merged, covered, smallest_first
 from .tables import stored
+from .strings import span_keys
 from .textblocks import BYTE, U, binary, blocks, lists, runs, spread, text_bytes
 
 LENGTH = 100
@@ -170,7 +171,7 @@ def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed:
                 row = np.searchsorted(at, first, "right") - 1
                 doc, uid, begin = ids[lo:hi][row], uids[lo:hi][row], first - at[row]
                 size = count + length - 1
-                by, head = smallest_first(prefix.spans(first, first + size), doc, uid, begin)
+                by, head = smallest_first(span_keys(data, first, first + size), doc, uid, begin)
                 copy = np.zeros(len(first), bool)
                 copy[by] = (doc[by] != doc[by][head]) | (uid[by] != uid[by][head]) | (begin[by] != begin[by][head])
                 if copy.any():
@@ -196,8 +197,7 @@ def removed_starts(df: DataFrame, id_col: str, text_col: str, length: int, seed:
         data = np.frombuffer(b"".join(texts), np.uint8)
         size = count + length - 1
         place = np.cumsum(size) - size
-        values = Prefix(BYTE[data])
-        by, head = smallest_first(values.spans(place, place + size), doc, uid, begin)
+        by, head = smallest_first(span_keys(data, place, place + size), doc, uid, begin)
         copy = np.zeros(len(by), bool)
         copy[by] = (doc[by] != doc[by][head]) | (uid[by] != uid[by][head]) | (begin[by] != begin[by][head])
         out = [(doc[copy], uid[copy], begin[copy], count[copy])]

@@ -13,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from .strings import span_keys
 from .textblocks import U, span_hash, spread
 
 #: The splitting rule that a file must have for the fast path.
@@ -55,12 +56,13 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.count, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.known, self.second, self.at, self.count, self.ids = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str], hashes: np.ndarray) -> None:
+    def learn(self, pieces: list[str], hashes: np.ndarray, second: np.ndarray) -> bool:
+        """Remembers the pieces' ids; False if the vocabulary does not end each piece in one end-of-word token."""
         got = [np.zeros(0, self.kind)]
         for i in range(0, len(pieces), 20_000):
             lines = [" ".join(pieces[k:k + 200]) for k in range(i, min(i + 20_000, len(pieces)), 200)]
@@ -68,22 +70,29 @@ class Encoder:
         flat = np.concatenate(got)
         stop = np.flatnonzero(self.ends[flat]) + 1
         if len(stop) != len(pieces):
-            raise ValueError("a piece did not end in one end-of-word token")
+            return False
         begin = np.concatenate(([0], stop[:-1])).astype(np.int64)
         into = np.searchsorted(self.known, hashes)  # both ascend
-        self.known = np.insert(self.known, into, hashes)
+        self.known, self.second = np.insert(self.known, into, hashes), np.insert(self.second, into, second)
         self.at = np.insert(self.at, into, begin + len(self.ids))
         self.count = np.insert(self.count, into, stop - begin)
         self.ids = np.concatenate((self.ids, flat))
+        return True
 
-    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all rows and where each row's begin; hash and row of each piece (rows on the slow path: of their ids)."""
+    def encode(self, data: np.ndarray, at: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all rows and where each row's begin; hash and row of each piece (rows on the slow path: of their ids).
+
+        Pieces are the same if both of their 64-bit keys are; rows with a piece that shares only the first key with another
+        one (``whole``) go through the tokenizer whole.
+        """
         rows = len(at) - 1
         odd = (data >= 0xC4) | (data == 0x27)
         if len(data) > 1:
             odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
         sums = np.concatenate(([0], np.cumsum(odd)))
         slow = sums[at[1:]] > sums[at[:-1]] if self.fast else np.ones(rows, bool)
+        if whole is not None:
+            slow = slow | whole
         lead = (data == 0xC2) | (data == 0xC3)
         chars = data.copy()
         after = np.flatnonzero(lead) + 1
@@ -101,7 +110,7 @@ class Encoder:
         full = kind[start] != GAP
         start, end = start[full], end[full]
         row = np.searchsorted(place, start, "right") - 1
-        h = span_hash(chars, start, end)
+        h, second = span_keys(chars, start, end)
         if len(self.known) > MOST_PIECES:
             self.forget()
         found, first, of = np.unique(h, return_index=True, return_inverse=True)
@@ -111,8 +120,14 @@ class Encoder:
         if len(new):
             raw = chars.tobytes()
             pieces = [raw[a:z].decode("latin-1") for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist())]
-            self.learn(pieces, found[new])
+            if not self.learn(pieces, found[new], second[first[new]]):
+                return self.encode(data, at, np.ones(rows, bool))
         entry = np.searchsorted(self.known, found)[of]
+        other = self.second[entry] != second
+        if other.any():
+            again = np.zeros(rows, bool) if whole is None else whole.copy()
+            again[row[other]] = True
+            return self.encode(data, at, again)
         count = self.count[entry]
         ids = self.ids[spread(self.at[entry], count)]
         n = np.bincount(row, weights=count, minlength=rows).astype(np.int64)

@@ -362,3 +362,50 @@ def test_toxicity_held_out(spark):
     row, f = toxicity.features(data, at)
     start, *_ = words(data, at)
     assert len(start) and (np.diff(row) >= 0).all() and f.max() < toxicity.SIZE
+
+
+# ---- equality in the earlier operators does not rest on polynomials of bytes
+
+
+def mirrored_rows():
+    t = thue_morse(1024)
+    m = t.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(12))
+    short = thue_morse(128)
+    texts = [t, m, f"{t} {tail}", f"{m} {tail}", short + "x" * 60, short.translate(str.maketrans("ab", "ba")) + "x" * 60, f"{t} {tail}"]
+    return rows_of(texts)
+
+
+def test_mirrored_strings_are_different(spark):
+    from marketspark.llm import ngram_join, substrings, suffixes
+    from marketspark.llm.tokens import Encoder
+
+    from .test_operators import TOKENIZER, brute_bytes
+
+    rows = mirrored_rows()
+    df = tables.ship(spark) and frame(spark, rows).repartition(1)
+    removed = {r["doc_id"]: r["n_removed"] for r in substrings.strip(df).collect()}
+    assert removed == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 13}
+    found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in suffixes.strip(df).collect()), key=str)
+    assert found == brute_bytes([r[:2] for r in rows])
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 2}
+    plain = Tokenizer.from_file(TOKENIZER)
+    data, at = text_bytes(pa.array([r[1] for r in rows]))
+    ids, begin, *_ = Encoder(TOKENIZER).encode(data, at)
+    for k, r in enumerate(rows):
+        assert ids[begin[k]:begin[k + 1]].tolist() == plain.encode(r[1], add_special_tokens=False).ids
+
+
+def test_pieces_that_share_one_key(monkeypatch):
+    from marketspark.llm import tokens
+
+    from .test_operators import TOKENIZER
+
+    real = tokens.span_keys
+    monkeypatch.setattr(tokens, "span_keys", lambda *a: (real(*a)[0] & np.uint64(3), real(*a)[1]))
+    texts = ["the quick brown fox jumps over the lazy dog", "lorem ipsum dolor", "", "the fox"]
+    plain, own = Tokenizer.from_file(TOKENIZER), tokens.Encoder(TOKENIZER)
+    for _ in range(2):
+        data, at = text_bytes(pa.array(texts))
+        ids, begin, *_ = own.encode(data, at)
+        assert [ids[begin[k]:begin[k + 1]].tolist() for k in range(4)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
