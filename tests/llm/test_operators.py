@@ -318,12 +318,28 @@ def test_sharding(table):
         assert max(load.values()) <= mean + max(r["size"] for r in found) + 0.05 * mean
 
 
-def test_sharding_keeps_small_groups(spark):
-    found = sharding.shard(spark.read.parquet(f"{SF}/documents.parquet"), shards=4, together=0.1).collect()
-    where = defaultdict(set)
+@pytest.mark.parametrize("sf,shards", [("sf0.001", 40), ("sf0.001", 7), ("sf0.01", 40)])
+def test_sharding_keeps_groups(spark, sf, shards):
+    """Equal texts share a shard unless they alone are larger than one; sizes stay near equal; slots have no gap."""
+    found = sharding.shard(tables.documents(spark, f"/root/testdata/{sf}"), shards=shards).collect()
+    where, own, load, slots = defaultdict(set), Counter(), Counter(), defaultdict(list)
     for r in found:
         where[r["text_crc32"], r["size"]].add(r["shard"])
-    assert all(len(s) == 1 for s in where.values())
+        own[r["text_crc32"], r["size"]] += r["size"]
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    mean = sum(load.values()) / shards
+    assert all(len(s) == 1 for g, s in where.items() if own[g] <= mean)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    step = max(r["size"] for r in found)
+    assert max(load.values()) <= mean + step + 0.05 * mean and min(load[k] for k in range(shards)) >= mean - step - 0.05 * mean
+
+
+def test_homes_and_ends():
+    home, load = sharding.homes([(1, 50), (2, 40), (3, 30), (4, 5)], 3)
+    assert home == {1: 0, 2: 1, 3: 2, 4: 2} and load == [50, 40, 35]
+    assert sharding.run_ends(load, 125 + 10) == [0.0, 2.5, 10.0]
+    assert sharding.run_ends([0, 0], 10) == [5.0, 10.0] and sharding.run_ends([7, 3], 10) == [0.0, 0.0]
 
 
 def test_mix(table):
