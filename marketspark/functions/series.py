@@ -15,6 +15,10 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..session import ship
+from .windows import piece_windows
 
 EPS = 1e-10
 PIECE_ROWS = 32_768
@@ -156,9 +160,6 @@ class Pieces:
     earlier stages.  Names starting with an underscore are dropped by ``close``.
     """
 
-    #: Longest window whose length may be a column.
-    cap = 200
-
     def __init__(self, df: DataFrame, keys: Sequence[str] = ("symbol",), pos: str = "pos", halo: int = HALO_ROWS,
                  ahead: int = 0, rows: int | None = None, block: int = 512):
         self.rows = rows or PIECE_ROWS
@@ -178,17 +179,67 @@ class Pieces:
             "_blk": F.floor(p / block).cast("long"),
         })
         self.part = [*self.keys, "_piece"]
+        self.asked: dict[tuple, str] = {}
+        self.open: list[tuple] = []
+        self.dry, self.count = False, 0
         self.w0 = Window.partitionBy(*self.part).orderBy(pos)
 
     # -- plumbing
     def stage(self, **cols: Column) -> "Pieces":
+        if self.dry:
+            return self
+        self.fetch()
         self.df = self.df.withColumns(cols)
         return self
 
+    # -- windows that one pass over the rows of a piece computes (order statistics, lengths from a column)
+    def ask(self, kind: str, c, k, share: float | None = None) -> Column:
+        """Column of a window that the next ``stage`` or ``fetch`` computes; the same request is computed once."""
+        key = (kind, str(c), str(k), share)
+        if key not in self.asked:
+            self.asked[key] = f"_roll{self.count}"
+            self.count += 1
+            self.open.append((self.asked[key], kind, col(c).cast("double"), k if isinstance(k, Column) else F.lit(k), share))
+        return F.col(self.asked[key])
+
+    def foresee(self, build: Callable[[], object]) -> "Pieces":
+        """Runs ``build`` without its effects, to learn which windows it will ask of columns that are there already, and
+        computes these together: one pass in place of one per stage."""
+        self.dry = True
+        build()
+        self.dry = False
+        there = set(self.df.columns)
+        for key, name in list(self.asked.items()):
+            if name not in there and key[1] not in there:
+                del self.asked[key]
+        names = set(self.asked.values())
+        self.open = [x for x in self.open if x[0] in names]
+        return self.fetch()
+
+    def fetch(self) -> "Pieces":
+        """Computes all open requests in one pass over each piece."""
+        if not self.open:
+            return self
+        requests, extra = [], {}
+        for name, kind, c, k, share in self.open:
+            source, length = (next((n for n, e in extra.items() if str(e) == str(x)), None) for x in (c, k.cast("long")))
+            if source is None:
+                extra[source := f"_arg{len(extra)}"] = c
+            if length is None:
+                extra[length := f"_arg{len(extra)}"] = k.cast("long")
+            requests.append((name, kind, source, length, share))
+        self.open = []
+        ship(self.df.sparkSession)
+        df = self.df.withColumns(extra)
+        schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name, *_ in requests)])
+        self.df = df.groupBy(*self.part).applyInArrow(piece_windows(requests, self.pos, self.rows), schema).drop(*extra)
+        return self
+
     def has(self, *names: str) -> bool:
         return set(names) <= set(self.df.columns)
 
     def close(self) -> DataFrame:
+        self.fetch()
         keep = [c for c in self.df.columns if not c.startswith("_")]
         return self.df.filter("_core").select(*keep)
 
@@ -198,37 +249,10 @@ class Pieces:
     def back(self, k: int):
         return self.w0.rowsBetween(-(k - 1), 0)
 
-    # -- windows whose length is a column (short series only, see features.swing)
-    def _tail(self, c, k: Column) -> Column:
-        """The last k values up to the current row; shorter or holed windows give null."""
-        rows = F.collect_list(F.struct(col(c).cast("double").alias("v"))).over(self.back(self.cap))
-        values = F.transform(F.slice(rows, -k, k), lambda r: r["v"])
-        return F.when((F.size(values) == k) & ~F.exists(values, lambda v: v.isNull()), values)
-
-    def _adaptive(self, name: str, c, k: Column) -> Column:
-        v = self._tail(c, k)
-        total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        if name == "min":
-            return F.array_min(v)
-        if name == "max":
-            return F.array_max(v)
-        if name == "sum":
-            return total(v)
-        if name == "mean":
-            return total(v) / k
-        if name == "median":
-            o = F.array_sort(v)
-            lo, hi = F.floor((k - 1) / 2).cast("int"), F.ceil((k - 1) / 2).cast("int")
-            return (F.get(o, lo) + F.get(o, hi)) / 2
-        pair = F.transform(F.array(v), lambda a: F.struct(a.alias("a"), (total(a) / k).alias("m")))[0]
-        squares = F.transform(pair["a"], lambda x: (x - pair["m"]) * (x - pair["m"]))
-        return F.sqrt(ratio(total(squares), k - 1))
-
     # -- row offsets
     def lag(self, c, k: int | Column = 1) -> Column:
         if isinstance(k, Column):
-            rows = F.collect_list(F.struct(col(c).alias("v"))).over(self.back(self.cap))
-            return F.get(rows, F.size(rows) - 1 - k)["v"]
+            return self.ask("lag", c, k)
         return F.lag(col(c), k).over(self.w0)
 
     def lead(self, c, k: int = 1) -> Column:
@@ -256,19 +280,19 @@ class Pieces:
         return self.full(c, k, fn(col(c)).over(self.back(k)))
 
     def mean(self, c, k):
-        return self._adaptive("mean", c, k) if isinstance(k, Column) else self._roll(F.avg, c, k)
+        return self.ask("mean", c, k) if isinstance(k, Column) else self._roll(F.avg, c, k)
 
     def sum(self, c, k):
-        return self._adaptive("sum", c, k) if isinstance(k, Column) else self._roll(F.sum, c, k)
+        return self.ask("sum", c, k) if isinstance(k, Column) else self._roll(F.sum, c, k)
 
     def min(self, c, k):
-        return self._adaptive("min", c, k) if isinstance(k, Column) else self._roll(F.min, c, k)
+        return self.ask("min", c, k) if isinstance(k, Column) else self._roll(F.min, c, k)
 
     def max(self, c, k):
-        return self._adaptive("max", c, k) if isinstance(k, Column) else self._roll(F.max, c, k)
+        return self.ask("max", c, k) if isinstance(k, Column) else self._roll(F.max, c, k)
 
     def std(self, c, k):
-        return self._adaptive("std", c, k) if isinstance(k, Column) else self._roll(F.stddev_samp, c, k)
+        return self.ask("std", c, k) if isinstance(k, Column) else self._roll(F.stddev_samp, c, k)
 
     def std0(self, c, k):
         return self._roll(F.stddev_pop, c, k)
@@ -277,10 +301,14 @@ class Pieces:
         return self._roll(F.var_samp, c, k)
 
     def quantile(self, c, q: float, k: int):
-        return self._roll(lambda x: F.percentile(x, q), c, k)
+        return self.ask("quantile", c, k, q)
 
     def median(self, c, k):
-        return self._adaptive("median", c, k) if isinstance(k, Column) else self.quantile(c, 0.5, k)
+        return self.quantile(c, 0.5, k)
+
+    def tail_mean(self, c, q: float, k: int):
+        """Mean of the window's values up to its quantile."""
+        return self.ask("tail_mean", c, k, q)
 
     # -- moments of return-like columns (mean small against the deviation), from means of powers
     def vol(self, c, k: int) -> Column:
@@ -425,6 +453,8 @@ class Pieces:
     def expanding(self, **specs: tuple[str, Column]) -> "Pieces":
         """Running sum / max / last over the whole series, valid on core rows and on the
         nearer half of the halo (so that later stages can roll over the result)."""
+        if self.dry:
+            return self
         warm = self.halo // 2
         p, piece = F.col(self.pos), F.col("_piece")
         usable = p >= piece * self.rows - warm

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import hashed_normal, index_rows, Pieces, running, time_bucket
-from ..session import materialize
+from ..session import materialize, ship
 from .stats import trade_metrics
 
 c = F.col
@@ -128,6 +128,7 @@ def one_position(outcomes: DataFrame, rows: int = 65_536, order: Sequence[str] =
     themselves and doubles the part of the chain that is known, so the number of jobs grows with the
     logarithm of the number of pieces.
     """
+    ship(outcomes.sparkSession)
     w = index_rows(outcomes, ["symbol"], list(order), F.floor(c("pos") / rows), pos="_idx")
     w = w.withColumn("_piece", F.floor(c("_idx") / rows).cast("long"))
     # a timeout closes after the last bar: nothing can follow it

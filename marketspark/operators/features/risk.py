@@ -125,21 +125,14 @@ def tail_risk(s: Pieces) -> Pieces:
             **{f"skewness_{k}": s.skew("_ret", k) for k in (20, 50, 100)},
             **{f"_pk{k}": s.max("close", k) for k in (20, 50, 100)},
             _sd50=s.vol("_ret", 50), var_95_50=s.quantile("_ret", 0.05, 50), var_99_50=s.quantile("_ret", 0.01, 50),
-            _w50=s.full("_ret", 50, F.collect_list("_ret").over(s.back(50))))
+            cvar_95_50=s.tail_mean("_ret", 0.05, 50))
     s.stage(extreme_positive=s.hits(F.col("_ret") > F.col("_sd50") * 2.5, 20),
             extreme_negative=s.hits(F.col("_ret") < -F.col("_sd50") * 2.5, 20),
-            cvar_95_50=tail_mean("_w50", F.col("var_95_50")),
             **{f"_d{k}": ratio(F.col("close") - F.col(f"_pk{k}"), f"_pk{k}") for k in (20, 50, 100)})
     return s.stage(extreme_ratio=F.col("extreme_negative") / (F.col("extreme_positive") + 1),
                    **{f"max_dd_{k}": s.min(f"_d{k}", k) for k in (20, 50, 100)})
 
 
-def tail_mean(window: str, bound: Column) -> Column:
-    """Mean of the window values at or below ``bound``."""
-    tail = F.filter(F.col(window), lambda v: v <= bound)
-    return ratio(F.aggregate(tail, F.lit(0.0), lambda a, v: a + v), F.size(tail))
-
-
 def liquidity(s: Pieces) -> Pieces:
     s.stage(**{f"_v{k}": s.mean("volume", k) for k in (5, 10, 20, 50)}, _vc=s.pct("volume"))
     s.stage(**{f"volume_ratio_{k}": guarded("volume", f"_v{k}") for k in (5, 10, 20, 50)},

@@ -1,7 +1,7 @@
 """Long-horizon features whose window lengths depend on the length of the series.
 
-Series of ``SATURATED`` bars or more use the full constant windows.  Shorter ones, which are
-small by definition, take the same expressions with per-row window lengths.
+A window's length is a column, so short and long series take the same plan; such windows come from one
+pass over each piece at a cost that does not depend on their length.
 """
 
 from __future__ import annotations
@@ -13,24 +13,17 @@ from .base import begin, div, flag, guarded, ratio, rsi, zeros
 from .intraday import macd
 from ...functions.series import Pieces
 
-#: From this many bars on every adaptive window has its full length.
-SATURATED = 300
-
 
 def _least(a, b):
-    if isinstance(b, Column):
-        return F.least(F.lit(a), b).cast("int")
-    return min(a, b)
+    return F.least(F.lit(a), b).cast("int")
 
 
 def _most(a, b):
-    if isinstance(b, Column):
-        return F.greatest(F.lit(a), b).cast("int")
-    return max(a, b)
+    return F.greatest(F.lit(a), b).cast("int")
 
 
 def _part(n, d: int):
-    return F.floor(n / d).cast("int") if isinstance(n, Column) else n // d
+    return F.floor(n / d).cast("int")
 
 
 def moving_averages(s: Pieces, n, live: bool = False) -> Pieces:
@@ -72,16 +65,23 @@ def regime(s: Pieces, n, live: bool = False) -> Pieces:
     )
 
 
-def macro_volatility(s: Pieces, n, live: bool = False) -> Pieces:
+def levels(s: Pieces, n, live: bool = False) -> Pieces:
+    """Volatilities and mean volumes, which further windows look at."""
     m = _most(5, _part(n, 10))
     if live:
         k = {20: _least(20, m), 50: _least(50, m * 2), 100: _least(100, m * 5)}
-        k_med, k14, k50, k_dd = _least(100, m * 8), _least(14, m), _least(50, m * 4), _least(50, m * 4)
     else:
         k = {20: _least(20, m * 2), 50: _least(50, m * 4), 100: _least(100, m * 8)}
+    return s.stage(**{f"volatility_{w}": s.std("_ret", x) for w, x in k.items()}, _v10=s.mean("volume", _least(10, m)), _v50=s.mean("volume", _least(50, m * 4)))
+
+
+def macro_volatility(s: Pieces, n, live: bool = False) -> Pieces:
+    m = _most(5, _part(n, 10))
+    if live:
+        k_med, k14, k50, k_dd = _least(100, m * 8), _least(14, m), _least(50, m * 4), _least(50, m * 4)
+    else:
         k_med, k14, k50, k_dd = (_least(100, _part(n, 3)), _least(14, _part(n, 5)), _least(50, _part(n, 3)), _least(50, _part(n, 3)))
-    s.stage(**{f"volatility_{w}": s.std("_ret", x) if isinstance(x, Column) else s.vol("_ret", x) for w, x in k.items()},
-            atr_14=s.mean("_tr", k14), atr_50=s.mean("_tr", k50), _peak=s.max("close", k_dd),
+    s.stage(atr_14=s.mean("_tr", k14), atr_50=s.mean("_tr", k50), _peak=s.max("close", k_dd),
             _mid=s.mean("close", 20), _sd=s.std("close", 20))
     s.stage(_med=s.median("volatility_50", k_med))
     s.stage(
@@ -137,8 +137,7 @@ def accumulation(s: Pieces) -> Pieces:
 
 def volume(s: Pieces, n) -> Pieces:
     m = _most(5, _part(n, 10))
-    k10, k20, k50 = _least(10, m), _least(20, m * 2), _least(50, m * 4)
-    s.stage(_v10=s.mean("volume", k10), _v50=s.mean("volume", k50))
+    k10, k20 = _least(10, m), _least(20, m * 2)
     return s.stage(volume_ratio=guarded("_v10", "_v50"), volume_trend=s.pct("_v10", k10), ad_slope=s.pct("ad_line", k20),
                    cmf=guarded(s.sum("_mf", k20), s.sum("volume", k20)))
 
@@ -157,6 +156,17 @@ ABSENT = {
 }
 
 
+def sources(s: Pieces) -> Pieces:
+    """Derivative inputs with their defaults, before any window looks at them."""
+    given = {"funding_rate": ("_fr", 0.0), "long_short_ratio": ("_ls", 1.0), "buy_sell_ratio": ("_bs", 1.0), "lastFundingRate": ("_pr0", 0.0)}
+    s.stage(**{name: F.coalesce(source, F.lit(default)) for source, (name, default) in given.items() if s.has(source)})
+    if s.has("buy_sell_ratio"):
+        s.stage(_bs1=F.col("_bs") - 1)
+    if s.has("lastFundingRate"):
+        s.stage(_pos=(F.col("_pr0") > 0).cast("double"), _neg=(F.col("_pr0") < 0).cast("double"))
+    return s.expanding(_oi=("last", F.col("sum_open_interest"))) if s.has("sum_open_interest") else s
+
+
 def derivatives(s: Pieces, n) -> Pieces:
     m = _most(5, _part(n, 10))
     week, month, quarter = _least(7, m), _least(30, m * 3), _least(90, m * 4)
@@ -164,7 +174,6 @@ def derivatives(s: Pieces, n) -> Pieces:
         if not s.has(source):
             s.stage(**{k: F.lit(v) for k, v in defaults.items()})
     if s.has("funding_rate"):
-        s.stage(_fr=F.coalesce("funding_rate", F.lit(0.0)))
         s.stage(funding_cumsum_7d=s.sum("_fr", _least(21, m * 3)), funding_cumsum_30d=s.sum("_fr", _least(90, m * 6)),
                 funding_ma_7d=s.mean("_fr", _least(21, m * 2)), funding_ma_30d=s.mean("_fr", quarter), _fsd=s.std("_fr", quarter))
         s.stage(funding_trend=F.col("funding_ma_7d") - F.col("funding_ma_30d"),
@@ -172,32 +181,25 @@ def derivatives(s: Pieces, n) -> Pieces:
         s.stage(funding_extreme_long=flag(F.col("funding_zscore_swing") > 2),
                 funding_extreme_short=flag(F.col("funding_zscore_swing") < -2))
     if s.has("sum_open_interest"):
-        s.expanding(_oi=("last", F.col("sum_open_interest")))
         s.stage(oi_ma_7d=s.mean("_oi", week), oi_ma_30d=s.mean("_oi", month), oi_change_7d=s.pct("_oi", week),
                 oi_change_30d=s.pct("_oi", month), _pc30=s.pct("close", month), _om=s.mean("_oi", quarter), _os=s.std("_oi", quarter))
         s.stage(oi_trend_swing=guarded("oi_ma_7d", "oi_ma_30d") - 1, oi_price_div_swing=F.col("oi_change_30d") - F.col("_pc30"),
                 oi_zscore_swing=guarded(F.col("_oi") - F.col("_om"), "_os"))
     if s.has("long_short_ratio"):
-        s.stage(_ls=F.coalesce("long_short_ratio", F.lit(1.0)))
         s.stage(ls_ma_7d=s.mean("_ls", week), ls_ma_30d=s.mean("_ls", month), _lm=s.mean("_ls", quarter), _lsd=s.std("_ls", quarter))
         s.stage(ls_trend_swing=guarded("ls_ma_7d", "ls_ma_30d") - 1, ls_zscore_swing=guarded(F.col("_ls") - F.col("_lm"), "_lsd"))
         s.stage(crowd_extreme_long=flag(F.col("ls_zscore_swing") > 1.5), crowd_extreme_short=flag(F.col("ls_zscore_swing") < -1.5))
     if s.has("buy_sell_ratio"):
-        s.stage(_bs=F.coalesce("buy_sell_ratio", F.lit(1.0)))
-        s.stage(_bs1=F.col("_bs") - 1)
         s.stage(taker_ma_7d=s.mean("_bs", week), taker_ma_30d=s.mean("_bs", month), taker_cumsum_7d=s.sum("_bs1", week))
         s.stage(taker_trend_swing=F.col("taker_ma_7d") - F.col("taker_ma_30d"))
     if s.has("lastFundingRate"):
-        s.stage(_pr0=F.coalesce("lastFundingRate", F.lit(0.0)))
-        s.stage(_pos=(F.col("_pr0") > 0).cast("double"), _neg=(F.col("_pr0") < 0).cast("double"))
         s.stage(premium_ma_7d=s.mean("_pr0", week), premium_ma_30d=s.mean("_pr0", month),
                 basis_persistent_pos=s.mean("_pos", week), basis_persistent_neg=s.mean("_neg", week))
         s.stage(premium_trend_swing=F.col("premium_ma_7d") - F.col("premium_ma_30d"))
     return s
 
 
-def _build(bars: DataFrame, n, live: bool, rows: int | None) -> DataFrame:
-    s = accumulation(begin(bars, rows=rows))
+def _parts(s: Pieces, n, live: bool) -> Pieces:
     moving_averages(s, n, live)
     regime(s, n, live)
     macro_volatility(s, n, live)
@@ -208,11 +210,7 @@ def _build(bars: DataFrame, n, live: bool, rows: int | None) -> DataFrame:
     momentum(s, live)
     support_resistance(s, n, live)
     volume(s, n)
-    if live:
-        zeros(s, *LIVE_ZERO)
-    else:
-        derivatives(s, n)
-    return s.close()
+    return zeros(s, *LIVE_ZERO) if live else derivatives(s, n)
 
 
 #: Futures-only inputs that a live spot feed reports as zero.
@@ -238,7 +236,12 @@ LIVE_FEATURES = [
 
 def swing_features(bars: DataFrame, live: bool = False, rows: int | None = None) -> DataFrame:
     """Needs the series length per row as column ``n``."""
-    n = F.col("n")
-    full = _build(bars.filter(n >= SATURATED), SATURATED, live, rows)
-    short = _build(bars.filter(n < SATURATED), n.cast("int"), live, rows)
-    return full.unionByName(short)
+    n = F.col("n").cast("int")
+    s = accumulation(begin(bars, rows=rows))
+    if not live:
+        sources(s)
+    build = lambda: _parts(s, n, live)
+    s.foresee(lambda: (levels(s, n, live), build()))  # windows over the bars themselves
+    levels(s, n, live)
+    s.foresee(build)  # and over what was just added
+    return build().close()

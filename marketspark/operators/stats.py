@@ -414,12 +414,8 @@ def volatility_regime(s: Pieces, vol: str, lookback: int = 20, history: int = 99
 
     Mean-rank percentile; fewer than ``lookback`` values so far give ``medium``.
     """
-    past = F.collect_list(vol).over(s.frame(-history, -1))
     seen = F.count(vol).over(s.frame(-history, 0))
-    n = F.size(past)
-    lt = F.size(F.filter(past, lambda x: x < F.col(vol)))
-    le = F.size(F.filter(past, lambda x: x <= F.col(vol)))
-    pct = ratio((lt + le + (le > lt).cast("int")) * 0.5, n)
+    pct = s.ask("share_below", vol, history)
     regime = F.when(pct < 0.25, "low").when(pct < 0.5, "medium").when(pct < 0.75, "high").otherwise("extreme")
     return F.when(F.col(vol).isNull(), None).when((seen < lookback) | pct.isNull(), "medium").otherwise(regime)
 

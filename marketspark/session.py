@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,20 @@ def runs_here(master: str) -> bool:
     return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors once, for clusters where it is not installed: tasks in Python import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shipped_marketspark", False):
+        return
+    root = Path(__file__).resolve().parent
+    into = Path(tempfile.mkdtemp(prefix="spark-")) / "marketspark.zip"  # the driver serves it from here
+    with zipfile.ZipFile(into, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"marketspark/{f.relative_to(root)}")
+    sc.addPyFile(str(into))
+    sc._shipped_marketspark = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table inside a loop."""
     sc = df.sparkSession.sparkContext
