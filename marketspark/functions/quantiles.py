@@ -105,10 +105,10 @@ def _narrow(rows: DataFrame, state: DataFrame, keys: Sequence[str], wanted: list
     return materialize(state.drop(*[x for x in state.columns[len(keys):] if x.startswith("_w")]), "rank-intervals")
 
 
-def values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: Callable[[Column], list[Column]], bound: int = BOUND) -> DataFrame:
-    """Interpolated values at 0-based ranks given by ``ranks(n)``: ``(keys..., column, n, q array)``.
+def wide_values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: Callable[[Column], list[Column]], bound: int = BOUND) -> DataFrame:
+    """Interpolated values at 0-based ranks given by ``ranks(n)``, one row per key: ``(keys..., _n0, _q0, _n1, _q1 ...)`` by place of the column.
 
-    Nulls are ignored; a group whose column has no value has no row.
+    Nulls are ignored; a column without a value has a null array.
     """
     keys = list(keys)
     rows = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
@@ -141,13 +141,25 @@ def values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks:
             return F.coalesce(f"_x{p}", F.get(f"_all{i}", (k - F.col(f"_b{p}") + skipped).cast("int")))
 
     out = []
-    for i, c in enumerate(columns):
+    for i in every:
         q = []
         for j, x in enumerate(h(i)):
             a, z = value(i, 2 * j, F.floor(x)), value(i, 2 * j + 1, F.ceil(x))
             q.append(a + (z - a) * (x - F.floor(x)))
-        out.append(F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.when(F.col(f"_n{i}") > 0, F.array(*q)).alias("q")))
-    return found.select(*keys, F.explode(F.array(*out)).alias("_o")).filter("_o.n > 0").select(*keys, "_o.column", "_o.n", "_o.q")
+        out += [F.col(f"_n{i}"), F.when(F.col(f"_n{i}") > 0, F.array(*q)).alias(f"_q{i}")]
+    return found.select(*keys, *out)
+
+
+def values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: Callable[[Column], list[Column]], bound: int = BOUND) -> DataFrame:
+    """``wide_values_at`` with one row per key and column that has a value: ``(keys..., column, n, q array)``."""
+    found = wide_values_at(df, keys, columns, ranks, bound)
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(columns)])
+    return found.select(*keys, F.explode(each).alias("_o")).filter("_o.n > 0").select(*keys, "_o.column", "_o.n", "_o.q")
+
+
+def wide_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], bound: int = BOUND) -> DataFrame:
+    """Linear-interpolation quantiles, one row per key: ``(keys..., _n0, _q0 ...)``."""
+    return wide_values_at(df, keys, columns, lambda n: [F.lit(float(p)) * (n - 1) for p in probs], bound)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], bound: int = BOUND) -> DataFrame:

@@ -10,6 +10,8 @@ from .textblocks import U, mix, spread
 
 #: Spans longer than this are hashed one by one.
 LONG = 2048
+#: Spans hashed together, so that intermediate arrays stay small.
+PART = 1 << 16
 ONE, TWO, STEP_ONE, STEP_TWO = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
 LEFT = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
@@ -20,12 +22,24 @@ def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     Eight bytes at a time enter two chains of a bijective finaliser, so no algebra of the bytes (as in polynomials
     modulo a power of two) makes different spans equal.
     """
-    size = np.asarray(end - start, np.int64)
+    n = len(start)
+    a, b = np.empty(n, U), np.empty(n, U)
+    for i in range(0, n, PART):
+        j = min(n, i + PART)
+        a[i:j], b[i:j] = _keys(data, np.asarray(start[i:j], np.int64), np.asarray(end[i:j], np.int64))
+    return a, b
+
+
+def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = end - start
     a, b = mix(size.astype(U) * STEP_ONE ^ ONE), mix(size.astype(U) * STEP_TWO ^ TWO)
-    if not len(size):
-        return a, b
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    word = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    low, high = int(start.min()), int(end.max())
+    held = data[low:high + 8]
+    if len(held) < high - low + 8:
+        held = np.concatenate((held, np.zeros(high - low + 8 - len(held), np.uint8)))
+    held = np.ascontiguousarray(held)
+    word = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))
+    start = start - low
     live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
     while len(live):
         left = size[live] - at
@@ -35,7 +49,7 @@ def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
         at += 8
         live = live[left > 8]
     for k in np.flatnonzero(size > LONG):
-        whole = xxhash.xxh3_128_intdigest(data[start[k]:end[k]].tobytes())
+        whole = xxhash.xxh3_128_intdigest(held[start[k]:start[k] + size[k]].tobytes())
         a[k], b[k] = whole & ((1 << 64) - 1), whole >> 64
     return a, b
 

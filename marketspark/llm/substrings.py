@@ -27,6 +27,8 @@ from .textblocks import U, binary, blocks, lists, spread, text_bytes, windows, w
 WINDOW = 13
 SEED = 5
 NONE = -(1 << 63)
+#: Windows of a bucket that are sorted together.
+SORTED = 1 << 18
 
 
 def _strings(data, at, window, seed):
@@ -122,17 +124,22 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
         line = np.flatnonzero(data == 10) + 1
         start, end, row = words(data, np.concatenate(([0], line)))
         h, second = span_keys(data, start, end)
+        del start, end
         first, a = windows(h, row, window)
         _, c = windows(second, row, window)
+        del h, second
         owner = row[first]
         at = begin[owner] + first - np.searchsorted(row, owner)
-        by = np.lexsort((doc[owner], c, a))
-        head = np.ones(len(by), bool)
-        head[1:] = (a[by][1:] != a[by][:-1]) | (c[by][1:] != c[by][:-1])
-        low = doc[owner][by][np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
-        gone = by[doc[owner][by] > low]
-        if len(gone):
-            yield pa.RecordBatch.from_arrays(_merged(doc[owner[gone]], uid[owner[gone]], at[gone], np.ones(len(gone), np.int64)), ["id", "uid", "start", "n"])
+        parts = U(max(1, -(-len(a) // SORTED)))
+        for k in range(int(parts)):  # equal windows have equal keys: a part at a time keeps the sort small
+            own = np.arange(len(a)) if parts == 1 else np.flatnonzero((a >> U(9)) % parts == U(k))
+            by = own[np.lexsort((doc[owner[own]], c[own], a[own]))]
+            head = np.ones(len(by), bool)
+            head[1:] = (a[by][1:] != a[by][:-1]) | (c[by][1:] != c[by][:-1])
+            low = doc[owner[by]][np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
+            gone = by[doc[owner[by]] > low]
+            if len(gone):
+                yield pa.RecordBatch.from_arrays(_merged(doc[owner[gone]], uid[owner[gone]], at[gone], np.ones(len(gone), np.int64)), ["id", "uid", "start", "n"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, uids, starts, texts = None, [], [], [], []

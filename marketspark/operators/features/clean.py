@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.quantiles import exact_quantiles
+from ...functions.quantiles import exact_quantiles, wide_quantiles
 from ...functions.series import PIECE_ROWS, ratio, running
 
 
@@ -53,11 +53,6 @@ def clip_bounds(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("
     return q.select(*keys, "column", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
-def _wide(params: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """One row per key with a map column -> parameter struct (bounded by the feature list)."""
-    return params.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("column", value.alias("p")))).alias("_p"))
-
-
 def _attach(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
     if keys:
         return df.join(params, list(keys), "left")
@@ -66,13 +61,11 @@ def _attach(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def clip_outer(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol",),
                lo: float = 0.001, hi: float = 0.999, fit: Column | None = None) -> DataFrame:
-    bounds = clip_bounds(df.filter(fit) if fit is not None else df, features, keys, lo, hi)
-    out = _attach(df, _wide(bounds, keys, F.struct("lo", "hi")), keys)
+    out = _attach(df, wide_quantiles(df.filter(fit) if fit is not None else df, keys, features, [lo, hi]), keys)
     return out.withColumns({
-        c: F.when(F.col(c).isNotNull(),
-                  F.least(F.greatest(F.col(c).cast("double"), F.col("_p")[c]["lo"]), F.col("_p")[c]["hi"]))
-        for c in features
-    }).drop("_p")
+        c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.col(f"_q{i}")[0]), F.col(f"_q{i}")[1]))
+        for i, c in enumerate(features)
+    }).drop(*[f"_{x}{i}" for x in "nq" for i in range(len(features))])
 
 
 def standard_scale(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol",),
@@ -96,11 +89,14 @@ def robust_params(df: DataFrame, features: Sequence[str], keys: Sequence[str] =
 
 
 def robust_scale(df: DataFrame, features: Sequence[str], keys: Sequence[str] = (), fit: Column | None = None) -> DataFrame:
-    params = robust_params(df, features, keys, fit)
-    out = _attach(df, _wide(params, keys, F.struct("median", "iqr")), keys)
-    return out.withColumns({
-        c: ratio(F.col(c) - F.col("_p")[c]["median"], F.col("_p")[c]["iqr"]) for c in features
-    }).drop("_p")
+    """(x - median) / interquartile range of the rows selected by ``fit``; a tiny range counts as 1."""
+    out = _attach(df, wide_quantiles(df.filter(fit) if fit is not None else df, keys, features, [0.25, 0.5, 0.75]), keys)
+
+    def scaled(i: int, c: str) -> Column:
+        iqr = F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]
+        return ratio(F.col(c) - F.col(f"_q{i}")[1], F.when(iqr < 1e-10, F.lit(1.0)).otherwise(iqr))
+
+    return out.withColumns({c: scaled(i, c) for i, c in enumerate(features)}).drop(*[f"_{x}{i}" for x in "nq" for i in range(len(features))])
 
 
 def live_vector(features_df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol",), pos: str = "pos") -> DataFrame:
