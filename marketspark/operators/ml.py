@@ -10,11 +10,10 @@ from itertools import product
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stats
@@ -35,12 +34,32 @@ def direction_model(features: Sequence[str], label: str = "target", kind: str =
     return _pipeline(features, RandomForestClassifier(labelCol=label, seed=SEED, **({"numTrees": 20, "maxDepth": 5} | params)))
 
 
+#: Most rounds of a boosted model; the improvement of the validation error below which it stops.
+ROUNDS, TOLERANCE = 500, 1e-3
+
+
 def binary_model(features: Sequence[str], label: str = "target", **params) -> Pipeline:
-    return _pipeline(features, GBTClassifier(labelCol=label, seed=SEED, **({"maxIter": 10, "maxDepth": 4} | params)))
+    return _pipeline(features, GBTClassifier(labelCol=label, seed=SEED, **({"maxIter": ROUNDS, "maxDepth": 4} | params)))
 
 
 def risk_model(features: Sequence[str], label: str = "risk_score", **params) -> Pipeline:
-    return _pipeline(features, GBTRegressor(labelCol=label, seed=SEED, **({"maxIter": 10, "maxDepth": 4} | params)))
+    return _pipeline(features, GBTRegressor(labelCol=label, seed=SEED, **({"maxIter": ROUNDS, "maxDepth": 4} | params)))
+
+
+def fit_boosted(df: DataFrame, features: Sequence[str], label: str, make, valid: Column, rounds: int = ROUNDS, tolerance: float = TOLERANCE, **params):
+    """Boosting that stops when the error on the ``valid`` rows no longer falls, then a refit on all rows at that number of rounds.
+
+    Returns the refitted model and its rounds.
+    """
+    marked = df.withColumn("_valid", valid)
+    first = make(features, label, maxIter=rounds, validationIndicatorCol="_valid", validationTol=tolerance, **params).fit(marked)
+    best = max(1, first.stages[-1].getNumTrees)
+    return make(features, label, maxIter=best, **params).fit(df), best
+
+
+def last_share(share: float = 0.2, keys: Sequence[str] = ("symbol",), pos: str = "pos") -> Column:
+    """The latest rows of every series, as validation rows; row positions come from the rows themselves."""
+    return c(pos) >= F.max(pos).over(Window.partitionBy(*keys)) * (1 - share)
 
 
 def score_direction(model, df: DataFrame) -> DataFrame:
@@ -67,13 +86,14 @@ def importance(model, features: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], label: str, make, task: str, folds: int = 5, split=expanding) -> DataFrame:
-    """One metric row per fold over time-ordered folds."""
+def cross_validate(df: DataFrame, features: Sequence[str], label: str, make, task: str, folds: int = 5, split=expanding, boost: Column | None = None) -> DataFrame:
+    """One metric row per fold over time-ordered folds; ``boost``: validation rows inside a fold's training rows, for early stopping."""
     rows = split(df, folds)
     out = None
     for i in range(folds):
         part = rows.filter(c("fold") == i)
-        model = make(features, label).fit(part.filter("role = 'train'"))
+        train = part.filter("role = 'train'")
+        model = fit_boosted(train, features, label, make, boost)[0] if boost is not None else make(features, label).fit(train)
         scored = part.filter("role = 'valid'")
         if task == "direction":
             m = stats.classification_metrics(score_direction(model, scored), label, ["P_down", "P_flat", "P_up"])
@@ -105,7 +125,7 @@ def search(df: DataFrame, features: Sequence[str], label: str, make, task: str,
 
 def fit_twice(df: DataFrame, features: Sequence[str], label: str, make, keys: Sequence[str]) -> DataFrame:
     """Two fits with one seed, compared row by row."""
-    a, b = (score_risk(make(features, label).fit(df), df) for _ in range(2))
+    a, b = (score_risk(fit_boosted(df, features, label, make, last_share())[0], df) for _ in range(2))
     return stats.compare_tables(a, b, keys, ["predicted_risk"])
 
 
@@ -124,7 +144,3 @@ def cross_symbol(df: DataFrame, features: Sequence[str], label: str, make, train
     """Train on one symbol, evaluate on every other."""
     model = make(features, label).fit(df.filter(c("symbol") == train_symbol))
     return stats.classification_metrics(score_direction(model, df.filter(c("symbol") != train_symbol)), label, ["P_down", "P_flat", "P_up"], ["symbol"])
-
-
-def rmse(df: DataFrame, label: str, prediction: str) -> float:
-    return RegressionEvaluator(labelCol=label, predictionCol=prediction, metricName="rmse").evaluate(df)

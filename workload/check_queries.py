@@ -342,27 +342,37 @@ def model_importance(spark, sf):
 
 @query("model_binary_next_bar")
 def model_binary(spark, sf):
+    """All features, early stopping on the last fifth of the training rows, refit, test metrics and rounds."""
     d = labels.next_bar(base(spark, sf), binary=True)
-    d = splits.hold_out(materialize(d.select("symbol", "ts", "pos", "n", "target", *MODEL_FEATS), "binary"), (0.85, 0.15))
-    m = ml.binary_model(MODEL_FEATS).fit(d.filter("part = 'train'"))
-    return stats.auc(ml.score_binary(m, d.filter("part = 'test'")), (), "P_up", c("target") == 1)
+    names = build.feature_columns(d, {"target"})
+    d = splits.hold_out(materialize(d.select("symbol", "ts", "pos", "n", "target", *names).dropna(), "binary"), (0.85, 0.15))
+    m, rounds = ml.fit_boosted(d.filter("part = 'train'"), names, "target", ml.binary_model, ml.last_share())
+    return stats.auc(ml.score_binary(m, d.filter("part = 'test'")), (), "P_up", c("target") == 1).withColumn("rounds", F.lit(rounds))
 
 
 @query("model_risk_regressor")
 def model_risk(spark, sf):
     df, names = build.risk_table(hourly(spark, sf))
     df = splits.hold_out(materialize(df, "risk"))
-    m = ml.risk_model(names).fit(df.filter("part = 'train'"))
-    return stats.regression_metrics(ml.score_risk(m, df.filter("part = 'test'")), "risk_score", "predicted_risk")
+    m, rounds = ml.fit_boosted(df.filter("part = 'train'"), names, "risk_score", ml.risk_model, ml.last_share())
+    return stats.regression_metrics(ml.score_risk(m, df.filter("part = 'test'")), "risk_score", "predicted_risk").withColumn("rounds", F.lit(rounds))
+
+
+@query("model_risk_cross_validation")
+def model_risk_cv(spark, sf):
+    """Early stopping inside every fold; mean and deviation of the fold metrics."""
+    df, names = build.risk_table(hourly(spark, sf))
+    return ml.fold_summary(ml.cross_validate(materialize(df, "risk"), names, "risk_score", ml.risk_model, "risk", folds=5, boost=ml.last_share()))
 
 
 @query("model_risk_event_classifier")
 def model_event(spark, sf):
-    d = stats.with_quantile(base(spark, sf), (), "return_1", 0.05, "p05")
+    d = stats.with_quantile(materialize(base(spark, sf), "base"), (), "return_1", 0.05, "p05")
     d = labels.tail_event(d, "return_1", c("p05")).withColumnRenamed("tail_event", "target")
-    d = splits.hold_out(materialize(d.select("symbol", "ts", "pos", "n", "target", *MODEL_FEATS[1:]), "events"), (0.6, 0.2, 0.2), ("train", "valid", "test"))
-    m = ml.binary_model(MODEL_FEATS[1:]).fit(d.filter("part = 'train'"))
-    return stats.auc(ml.score_binary(m, d.filter("part <> 'train'")), ["part"], "P_up", c("target") == 1)
+    names = [x for x in build.feature_columns(d, {"target", "p05"}) if x != "return_1"]
+    d = splits.hold_out(materialize(d.select("symbol", "ts", "pos", "n", "target", *names).dropna(), "events"), (0.6, 0.2, 0.2), ("train", "valid", "test"))
+    m, rounds = ml.fit_boosted(d.filter("part <> 'test'"), names, "target", ml.binary_model, c("part") == "valid")
+    return stats.auc(ml.score_binary(m, d.filter("part <> 'train'")), ["part"], "P_up", c("target") == 1).withColumn("rounds", F.lit(rounds))
 
 
 @query("model_search")
