@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.series import flag
 from ..operators import stats
 from ..operators.bars import WEEK_SHIFT, bar_columns, bin_label, width_of
+from ..session import ship
 from ..operators.drawdown import EMERGENCY, MODEL_LEVELS, RECOVERY, multiplier, risk_state
 
 c = F.col
@@ -40,6 +41,8 @@ def sliding_statistics(ticks: DataFrame, length: str = "20 minutes", slide: str
     return g.select("symbol", c("w.start").alias("ts"), "n", "mean", "std", "volume", "low")
 
 
+#: Rows that leave the controller at once.
+CHUNK = 10_000
 STATE = T.StructType([T.StructField("peak", T.DoubleType()), T.StructField("worst", T.DoubleType()), T.StructField("latched", T.BooleanType()), T.StructField("since", T.DoubleType())])
 OUTPUT = T.StructType([
     T.StructField("account", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("equity", T.DoubleType()),
@@ -59,18 +62,21 @@ class EquityController(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         peak, worst, latched, since = self.state.get() if self.state.exists() else (self.initial, 0.0, False, 0.0)
-        out = []
-        for ts, equity, reset in pd.concat(list(rows)).sort_values("ts")[["ts", "equity", "reset"]].itertuples(index=False):
-            if reset:
-                peak, worst, latched, since = equity, 0.0, False, 0.0
-            peak = max(peak, equity)
-            dd = (peak - equity) / peak if peak > 0 else 0.0
-            worst = max(worst, dd)
-            since = dd if dd < RECOVERY else max(since, dd)
-            latched = latched or dd >= EMERGENCY
-            out.append((key[0], ts, equity, peak, dd, worst, since, latched))
+        # three columns of one account's part of a micro-batch, which the source's trigger options bound
+        held = pd.concat([part[["ts", "equity", "reset"]] for part in rows]).sort_values("ts", kind="stable")
+        for lo in range(0, len(held), CHUNK):
+            out = []
+            for ts, equity, reset in held.iloc[lo:lo + CHUNK].itertuples(index=False):
+                if reset:
+                    peak, worst, latched, since = equity, 0.0, False, 0.0
+                peak = max(peak, equity)
+                dd = (peak - equity) / peak if peak > 0 else 0.0
+                worst = max(worst, dd)
+                since = dd if dd < RECOVERY else max(since, dd)
+                latched = latched or dd >= EMERGENCY
+                out.append((key[0], ts, equity, peak, dd, worst, since, latched))
+            yield pd.DataFrame(out, columns=OUTPUT.names)
         self.state.update((float(peak), float(worst), bool(latched), float(since)))
-        yield pd.DataFrame(out, columns=OUTPUT.names)
 
     def close(self) -> None:
         pass
@@ -81,6 +87,7 @@ def stream_equity_states(equity: DataFrame, initial: float = 10_000.0) -> DataFr
 
     The store provider must be RocksDB.
     """
+    ship(equity.sparkSession)
     df = equity.groupBy("account").transformWithStateInPandas(EquityController(initial), OUTPUT, "Append", "None")
     dd, worst = c("current_drawdown"), c("worst_since_recovery")
     models = {f"{m}_state": F.when(worst >= off, "disabled").when(worst >= low, "reduced").otherwise("enabled") for m, (low, off) in MODEL_LEVELS.items()}
@@ -97,7 +104,11 @@ class RecentPnl(StatefulProcessor):
         self.history = handle.getListState("pnl", T.StructType([T.StructField("pnl", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("ts")["pnl"].tolist()
+        held = None
+        for part in rows:  # no more than the last N of a batch are ever held
+            part = part[["ts", "pnl"]]
+            held = (part if held is None else pd.concat((held, part))).sort_values("ts", kind="stable").iloc[-self.keep:]
+        new = held["pnl"].tolist()
         old = [r[0] for r in self.history.get()] if self.history.exists() else []
         kept = (old + new)[-self.keep:]
         self.history.put([(float(x),) for x in kept])
@@ -116,9 +127,43 @@ PNL_OUTPUT = "model string, n long, win_rate double, avg_win double, avg_loss do
 
 
 def stream_pnl_statistics(pnl: DataFrame, keep: int = 252) -> DataFrame:
+    ship(pnl.sparkSession)
     return pnl.groupBy("model").transformWithStateInPandas(RecentPnl(keep), PNL_OUTPUT, "Update", "None")
 
 
+class RecentScores(StatefulProcessor):
+    """The last scores per model and, after every batch, the drift of the newest against those before them."""
+
+    def __init__(self, recent: int = 20, before: int = 30, limit: float = 0.9):
+        self.recent, self.keep, self.limit = recent, recent + before, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scores = handle.getListState("scores", T.StructType([T.StructField("at", T.LongType()), T.StructField("score", T.DoubleType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.scores.get()) if self.scores.exists() else [], columns=["at", "score"])
+        for part in rows:  # no more than the last ones are ever held
+            new = pd.DataFrame({"at": part["ts"].astype("datetime64[us]").astype("int64"), "score": part["risk_score"].astype(float)})
+            held = (pd.concat((held, new)) if len(held) else new).sort_values("at", kind="stable").iloc[-self.keep:]
+        self.scores.put([(int(a), float(x)) for a, x in held.itertuples(index=False)])
+        if len(held) >= self.keep:
+            old, new = held["score"].iloc[:-self.recent], held["score"].iloc[-self.recent:]
+            drift = abs(new.mean() - old.mean()) / (old.std(ddof=0) + 0.01)
+            yield pd.DataFrame([(key[0], len(held), float(drift), bool(drift > self.limit))], columns=["model", "n", "drift", "alert"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_degradation(scores: DataFrame) -> DataFrame:
+    """``degradation`` as a stream: model, n, drift and alert after every batch that brings a model scores.
+
+    The last fifty scores of a model are keyed state, so a batch costs its own rows and a lost batch loses no history.
+    """
+    ship(scores.sparkSession)
+    return scores.groupBy("model").transformWithStateInPandas(RecentScores(), "model string, n long, drift double, alert boolean", "Update", "None")
+
+
 def degradation(scores: DataFrame, value: str = "risk_score", order: str = "ts", keys=("model",)) -> DataFrame:
     """Drift of the last 20 scores against the 30 before them, per key; over .9 alerts."""
     t = stats.last_rows(scores, keys, [order], 50)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.quantiles import exact_quantiles
+from marketspark.functions.series import index_rows, time_bucket
 from marketspark.operators import ml, quality, splits, stats
 from marketspark.operators import bars as B
 from marketspark.operators.features import build, labels, technical
 from marketspark.session import materialize, shared_folder
 from marketspark.streaming import jobs
 from workload.feature_queries import BASE_STAGES
+from workload.risk_queries import STATES, TRADES, equity, trades
 from workload.registry import EVENT_TICKS, HOURLY, event_ticks, hourly, query, r, rounded, table
 from workload.sqltext import W, staged
 
@@ -301,8 +304,11 @@ def verdict(spark, sf):
     return stats.verdict(li.select("k", (c("k") % 2 == 1).alias("critical"), (c("d") < 0.0502).alias("passed"), "n_warnings", "n_errors"))
 
 
-@query("degradation_alert", f"""WITH k AS (SELECT event_type AS model, value / 500 AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS i FROM events), g AS (SELECT model, count(*) AS n, abs(avg(v) FILTER (WHERE i <= 20) - avg(v) FILTER (WHERE i > 20)) / (stddev_pop(v) FILTER (WHERE i > 20) + 0.01) AS d FROM k WHERE i <= 50 GROUP BY 1)
-  SELECT model, n, {r('d', 'drift')}, d > 0.9 AS alert FROM g WHERE n >= 50""")
+DRIFT = f"""WITH k AS (SELECT event_type AS model, value / 500 AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS i FROM events), g AS (SELECT model, count(*) AS n, abs(avg(v) FILTER (WHERE i <= 20) - avg(v) FILTER (WHERE i > 20)) / (stddev_pop(v) FILTER (WHERE i > 20) + 0.01) AS d FROM k WHERE i <= 50 GROUP BY 1)
+  SELECT model, n, {r('d', 'drift')}, d > 0.9 AS alert FROM g WHERE n >= 50"""
+
+
+@query("degradation_alert", DRIFT)
 def degradation(spark, sf):
     e = table(spark, sf, "events").select(c("event_type").alias("model"), "ts", (c("value") / 500).alias("risk_score"))
     return rounded(jobs.degradation(e))
@@ -477,3 +483,52 @@ def stream_history(spark, sf):
     return rounded(spark.read.schema("symbol string, ts timestamp, price double").json(out).select("symbol", "ts", "price"))
 
 
+
+
+def _in_order(spark, df, share: str, parts: int = 4):
+    """A stream of ``parts`` micro-batches over ``df``; ``share`` (0 to 1) tells the order of the rows."""
+    path = f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
+    df = materialize(df, "stream-source")
+    for i in range(parts):  # a later part is a later file
+        df.filter(F.least(F.floor(F.expr(share) * parts), F.lit(parts - 1)) == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _keyed(spark, run):
+    """Runs a stateful stream on the RocksDB store, which keeps state on disk."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before)
+
+
+@query("stream_equity_controller", f"""WITH {STATES} SELECT account, ts, {r('equity', 'equity')}, {r('peak_equity', 'peak_equity')}, {r('dd', 'current_drawdown')}, {r('max_drawdown', 'max_drawdown')}, emergency AS kill_switch,
+  risk_state, {r('risk_multiplier', 'risk_multiplier')}, scalp_state, intraday_state, swing_state FROM st""")
+def stream_equity(spark, sf):
+    s = _in_order(spark, equity(spark, sf).select("account", "ts", "equity", F.lit(False).alias("reset"), (c("pos") / c("n")).alias("share")), "share").drop("share")
+    return rounded(_keyed(spark, lambda: _drain(jobs.stream_equity_states(s))).drop("worst_since_recovery"))
+
+
+@query("stream_pnl_statistics", f"""WITH {TRADES}, d AS (SELECT model, l_shipdate AS ts, sum(pnl) AS x FROM trades GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts DESC) AS i FROM d),
+  l AS (SELECT model, x FROM k WHERE i <= 252), q AS (SELECT model, quantile_cont(-x, 0.95) AS v FROM l GROUP BY 1)
+  SELECT model, count(*) AS n, {r('avg(CASE WHEN x > 0 THEN 1 ELSE 0 END)', 'win_rate')}, {r('coalesce(avg(x) FILTER (x > 0), 0.01)', 'avg_win')}, {r('coalesce(-avg(x) FILTER (x < 0), 0.01)', 'avg_loss')},
+   {r('any_value(v)', 'var')}, {r('avg(-x) FILTER (-x >= v)', 'cvar')} FROM l JOIN q USING (model) GROUP BY 1""")
+def stream_pnl(spark, sf):
+    d = trades(spark, sf).groupBy("model", c("l_shipdate").alias("ts")).agg(F.sum("pnl").alias("pnl"))
+    d = index_rows(d, ["model"], ["ts"], time_bucket("ts", 90 * 86_400), total="n")
+    s = _in_order(spark, d.select("model", "ts", "pnl", (c("pos") / c("n")).alias("share")), "share").drop("share")
+    out = _keyed(spark, lambda: _drain(jobs.stream_pnl_statistics(s), "update"))
+    last = out.groupBy("model").agg(F.max_by(F.struct("n", "win_rate", "avg_win", "avg_loss", "var", "cvar"), "_batch").alias("l"))
+    return rounded(last.select("model", "l.*"))
+
+
+@query("stream_drift_alerts", DRIFT)
+def stream_drift(spark, sf):
+    """Drift of every model after the last of several batches, from keyed state."""
+    e = table(spark, sf, "events").select(c("event_type").alias("model"), "ts", (c("value") / 500).alias("risk_score"))
+    e = e.withColumn("share", F.percent_rank().over(Window.partitionBy("model").orderBy("ts")))
+    out = _keyed(spark, lambda: _drain(jobs.stream_degradation(_in_order(spark, e, "share").drop("share")), "update"))
+    return rounded(out.groupBy("model").agg(F.max_by(F.struct("n", "drift", "alert"), "_batch").alias("l")).select("model", "l.*"))
