@@ -48,14 +48,32 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], value: str, bucket_rows:
     parts = -(-largest // bucket_rows)
     if parts <= 1:
         return values.withColumn("b", F.lit(0))
+    return split_bucket(values, rows, keys, value, parts, "b")
+
+
+def split_bucket(df: DataFrame, sample: DataFrame, keys: Sequence[str], value: str, parts: int, name: str) -> DataFrame:
+    """Adds a bucket number that never decreases along ``value``: about equally many rows of ``sample`` lie in each of ``parts`` per key.
+
+    The limits come from a bounded sketch and are found by two short searches.
+    """
     marks = [i / parts for i in range(1, parts)]
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx(value, marks, max(SKETCH, 10 * parts)).alias("_splits"))
-    values = attach(values, sketch, keys)
+    sketch = sample.groupBy(*keys).agg(F.percentile_approx(value, marks, max(SKETCH, 10 * parts)).alias("_splits"))
+    df = attach(df, sketch, keys)
     width = int(len(marks) ** 0.5) + 1
     below = lambda a: F.size(F.filter(a, lambda s: s < F.col(value)))
     ends = F.transform(F.sequence(F.lit(1), F.lit(len(marks) // width)), lambda k: F.element_at("_splits", (k * width).cast("int"))) if len(marks) >= width else F.slice("_splits", 1, 0)
-    values = values.withColumn("_full", below(ends))
-    return values.withColumn("b", F.col("_full") * width + below(F.slice("_splits", F.col("_full") * width + 1, F.lit(width)))).drop("_splits", "_full")
+    df = df.withColumn("_full", below(ends))
+    return df.withColumn(name, F.col("_full") * width + below(F.slice("_splits", F.col("_full") * width + 1, F.lit(width)))).drop("_splits", "_full")
+
+
+def depth_bucket(df: DataFrame, keys: Sequence[str], ts: str, name: str, rows: int = BUCKET) -> DataFrame:
+    """Adds an equal-depth time bucket per key, so a key with very many rows in a short time is many buckets; rows of one time share one."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-largest // rows)
+    if parts <= 1:
+        return df.withColumn(name, F.lit(0))
+    df = df.withColumn("_at", F.unix_micros(ts))
+    return split_bucket(df, df, keys, "_at", parts, name).drop("_at")
 
 
 def _split(state: DataFrame, i: int, m: int) -> DataFrame:

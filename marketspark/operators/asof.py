@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import BUCKET, depth_bucket
 from ..functions.series import Pieces, index_rows, ratio, running, time_bucket
 
 
@@ -32,11 +33,11 @@ FAMILIES = {
 
 
 def asof(bars: DataFrame, series: Sequence[Facts], keys: Sequence[str] = ("symbol",), ts: str = "ts",
-         fill: bool = True, bucket_seconds: int = 30 * 86_400, tie: str | None = None) -> DataFrame:
+         fill: bool = True, bucket_rows: int = BUCKET, tie: str | None = None) -> DataFrame:
     """Latest fact at or before each bar, for any number of fact series in one pass.
 
-    Bars and facts are unioned and scanned in time buckets (two-level), so a hot symbol spreads
-    over its buckets.  The whole latest fact row is taken, a null value in it included; with
+    Bars and facts are unioned and scanned in time buckets of equal depth (two-level), so a symbol
+    with very many ticks, however short the time, spreads over its buckets.  The whole latest fact row is taken, a null value in it included; with
     ``fill`` a null is then carried forward over bars, and finally replaced by the default.
     ``tie`` orders facts of equal time.
     """
@@ -53,12 +54,14 @@ def asof(bars: DataFrame, series: Sequence[Facts], keys: Sequence[str] = ("symbo
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
+    rows = depth_bucket(rows, keys, ts, "_depth", bucket_rows)
     out = running(rows.withColumnsRenamed({n: f"{n}_in" for n in specs}), keys, [ts, "_side", "_tie"],
-                  time_bucket(ts, bucket_seconds), {n: (k, F.col(f"{n}_in")) for n, (k, _) in specs.items()})
-    out = out.filter(F.col("_side") == len(series)).select(*base, *[v.alias(c) for c, v in columns.items()])
+                  F.col("_depth"), {n: (k, F.col(f"{n}_in")) for n, (k, _) in specs.items()})
+    out = out.filter(F.col("_side") == len(series)).select(*base, "_depth", *[v.alias(c) for c, v in columns.items()])
     if fill:
-        out = running(out.withColumnsRenamed({c: f"_v_{c}" for c in columns}), keys, [ts], time_bucket(ts, bucket_seconds),
+        out = running(out.withColumnsRenamed({c: f"_v_{c}" for c in columns}), keys, [ts], F.col("_depth"),
                       {c: ("last", F.col(f"_v_{c}")) for c in columns}).drop(*[f"_v_{c}" for c in columns])
+    out = out.drop("_depth")
     defaults = {c: d for f in series for c, d in f.defaults.items() if d is not None}
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in defaults.items()}) if defaults else out
 
@@ -84,11 +87,11 @@ def with_derivatives(bars: DataFrame, families: Mapping[str, DataFrame], mode: s
 
 
 def exact_join_fill(bars: DataFrame, facts: DataFrame, columns: Sequence[str], default: float | None = None,
-                    keys: Sequence[str] = ("symbol",), bucket_seconds: int = 30 * 86_400) -> DataFrame:
+                    keys: Sequence[str] = ("symbol",), bucket_rows: int = BUCKET) -> DataFrame:
     """Left join on equal time, then carry the last value forward."""
     renamed = facts.select(*keys, "ts", *[F.col(c).alias(f"_v_{c}") for c in columns])
-    out = running(bars.join(renamed, [*keys, "ts"], "left"), keys, ["ts"], time_bucket("ts", bucket_seconds),
-                  {c: ("last", F.col(f"_v_{c}")) for c in columns}).drop(*[f"_v_{c}" for c in columns])
+    joined = depth_bucket(bars.join(renamed, [*keys, "ts"], "left"), keys, "ts", "_depth", bucket_rows)
+    out = running(joined, keys, ["ts"], F.col("_depth"), {c: ("last", F.col(f"_v_{c}")) for c in columns}).drop("_depth", *[f"_v_{c}" for c in columns])
     if default is None:
         return out
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in columns})

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.series import PIECE_ROWS, guarded, hashed_normal, hashed_uniform, running
+from ..session import ship
 
 c = F.col
 
@@ -45,8 +49,26 @@ TICKS = T.StructType([
 ])
 
 
+#: Bytes of a file that may hold its header.
+HEADER_BYTES = 1 << 16
+#: Schemes that tasks open themselves, by the name that their library has for them.
+SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def header_line(path: str) -> str:
+    """The first line of one file; a bounded beginning of it is read, from the task that asks."""
+    from pyarrow import fs
+
+    scheme, rest = re.match(r"(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(.*)", path, re.S).groups("")
+    if SCHEMES[scheme] == "file":
+        store, inside = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        store, inside = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+    with store.open_input_stream(inside) as f:
+        return (f.read(HEADER_BYTES).decode("utf-8", "replace").splitlines() or [""])[0]
+
+
 def _first_line(fs, path) -> str:
-    """The first line of one file; no more of it is read."""
     jvm = SparkSession.active()._jvm
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(path), "UTF-8"))
     try:
@@ -55,34 +77,60 @@ def _first_line(fs, path) -> str:
         reader.close()
 
 
-def header_groups(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
-    """Files that match a pattern, by their header. Like a listing, this reads metadata only: one line of each file.
+def headers_of(paths: DataFrame) -> DataFrame:
+    """(path, header) of the files of ``paths`` (column path): one line of each, read where the tasks run.
 
-    A folder with a matching name counts as a file that was written in parts.
+    Only files of a store that just the JVM can open are read through the driver.
     """
-    conf, root = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = root.getFileSystem(conf)
-    found = []
-    for status in fs.globStatus(root) or []:
-        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-        found += [x.getPath() for x in inside if not x.isDirectory() and x.getLen() > 0 and x.getPath().getName()[0] not in "._"]
-    with ThreadPoolExecutor(16) as pool:
-        lines = list(pool.map(lambda p: _first_line(fs, p), found))
+    spark = paths.sparkSession
+    ship(spark)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            with ThreadPoolExecutor(16) as pool:
+                yield pd.DataFrame({"path": p["path"], "header": list(pool.map(header_line, p["path"]))})
+
+    scheme = F.regexp_extract("path", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    far = [r["path"] for r in paths.filter(~scheme.isin(*SCHEMES)).collect()]
+    found = paths.filter(scheme.isin(*SCHEMES)).select("path").repartition(width).mapInPandas(read, "path string, header string")
+    if far:
+        conf, root = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        lines = [(p, _first_line(root(p).getFileSystem(conf), root(p))) for p in far]
+        found = found.unionByName(spark.createDataFrame(lines, "path string, header string"))
+    return found
+
+
+def listed(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path) of the files that match a pattern and hold something; a folder with a matching name is a file written in parts."""
+    return spark.read.format("binaryFile").load(pattern).filter("length > 0").select("path")
+
+
+def header_groups(paths: DataFrame) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header. The names come to the driver, as in any listing; their contents do not."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path, line in zip(found, lines):
-        names = tuple(x.strip().lstrip("\ufeff") for x in next(csv.reader([line]), []))
-        groups.setdefault(names, []).append(path.toString())
+    for r in headers_of(paths).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).toLocalIterator():
+        names = tuple(x.strip().lstrip("\ufeff") for x in next(csv.reader([r["header"]]), []))
+        groups.setdefault(names, []).extend(r["paths"])
     return groups
 
 
 def read_by_header(spark: SparkSession, pattern: str, kinds: Mapping[str, str]) -> DataFrame | None:
-    """``path`` and the columns of ``kinds`` by name, from files whose headers may differ; None if there is no file.
+    """``path`` and the columns of ``kinds`` by name, from files whose headers may differ; None if there is no file."""
+    try:
+        return read_groups(spark, header_groups(listed(spark, pattern)), kinds)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
-    Files with the same header are one CSV scan, so no row is ever joined to its header. Quoted, signed and space-led cells
+
+def read_groups(spark: SparkSession, groups: Mapping[tuple[str, ...], list[str]], kinds: Mapping[str, str]) -> DataFrame | None:
+    """Files with the same header are one CSV scan, so no row is ever joined to its header. Quoted, signed and space-led cells
     are the reader's business; a column that a file lacks, and a cell that is no number, are null.
     """
     parts = []
-    for names, paths in sorted(header_groups(spark, pattern).items()):
+    for names, paths in sorted(groups.items()):
         fields = [f"_{i}" for i in range(len(names))]
         rows = spark.read.schema(", ".join(f"{f} string" for f in fields)).csv(
             paths, header=True, enforceSchema=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
@@ -165,20 +213,43 @@ TICK_NAME = r"([^/_]+)_[^/]*\.csv(?:/[^/]*)?$"
 def scan_ticks(spark: SparkSession, path: str, streaming: bool = False, files_per_trigger: int | None = None) -> DataFrame:
     """Tick files of a pattern, columns bound by name; the symbol is the file name up to the first underscore.
 
-    A stream cannot look at files to come: it takes the columns in the order of ``TICKS`` and fails on a file whose header
-    has another.
+    A stream takes the columns in the order of ``TICKS`` and fails on a file whose header has another; ``land_ticks`` is the
+    form for headers that differ.
     """
     if streaming:
         reader = spark.readStream.schema(TICKS).options(header="true", enforceSchema="false", recursiveFileLookup="true")
         df = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).csv(path)
-        df = df.select(c("_metadata.file_path").alias("path"), *TICKS.names)
-    else:
-        df = read_by_header(spark, path, {f.name: f.dataType.simpleString() for f in TICKS})
-        if df is None:
-            df = spark.createDataFrame([], "path string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TICKS))
+        return _typed_ticks(df.select(c("_metadata.file_path").alias("path"), *TICKS.names))
+    df = read_by_header(spark, path, TICK_KINDS)
+    return _typed_ticks(spark.createDataFrame([], "path string, " + ", ".join(f"{n} {k}" for n, k in TICK_KINDS.items())) if df is None else df)
+
+
+TICK_KINDS = {f.name: f.dataType.simpleString() for f in TICKS}
+
+
+def _typed_ticks(df: DataFrame) -> DataFrame:
     return df.select(F.regexp_extract("path", TICK_NAME, 1).alias("symbol"), "id", "price", "qty", "base_qty", F.timestamp_millis("time").alias("ts"), "is_buyer_maker")
 
 
+def land_ticks(spark: SparkSession, path: str, landed: str, checkpoint: str, files_per_trigger: int = 10_000, trigger: dict | None = None):
+    """Streams arriving tick files of any header into the Parquet table ``landed``, which is a stream source in turn.
+
+    A batch is a set of new file names. Its headers are read by tasks, kept as a registry (header, files) beside the table,
+    and each header's files are one scan by name. A batch overwrites its own folders, so one that runs again changes nothing.
+    """
+    listing = "path string, modificationTime timestamp, length long, content binary"  # fixed columns of the format; only the first is read
+    names = spark.readStream.format("binaryFile").schema(listing).options(recursiveFileLookup="true", maxFilesPerTrigger=files_per_trigger).load(path).filter("length > 0").select("path")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        groups = header_groups(batch)  # no more files than one trigger takes
+        if groups:
+            known = batch.sparkSession.createDataFrame([(",".join(n), len(p)) for n, p in groups.items()], "header string, files long")
+            known.write.mode("overwrite").json(f"{landed}-headers/batch={batch_id}")
+            _typed_ticks(read_groups(batch.sparkSession, groups, TICK_KINDS)).write.mode("overwrite").parquet(f"{landed}/batch={batch_id}")
+
+    return names.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def first_by_id(ticks: DataFrame, keys: Sequence[str] = ("symbol", "id"), order: Sequence[str] = ("ts",)) -> DataFrame:
     """One row per trade id, the earliest; combines before the shuffle."""
     rest = [x for x in ticks.columns if x not in keys]

@@ -99,7 +99,7 @@ def test_asof_never_looks_ahead_and_equals_pandas(spark):
     left = pd.DataFrame({"symbol": rng.choice(["hot", "hot", "x"], 300), "ts": t0 + pd.to_timedelta(rng.choice(50_000, 300, replace=False), unit="min")})
     right = pd.DataFrame({"symbol": rng.choice(["hot", "x"], 200), "ts": t0 + pd.to_timedelta(rng.choice(50_000, 200, replace=False), unit="min"), "v": rng.normal(size=200)})
     right["fact_ts"] = right["ts"]
-    got = asof.asof(spark.createDataFrame(left), [asof.Facts(spark.createDataFrame(right), ["v", "fact_ts"])], fill=False, bucket_seconds=86_400).toPandas()
+    got = asof.asof(spark.createDataFrame(left), [asof.Facts(spark.createDataFrame(right), ["v", "fact_ts"])], fill=False, bucket_rows=50).toPandas()
     want = pd.merge_asof(left.sort_values("ts"), right.sort_values("ts"), on="ts", by="symbol")
     got, want = (x.sort_values(["symbol", "ts"]).reset_index(drop=True) for x in (got, want))
     np.testing.assert_allclose(got["v"].astype(float), want["v"], equal_nan=True)

@@ -79,3 +79,26 @@ def test_distinct_counts_and_auc(spark, bucket, monkeypatch):
     up, down = p.loc[p["y"], "s"].to_numpy(), p.loc[~p["y"], "s"].to_numpy()
     want = (np.sign(up[:, None] - down[None, :]) + 1).mean() / 2
     assert abs(got - want) < 1e-9
+
+
+@pytest.mark.parametrize("rows", [13, 200, 1 << 18])
+def test_asof_at_any_density(spark, rows):
+    """A symbol with nearly all ticks in one hour is many buckets, with the values of one scan."""
+    from marketspark.operators import asof
+
+    rng = np.random.default_rng(8)
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.concatenate((rng.integers(0, 3600, 900), rng.integers(0, 86_400 * 60, 100))), unit="s")
+    facts = pd.DataFrame({"symbol": np.where(np.arange(1000) % 10 == 0, "b", "hot"), "ts": at, "v": np.where(rng.random(1000) < 0.2, None, rng.normal(size=1000))}).drop_duplicates(["symbol", "ts"])
+    bars = pd.DataFrame({"symbol": np.repeat(["hot", "b", "none"], 200), "ts": np.tile(pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(200) * 29, unit="s"), 3)})
+    f = spark.createDataFrame(facts.astype({"v": object}), "symbol string, ts timestamp, v double")
+    for fill in (True, False):
+        got = asof.asof(spark.createDataFrame(bars), [asof.Facts(f, ["v"])], fill=fill, bucket_rows=rows).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+        facts["v"] = facts["v"].astype(float)
+        want = pd.merge_asof(bars.sort_values("ts"), facts.sort_values("ts"), on="ts", by="symbol").sort_values(["symbol", "ts"]).reset_index(drop=True)
+        if fill:
+            want["v"] = want.groupby("symbol")["v"].ffill()
+        assert list(got.columns) == ["symbol", "ts", "v"]
+        np.testing.assert_allclose(got["v"].astype(float), want["v"].astype(float))
+    if rows < 1000:
+        sizes = quantiles.depth_bucket(f, ["symbol"], "ts", "d", rows).groupBy("symbol", "d").count().toPandas()
+        assert sizes["count"].max() <= 4 * rows and sizes[sizes["symbol"] == "hot"]["d"].nunique() > 2

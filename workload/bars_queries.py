@@ -75,7 +75,7 @@ def facts(spark, sf):
 
 @query("asof_raw", ASOF + f" SELECT symbol, ts, {r('close', 'close')}, {r('fv', 'fv')}, {r('gv', 'gv')} FROM picked")
 def asof_raw(spark, sf):
-    out = asof.asof(hourly(spark, sf), [asof.Facts(facts(spark, sf), ["fv", "gv"])], fill=False, tie="event_id", bucket_seconds=86_400)
+    out = asof.asof(hourly(spark, sf), [asof.Facts(facts(spark, sf), ["fv", "gv"])], fill=False, tie="event_id", bucket_rows=1000)
     return rounded(out.select("symbol", "ts", "close", "fv", "gv"))
 
 
@@ -83,7 +83,7 @@ def asof_raw(spark, sf):
   round(coalesce(last_value(gv IGNORE NULLS) OVER ({W}), 1), 6) + 0.0 AS gv FROM picked""")
 def asof_filled(spark, sf):
     f = asof.Facts(facts(spark, sf), ["fv", "gv"], {"fv": 0.0, "gv": 1.0})
-    return rounded(asof.asof(hourly(spark, sf), [f], tie="event_id", bucket_seconds=86_400).select("symbol", "ts", "fv", "gv"))
+    return rounded(asof.asof(hourly(spark, sf), [f], tie="event_id", bucket_rows=1000).select("symbol", "ts", "fv", "gv"))
 
 
 def _family(spark, sf, minutes, **cols_):
@@ -329,14 +329,30 @@ def scan_one(spark, sf):
     return rounded(df.select("symbol", "ts", F.col("close").cast("double").alias("close"), "volume"), only=["volume"])
 
 
-@query("scan_ticks_by_name", f"SELECT event_type AS symbol, event_id AS id, {r('value', 'price')}, date_trunc('millisecond', ts) AS ts, user_id % 2 = 1 AS is_buyer_maker FROM events")
-def scan_ticks(spark, sf):
+TICK_ROWS = f"SELECT event_type AS symbol, event_id AS id, {r('value', 'price')}, date_trunc('millisecond', ts) AS ts, user_id % 2 = 1 AS is_buyer_maker FROM events"
+
+
+def _tick_csv(spark, sf):
+    """Tick files of two headers, one of them quoted, and a second file of each symbol that repeats some trades."""
     e = event_ticks(spark, sf).select("symbol", "id", "price", "qty", F.lit(None).cast("double").alias("base_qty"), F.unix_millis("ts").alias("time"), "is_buyer_maker")
     base = write_by_symbol(e, _new(spark, "ticks"), lambda x: f"{x}_trades.csv", [
         lambda d: (d.select(*reversed(d.columns)), {}), lambda d: (d, {"quoteAll": True})])
-    again = e.filter("id % 10 = 0").withColumn("time", F.col("time") + 5)  # a second file of each symbol that repeats some trades
+    again = e.filter("id % 10 = 0").withColumn("time", F.col("time") + 5)
     write_by_symbol(again, base, lambda x: f"{x}_more.csv", [])
-    return rounded(files.first_by_id(files.scan_ticks(spark, f"{base}/*.csv")).select("symbol", "id", "price", "ts", "is_buyer_maker"))
+    return base
+
+
+@query("scan_ticks_by_name", TICK_ROWS)
+def scan_ticks(spark, sf):
+    return rounded(files.first_by_id(files.scan_ticks(spark, f"{_tick_csv(spark, sf)}/*.csv")).select("symbol", "id", "price", "ts", "is_buyer_maker"))
+
+
+@query("stream_ticks_any_header", TICK_ROWS)
+def stream_ticks(spark, sf):
+    """The same files as a stream of arriving files, a few to a batch."""
+    landed = _new(spark, "landed")
+    files.land_ticks(spark, f"{_tick_csv(spark, sf)}/*.csv", landed, landed + "-checkpoint", files_per_trigger=3).awaitTermination()
+    return rounded(files.first_by_id(spark.read.parquet(landed).drop("batch")).select("symbol", "id", "price", "ts", "is_buyer_maker"))
 
 
 @query("parse_raw_klines", "WITH " + HOURLY + f""" SELECT symbol, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')}, CAST(trades_count AS BIGINT) AS trades FROM bars WHERE pos % 50 <> 7""")
