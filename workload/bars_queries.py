@@ -406,3 +406,24 @@ def snapshot_latest(spark, sf):
     files.write_snapshot(b.withColumn("close", F.col("close") + 1), path, "20240102")
     return rounded(files.read_snapshot(spark, path).select("symbol", "ts", "close"))
 
+
+
+@query("bars_csv_round_trip", f"WITH {HOURLY} SELECT symbol, '1h' AS timeframe, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')}, CAST(trades_count AS BIGINT) AS trades_count FROM bars")
+def csv_round_trip(spark, sf):
+    """The CSV form of the bar sink, read back by its header with types."""
+    path = _new(spark, "bars-csv")
+    files.write_bars(hourly(spark, sf).withColumn("timeframe", F.lit("1h")).drop("pos", "n"), path, "csv")
+    kinds = {"ts": "timestamp", **dict.fromkeys(("open", "high", "low", "close", "volume"), "double"), "trades_count": "long"}
+    back = files.read_by_header(spark, f"{path}/timeframe=*/symbol=*", kinds)
+    part = lambda n: F.regexp_extract("path", f"/{n}=([^/]+)/", 1).alias(n)
+    return rounded(back.select(part("symbol"), part("timeframe"), *kinds))
+
+
+@query("prediction_log_rounding", f"SELECT o_orderkey, o_orderstatus, {r('o_totalprice / 7', 'price', 4)}, {r('o_totalprice / 1e6', 'share', 4)} FROM orders")
+def log_rounding(spark, sf):
+    """Log rows in JSON, two batches, read back: every double has four digits."""
+    path = _new(spark, "log")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") / 7).alias("price"), (F.col("o_totalprice") / 1e6).alias("share"))
+    files.append_log(o.filter("o_orderkey % 2 = 0"), path)
+    files.append_log(o.filter("o_orderkey % 2 <> 0"), path)
+    return spark.read.schema("o_orderkey long, o_orderstatus string, price double, share double").json(path)
