@@ -120,7 +120,7 @@ def repeated_seeds(df: DataFrame, text_col: str, seeds_of: Callable[[np.ndarray,
             data, at = text_bytes(b.column(0))
             for lo, hi in blocks(at, 4 * BLOCK):
                 got = []
-                for i, j in blocks(at[lo:hi + 1] - at[lo], BLOCK):
+                for i, j in blocks(at[lo:hi + 1] - at[lo], BLOCK // 2):
                     i, j = i + lo, j + lo
                     got.append(seeds_of(data[at[i]:at[j]], at[i:j + 1] - at[i]))
                 found, times = np.unique(np.concatenate(got), return_counts=True)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minimisers import BLOCK, HOT, SENT, Prefix, bucket_of, buckets, dealt, finish, in_bitmap, minimiser_runs, seed_bitmaps
+from .minimisers import BLOCK, SENT, Prefix, bucket_of, buckets, dealt, finish, in_bitmap, minimiser_runs, seed_bitmaps
 from .tables import stored
 from .strings import span_keys
 from .textblocks import U, binary, blocks, lists, spread, text_bytes, windows, words
@@ -27,6 +27,8 @@ from .textblocks import U, binary, blocks, lists, spread, text_bytes, windows, w
 WINDOW = 13
 SEED = 5
 NONE = -(1 << 63)
+#: Bytes of the strings around one seed from which on it is hot, words taken for eight bytes: what a bucket holds in one task.
+HOT_BYTES = 24 << 20
 #: Windows of a bucket that are sorted together.
 SORTED = 1 << 18
 
@@ -65,8 +67,9 @@ def _merged(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, n: np.ndarray)
     return [pa.array(doc[at]), pa.array(uid[at]), pa.array(start[at]), pa.array(total)]
 
 
-def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int, hot: int = HOT) -> DataFrame:
+def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int, hot: int | None = None) -> DataFrame:
     """(id, uid, start, n): runs of windows whose words also start in a document with a smaller id."""
+    hot = HOT_BYTES // (8 * (2 * window - seed)) if hot is None else hot
     twice, often, again = seed_bitmaps(df, text_col, lambda data, at: _strings(data, at, window, seed), window, hot)
     parts = buckets(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -76,7 +79,7 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
         for b in batches:
             ids, uids = (b.column(i).to_numpy() for i in (0, 1))
             data_all, at_all = text_bytes(b.column(2))
-            for lo, hi in blocks(at_all, BLOCK):
+            for lo, hi in blocks(at_all, BLOCK // 2):
                 data, at = data_all[at_all[lo]:at_all[hi]], at_all[lo:hi + 1] - at_all[lo]
                 start, end, row, prefix, first, count, seed_hash = _strings(data, at, window, seed)
                 go = np.flatnonzero(in_bitmap(twice.value, seed_hash))
@@ -177,13 +180,13 @@ def covered(rows: int, base: np.ndarray, spans: pa.Array, width: int, total: int
     return np.cumsum(step[:-1]) > 0
 
 
-def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, hot: int = HOT) -> DataFrame:
+def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, hot: int | None = None) -> DataFrame:
     """id, n_words, n_removed, kept_text (the kept words joined by one space) of each row of ``df``."""
     ranges = stored(removed_windows(df, id_col, text_col, window, seed, hot).select(F.when(F.col("id") != NONE, F.col("id")).alias("id"), "uid", "start", "n"), "removed-windows")
 
     def work(ids, texts, spans) -> Iterator[pa.RecordBatch]:
         data_all, at_all = text_bytes(texts)
-        for lo, hi in blocks(at_all):
+        for lo, hi in blocks(at_all, BLOCK // 2):
             data, at = data_all[at_all[lo]:at_all[hi]], at_all[lo:hi + 1] - at_all[lo]
             start, end, row = words(data, at)
             rows = hi - lo
