@@ -77,12 +77,13 @@ def sparse_bars(ticks: DataFrame, timeframe: str) -> DataFrame:
         "buy_volume", "sell_volume", "trades_count")
 
 
-def resample(ticks: DataFrame, timeframe: str, rows: int = PIECE_ROWS) -> DataFrame:
+def resample(ticks: DataFrame, timeframe: str, rows: int = PIECE_ROWS, last: int | None = None) -> DataFrame:
     """Dense bars ``(symbol, ts, pos, n, open..trades_count)``: every bin from first to last.
 
     Empty bins repeat the previous bar's prices with zero volume.  Each bar emits its own
     following empty bins, so no series is ever gathered: the only per-symbol window runs
-    over one row per ``rows`` bins.
+    over one row per ``rows`` bins.  ``last`` emits only the last so many bins of each symbol, with
+    the same values.
     """
     w = width_of(timeframe)
     b = _binned(ticks, timeframe, rows)
@@ -97,7 +98,11 @@ def resample(ticks: DataFrame, timeframe: str, rows: int = PIECE_ROWS) -> DataFr
     bars = bars.join(edges, ["symbol", "_part"]).withColumn(
         "_next", F.coalesce(F.lead("_bin").over(inside), "_after", F.col("_bin") + w)
     )
-    bars = bars.withColumn("_at", F.explode(F.sequence(F.col("_bin"), F.col("_next") - w, F.lit(w).cast("long"))))
+    start = F.col("_bin")
+    if last is not None:
+        start = F.greatest(start, F.col("_end") - (last - 1) * w)
+        bars = bars.filter(F.col("_next") > start)
+    bars = bars.withColumn("_at", F.explode(F.sequence(start, F.col("_next") - w, F.lit(w).cast("long"))))
     real = F.col("_at") == F.col("_bin")
     return bars.select(
         "symbol",

@@ -13,9 +13,14 @@ from ..session import materialize
 c = F.col
 
 
+def tail(bars: DataFrame, rows: int) -> DataFrame:
+    """The last ``rows`` bars of each symbol, where the bars tell how many there are."""
+    return bars.filter(c("pos") >= c("n") - rows) if "n" in bars.columns else bars
+
+
 def latest_market(bars: DataFrame, rows: int | None = None) -> DataFrame:
     """Latest row per symbol with close, 20-bar and 100-bar volatility of returns."""
-    s = Pieces(bars, halo=128, rows=rows)
+    s = Pieces(tail(bars, 101), halo=128, rows=rows)
     s.stage(_ret=s.pct("close"))
     s.stage(volatility=s.vol("_ret", 20), avg_volatility=s.vol("_ret", 100))
     out = s.close().groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "volatility", "avg_volatility"), "pos").alias("r"))
@@ -27,7 +32,7 @@ def momentum_outputs(bars: DataFrame, rows: int | None = None) -> dict[str, Data
 
     Trained models from ``operators.ml`` take the same place.
     """
-    s = Pieces(bars, halo=256, rows=rows)
+    s = Pieces(tail(bars, 51), halo=256, rows=rows)
     s.stage(_ret=s.pct("close"))
     s.stage(_sd=s.vol("_ret", 50), **{f"_m{k}": s.pct("close", k) for k in (3, 10, 50)})
     s.stage(**{f"z{k}": F.try_divide(c(f"_m{k}"), c("_sd")) for k in (3, 10, 50)})

@@ -189,7 +189,7 @@ def score_gate(spark, sf):
 
 @query("trade_signals_flagship")
 def flagship(spark, sf):
-    b = materialize(daily(spark, sf).select("symbol", "ts", "pos", "close"), "bars")
+    b = materialize(daily(spark, sf, last=101).select("symbol", "ts", "pos", "n", "close"), "bars")  # the longest look back
     return plan.trade_signals(b, plan.momentum_outputs(b)).select(
         "symbol", "direction", "rank", F.round("final_score", 6).alias("final_score"), "timeframe_used", F.round("price", 4).alias("price"), "entry_range", F.round("stop_loss", 4).alias("stop_loss"),
         F.round("take_profit_1", 4).alias("take_profit_1"), F.round("take_profit_2", 4).alias("take_profit_2"), "leverage", F.round("risk_percent", 6).alias("risk_percent"), F.round("position_size_pct", 6).alias("position_size_pct"))

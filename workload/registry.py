@@ -61,8 +61,8 @@ def hourly(spark, sf):
     return B.resample(event_ticks(spark, sf), "1h")
 
 
-def daily(spark, sf):
-    return B.resample(trade_ticks(spark, sf), "1d")
+def daily(spark, sf, last=None):
+    return B.resample(trade_ticks(spark, sf), "1d", last=last)
 
 
 # ---------------------------------------------------------------- comparison SQL pieces
