@@ -239,3 +239,42 @@ def test_csv_by_header_keeps_every_row(spark, tmp_path):
                     ("BUSDT", "1h", 5): (None, None, None), ("BUSDT", "5m", 6): (1, None, None)}
     assert files.scan_klines(spark, str(tmp_path), "BUSDT", "5m").count() == 1
     assert files.scan_family(spark, str(tmp_path), "funding_rate").count() == 0
+
+
+def test_last_bins_equal_those_of_the_whole_series(spark):
+    rng = np.random.default_rng(8)
+    n = 120
+    t = spark.createDataFrame(pd.DataFrame({
+        "symbol": rng.choice(["hot", "x", "y"], n, p=[.9, .05, .05]), "ts": pd.Timestamp("2024-01-03 05:00") + pd.to_timedelta(np.sort(rng.choice(900_000, n, replace=False)), unit="s"),
+        "price": rng.uniform(1, 2, n), "qty": rng.uniform(0, 1, n), "is_buyer_maker": rng.random(n) < .5, "id": np.arange(n)}))
+    whole = bars.resample(t, "1h", rows=16)
+    order = ["symbol", "ts"]
+    for last in (1, 25, 10_000):
+        got = bars.resample(t, "1h", rows=16, last=last).toPandas().sort_values(order, ignore_index=True)
+        want = whole.filter(c("pos") >= c("n") - last).toPandas().sort_values(order, ignore_index=True)
+        pd.testing.assert_frame_equal(got, want)
+
+
+def test_last_returns_sort_no_series(spark):
+    b = spark.range(200).select(F.concat(F.lit("s"), (c("id") % 3).cast("string")).alias("symbol"), F.timestamp_seconds(c("id") * 60).alias("ts"), F.floor(c("id") / 3).alias("pos"),
+                                F.when(c("id") % 3 < 2, 67).otherwise(66).alias("n"), (c("id") * 37 % 101 + 1.0).alias("close"))
+    new, old = asof.last_returns(b), asof.last_returns(b.drop("n"))
+    assert "Window" not in new._jdf.queryExecution().toString() and "Window" in old._jdf.queryExecution().toString()
+    assert {r["symbol"]: list(r["r"]) for r in new.collect()} == {r["symbol"]: list(r["r"]) for r in old.collect()}
+
+
+@pytest.mark.parametrize("block", [3, 4_096])
+def test_pair_products_equal_numpy(spark, block):
+    rng = np.random.default_rng(5)
+    names = [f"s{i}" for i in rng.permutation(23)]
+    r = rng.normal(0, .01, (23, 24))
+    r[4], r[9], r[11] = 0.0, r[2], -r[3]  # a constant series, a copy, a mirror image
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in zip(names, r)], "symbol string, r array<double>")
+    with np.errstate(invalid="ignore"):
+        m = np.nan_to_num(np.corrcoef(r))
+    want = {(a, b): m[i, j] for i, a in enumerate(names) for j, b in enumerate(names) if a < b}
+    for above in (None, 0.3):
+        rows_ = asof.pair_correlations(df, above, block).collect()
+        got = {(x["symbol_1"], x["symbol_2"]): x["corr"] for x in rows_}
+        keep = {k: v for k, v in want.items() if above is None or abs(v) > above}
+        assert len(rows_) == len(got) and got.keys() == keep.keys() and all(abs(got[k] - v) < 1e-12 for k, v in keep.items())

@@ -320,4 +320,4 @@ def bt_equity(spark, sf):
 @query("pairs_above_limit", f"""WITH {DAILY}, ret AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars)
   SELECT a.symbol AS symbol_1, b.symbol AS symbol_2, round(corr(a.x, b.x), 6) + 0.0 AS corr FROM ret a JOIN ret b ON a.k = b.k AND a.symbol < b.symbol AND a.k <= 24 GROUP BY 1, 2 HAVING abs(coalesce(corr(a.x, b.x), 0)) > 0.7""")
 def pairs_above(spark, sf):
-    return rounded(asof.pair_correlations(asof.last_returns(daily(spark, sf))).filter(F.abs("corr") > 0.7))
+    return rounded(asof.pair_correlations(asof.last_returns(daily(spark, sf, last=25)), above=0.7))
