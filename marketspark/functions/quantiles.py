@@ -165,7 +165,8 @@ def wide_values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], r
             a, z = value(i, 2 * j, F.floor(x)), value(i, 2 * j + 1, F.ceil(x))
             q.append(a + (z - a) * (x - F.floor(x)))
         out += [F.col(f"_n{i}"), F.when(F.col(f"_n{i}") > 0, F.array(*q)).alias(f"_q{i}")]
-    return found.select(*keys, *out)
+    # written, so that Spark knows how few rows these are and the rows they are joined to need not meet by group
+    return materialize(found.select(*keys, *out), "rank-values")
 
 
 def values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ranks: Callable[[Column], list[Column]], bound: int = BOUND) -> DataFrame:

@@ -43,6 +43,8 @@ def sliding_statistics(ticks: DataFrame, length: str = "20 minutes", slide: str
 
 #: Rows that leave the controller at once.
 CHUNK = 10_000
+#: Stands for NaN inside the controller and in its rows, since pandas cannot tell NaN from null.
+INFINITE = float("inf")
 STATE = T.StructType([T.StructField("peak", T.DoubleType()), T.StructField("worst", T.DoubleType()), T.StructField("latched", T.BooleanType()), T.StructField("since", T.DoubleType())])
 OUTPUT = T.StructType([
     T.StructField("account", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("equity", T.DoubleType()),
@@ -71,6 +73,8 @@ class EquityController(StatefulProcessor):
                     peak, worst, latched, since = equity, 0.0, False, 0.0
                 peak = max(peak, equity)
                 dd = (peak - equity) / peak if peak > 0 else 0.0
+                if dd != dd:  # infinite equity: SQL orders NaN above every number, and so does infinity here
+                    dd = INFINITE
                 worst = max(worst, dd)
                 since = dd if dd < RECOVERY else max(since, dd)
                 latched = latched or dd >= EMERGENCY
@@ -89,6 +93,7 @@ def stream_equity_states(equity: DataFrame, initial: float = 10_000.0) -> DataFr
     """
     ship(equity.sparkSession)
     df = equity.groupBy("account").transformWithStateInPandas(EquityController(initial), OUTPUT, "Append", "None")
+    df = df.withColumns({n: F.when(c(n) == INFINITE, F.lit(float("nan"))).otherwise(c(n)) for n in ("current_drawdown", "max_drawdown", "worst_since_recovery")})
     dd, worst = c("current_drawdown"), c("worst_since_recovery")
     models = {f"{m}_state": F.when(worst >= off, "disabled").when(worst >= low, "reduced").otherwise("enabled") for m, (low, off) in MODEL_LEVELS.items()}
     return df.withColumns({"risk_state": risk_state(dd), "risk_multiplier": multiplier(dd), **models})

@@ -40,6 +40,19 @@ def test_equity_controller_equals_batch(spark, tmp_path):
         assert list(got[f"{m}_state"]) == list(want[f"{m}_state"])
 
 
+def test_equity_controller_orders_nan_as_sql(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    pdf = equity_frame(60)
+    pdf.loc[40:44, "equity"] = float("inf")  # the drawdown is NaN from here on, which SQL orders above every number
+    stream = jobs.stream_equity_states(source(spark, pdf[["account", "ts", "equity"]].assign(reset=False), str(tmp_path)))
+    got = drain(stream, str(tmp_path)).orderBy("ts").collect()
+    nan = float("nan")
+    for r in got[40:]:
+        assert repr((r["current_drawdown"], r["max_drawdown"], r["worst_since_recovery"])) == repr((nan, nan, nan)) and r["kill_switch"]
+        assert {r[f"{m}_state"] for m in drawdown.MODEL_LEVELS} == {"disabled"} and r["peak_equity"] == float("inf")
+    assert all(r["current_drawdown"] == r["current_drawdown"] for r in got[:40])
+
+
 def test_recent_pnl_equals_batch(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     pdf = equity_frame(400)[["ts"]].assign(model="m", pnl=lambda d: pd.Series(range(400)).mod(7) - 3.0)
