@@ -102,3 +102,13 @@ def test_asof_at_any_density(spark, rows):
     if rows < 1000:
         sizes = quantiles.depth_bucket(f, ["symbol"], "ts", "d", rows).groupBy("symbol", "d").count().toPandas()
         assert sizes["count"].max() <= 4 * rows and sizes[sizes["symbol"] == "hot"]["d"].nunique() > 2
+
+
+def test_rows_do_not_meet_by_group(spark):
+    """A few large groups: the quantile comes to the rows, which stay where they are."""
+    df = spark.range(0, 140_000, 1, 8).select((F.col("id") % 2).alias("k"), (F.floor(F.col("id") / 2) * 7919 % 70_001).cast("double").alias("v"))
+    plan = stats.with_quantile(df, ["k"], "v", 0.05, "q")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = stats.return_tail(df, ["k"], "v").first()  # both groups hold the same values
+    v = np.arange(70_000, dtype=np.int64) * 7919 % 70_001
+    assert got["n"] == 70_000 and abs(got["var"] - np.quantile(v, 0.05)) < 1e-6 and got["n_tail"] == (v <= np.quantile(v, 0.05)).sum()
