@@ -94,6 +94,12 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         F.try_element_at(F.col("visits"), F.lit(1))["at"].alias("position"), "visits")
 
 
+def by_due_time(planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``plan`` range-sorted by the due time of their first visit; those never taken come last."""
+    order = [F.col("position").asc_nulls_last(), F.col(id_col).asc_nulls_last()]
+    return planned.repartitionByRange(shuffle_width(planned.sparkSession), *order).sortWithinPartitions(*order)
+
+
 def training_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **schedule) -> DataFrame:
     """The mix itself: a row of ``df`` for every visit, range-sorted by due time. The one visit of a source that stops
     inside a document has its text cut after the words taken (joined by single spaces) and ``n_chars``, where there is

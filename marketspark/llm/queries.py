@@ -60,7 +60,7 @@ SELECT doc_id, size, source_size, target, CAST(list_sum(list_transform(range(0,
          lambda v: greatest(0, least(size, q - v * source_size - b)))) AS BIGINT) AS taken
 FROM p""")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum.by_due_time(curriculum.plan(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op10_hilbert_shards")

@@ -472,3 +472,13 @@ def test_queries_equal_sql(spark):
     for name, sql in queries.ORACLE.items():
         assert compare(queries.QUERIES[name](spark, SF), con, sql) == [], name
     assert duckdb and SCHEMA
+
+
+def test_mix_query_is_range_sorted_by_due_time(spark):
+    """The query's rows come in the order of the inverted schedules, documents that are never taken last."""
+    from marketspark.llm import queries
+
+    got = [r["doc_id"] for r in queries.QUERIES["op7_mix_sources"](spark, "/root/testdata/sf0.001").collect()]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = {r["doc_id"]: r["position"] for r in curriculum.plan(docs).select("doc_id", "position").collect()}
+    assert got == sorted(plan, key=lambda i: (plan[i] is None, plan[i] or 0.0, i)) and len(got) == docs.count()
