@@ -29,6 +29,8 @@ SEED = 5
 NONE = -(1 << 63)
 #: Bytes of the strings around one seed from which on it is hot, words taken for eight bytes: what a bucket holds in one task.
 HOT_BYTES = 24 << 20
+#: Bytes of strings of a task's blocks that leave it together, one row a bucket, and of one batch of these rows.
+PACKED, PARCEL = 16 << 20, 2 << 20
 #: Windows of a bucket that are sorted together.
 SORTED = 1 << 18
 
@@ -67,15 +69,31 @@ def _merged(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, n: np.ndarray)
     return [pa.array(doc[at]), pa.array(uid[at]), pa.array(start[at]), pa.array(total)]
 
 
-def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int, hot: int | None = None) -> DataFrame:
-    """(id, uid, start, n): runs of windows whose words also start in a document with a smaller id."""
+def packed_strings(df: DataFrame, id_col: str, text_col: str, window: int, seed: int, hot: int | None = None) -> DataFrame:
+    """(part, id, uid, start, n, held): strings of the windows that may repeat, one row for a bucket and what a task holds at a time. Rows
+    without strings are ranges that are settled already."""
     hot = HOT_BYTES // (8 * (2 * window - seed)) if hot is None else hot
     twice, often, again = seed_bitmaps(df, text_col, lambda data, at: _strings(data, at, window, seed), window, hot)
     parts = buckets(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("id"), F.xxhash64(text).alias("uid"), text.alias("text"))
 
+    def parcels(kept: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """The strings of many blocks, one row a bucket."""
+        part, *values, size, held = (np.concatenate(x) for x in zip(*kept))
+        kept.clear()
+        order = np.argsort(part, kind="stable")
+        at = np.cumsum(size) - size
+        for i, j in blocks(np.append(0, np.cumsum(size[order])), PARCEL):
+            some = order[i:j]
+            here, k = np.unique(part[some], return_counts=True)
+            cut = np.append(0, np.cumsum(k))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(here, pa.int32()), *(lists(np.ascontiguousarray(v[some]), cut) for v in values), binary(held[spread(at[some], size[some])], np.append(0, np.cumsum(size[some]))[cut])],
+                ["part", "id", "uid", "start", "n", "held"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, weight = [], 0
         for b in batches:
             ids, uids = (b.column(i).to_numpy() for i in (0, 1))
             data_all, at_all = text_bytes(b.column(2))
@@ -99,27 +117,29 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
                     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket_of(seed_hash[:1], parts), pa.int32()), *map(one, merged), pa.array([None], pa.binary())], ["part", "id", "uid", "start", "n", "held"])
                 send = np.flatnonzero(~copy)
-                part = bucket_of(seed_hash[send], parts)
-                everything = send[np.argsort(part, kind="stable")]
-                parts_of = np.sort(part, kind="stable")
-                far = end[first[everything] + count[everything] + window - 2] - start[first[everything]] + 1
-                for i, j in blocks(np.append(0, np.cumsum(far)), SENT):
-                    send, part = everything[i:j], parts_of[i:j]
-                    # the strings, words joined by one space and strings ended by a line feed
-                    length = count[send] + window - 1
-                    word = spread(first[send], length)
+                # the strings, words joined by one space and strings ended by a line feed
+                for i, j in blocks(np.append(0, np.cumsum(end[first[send] + count[send] + window - 2] - start[first[send]] + 1)), SENT // 2):
+                    some = send[i:j]
+                    length = count[some] + window - 1
+                    word = spread(first[some], length)
                     size = end[word] - start[word] + 1
                     held = data[np.minimum(spread(start[word], size), len(data) - 1)].copy()
-                    ends = np.cumsum(size)
+                    ends, stops = np.cumsum(size), np.cumsum(length)
                     held[ends - 1] = 32
-                    stops = np.cumsum(length)
                     held[ends[stops - 1] - 1] = 10
-                    parts_here, k = np.unique(part, return_counts=True)
-                    cut = np.concatenate(([0], np.cumsum(k)))
-                    byte_cut = np.concatenate(([0], ends[stops[cut[1:] - 1] - 1]))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(parts_here, pa.int32()), *(lists(np.ascontiguousarray(v[send]), cut) for v in (doc, uid, begin, count)), binary(held, byte_cut)],
-                        ["part", "id", "uid", "start", "n", "held"])
+                    kept.append((bucket_of(seed_hash[some], parts).astype(np.int32), doc[some], uid[some], begin[some], count[some], np.diff(np.append(0, ends[stops - 1])), held))
+                    weight += len(held)
+                    if weight >= PACKED:
+                        yield from parcels(kept)
+                        kept, weight = [], 0
+        if kept:
+            yield from parcels(kept)
+
+    return docs.mapInArrow(pack, "part int, id array<long>, uid array<long>, start array<long>, n array<long>, held binary")
+
+
+def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed: int, hot: int | None = None) -> DataFrame:
+    """(id, uid, start, n): runs of windows whose words also start in a document with a smaller id."""
 
     def judge(ids, uids, starts, texts) -> Iterator[pa.RecordBatch]:
         doc, uid, begin = (np.concatenate(x) for x in (ids, uids, starts))
@@ -164,7 +184,7 @@ def removed_windows(df: DataFrame, id_col: str, text_col: str, window: int, seed
         if ids:
             yield from judge(ids, uids, starts, texts)
 
-    sent = docs.mapInArrow(pack, "part int, id array<long>, uid array<long>, start array<long>, n array<long>, held binary")
+    sent = packed_strings(df, id_col, text_col, window, seed, hot)
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(settle, "id long, uid long, start long, n long")
 
 

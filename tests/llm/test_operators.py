@@ -68,6 +68,15 @@ def test_super_kmers(table):
     assert got(substrings.strip(df), "doc_id", "n_words", "n_removed", "kept_text") == sorted(want, key=str)
 
 
+def test_strings_of_many_blocks_share_a_row(spark):
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(90_000))  # a block of its own
+    df = frame(spark, rows_of([text] * 6)).coalesce(1)
+    sent = substrings.packed_strings(df, "doc_id", "text", 13, 5).filter("held IS NOT NULL")
+    assert sent.count() <= minimisers.buckets(spark) + 16
+    out = substrings.strip(df)
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out.collect()) == [(0, 0)] + [(i, 90_000) for i in range(1, 6)]
+
+
 def brute_bytes(rows, length=100):
     first, want = {}, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
