@@ -57,7 +57,8 @@ def split_bucket(df: DataFrame, sample: DataFrame, keys: Sequence[str], value: s
     The limits come from a bounded sketch and are found by two short searches.
     """
     marks = [i / parts for i in range(1, parts)]
-    sketch = sample.groupBy(*keys).agg(F.percentile_approx(value, marks, max(SKETCH, 10 * parts)).alias("_splits"))
+    # written, so that Spark knows how few rows these are and the rows they are joined to need not meet by group
+    sketch = materialize(sample.groupBy(*keys).agg(F.percentile_approx(value, marks, max(SKETCH, 10 * parts)).alias("_splits")), "split-points")
     df = attach(df, sketch, keys)
     width = int(len(marks) ** 0.5) + 1
     below = lambda a: F.size(F.filter(a, lambda s: s < F.col(value)))

@@ -112,3 +112,33 @@ def test_rows_do_not_meet_by_group(spark):
     got = stats.return_tail(df, ["k"], "v").first()  # both groups hold the same values
     v = np.arange(70_000, dtype=np.int64) * 7919 % 70_001
     assert got["n"] == 70_000 and abs(got["var"] - np.quantile(v, 0.05)) < 1e-6 and got["n_tail"] == (v <= np.quantile(v, 0.05)).sum()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_do_not_meet_by_key_for_their_split_points(spark):
+    """A few keys with very many rows each: no task may get all rows of one."""
+    df = spark.range(300_000).select((F.col("id") % 3).alias("k"), F.timestamp_micros("id").alias("ts"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        assert "SortMergeJoin" not in plan(quantiles.depth_bucket(df, ["k"], "ts", "b", 10_000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_do_not_meet_by_key_for_the_totals_of_decisions(spark):
+    df = spark.range(300_000).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).alias("pos"), (F.hash("id") % 100 / 1000).alias("r"), F.lit("approved").alias("decision"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        joins = [x for x in plan(stats.decision_statistics(df, ["k"])).splitlines() if "SortMergeJoin" in x]
+        assert all("_piece" in x for x in joins)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_trades_are_numbered_in_buckets_of_a_day(spark):
+    from workload.risk_queries import indexed
+
+    assert "/ 86400" in plan(indexed(spark, "/root/testdata/sf0.001")) or "/ 86400.0" in plan(indexed(spark, "/root/testdata/sf0.001"))
