@@ -293,8 +293,9 @@ def decision_statistics(decisions: DataFrame, keys: Sequence[str], value: str =
     s.stage(top=s.inside("max", F.col("cum")))
     df = with_carries(materialize(s.close(), "decisions"), keys, {"_top": ("max", F.col("top"))}, s.rows, pos).withColumn("top", F.greatest("_top", "top")).drop("_top")
     head = with_quantile(df.withColumn("_loss", -r), keys, "_loss", 0.95, "var95")
-    base = df.groupBy(*keys).agg(F.avg(r).alias("_m"), F.stddev_pop(r).alias("_s"), F.min("cum").alias("_lo"))
-    j = head.join(base, list(keys))
+    # written, as the quantiles are, so that rows need not meet by group
+    base = materialize(df.groupBy(*keys).agg(F.avg(r).alias("_m"), F.stddev_pop(r).alias("_s"), F.min("cum").alias("_lo")), "decision-totals")
+    j = attach(head, base, keys)
     m = j.groupBy(*keys).agg(
         F.avg(flag(F.col("decision") == "approved")).alias("approval_rate"), F.avg(flag(F.col("decision") == "rejected")).alias("rejection_rate"),
         F.avg(flag(F.col("decision") == "size_reduced")).alias("size_reduction_rate"), F.first("_m").alias("mean_return"), F.first("_s").alias("_s"),
