@@ -26,7 +26,7 @@ def trades(spark, sf):
 
 
 def indexed(spark, sf, key="model"):
-    return index_rows(trades(spark, sf), [key], ORDER, time_bucket("l_shipdate", 30 * 86_400), total="n")
+    return index_rows(trades(spark, sf), [key], ORDER, time_bucket("l_shipdate", 86_400), total="n")
 
 
 # ------------------------------------------------------------------ tails
