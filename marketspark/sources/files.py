@@ -51,6 +51,8 @@ TICKS = T.StructType([
 
 #: Bytes of a file that may hold its header.
 HEADER_BYTES = 1 << 16
+#: Files that a task opens at a time for their headers.
+THREADS = 16
 #: Schemes that tasks open themselves, by the name that their library has for them.
 SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
 
@@ -84,17 +86,18 @@ def headers_of(paths: DataFrame) -> DataFrame:
     """
     spark = paths.sparkSession
     ship(spark)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = F.regexp_extract("path", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1).isin(*SCHEMES)
+    every, distant = paths.agg(F.count(F.lit(1)), F.count_if(~near)).first()
+    width = max(1, min(-(-every // THREADS), int(spark.conf.get("spark.sql.shuffle.partitions"))))  # few files are few tasks
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            with ThreadPoolExecutor(16) as pool:
+            with ThreadPoolExecutor(THREADS) as pool:
                 yield pd.DataFrame({"path": p["path"], "header": list(pool.map(header_line, p["path"]))})
 
-    scheme = F.regexp_extract("path", "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    far = [r["path"] for r in paths.filter(~scheme.isin(*SCHEMES)).collect()]
-    found = paths.filter(scheme.isin(*SCHEMES)).select("path").repartition(width).mapInPandas(read, "path string, header string")
-    if far:
+    found = paths.filter(near).select("path").repartition(width).mapInPandas(read, "path string, header string")
+    if distant:
+        far = [r["path"] for r in paths.filter(~near).collect()]
         conf, root = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
         lines = [(p, _first_line(root(p).getFileSystem(conf), root(p))) for p in far]
         found = found.unionByName(spark.createDataFrame(lines, "path string, header string"))
@@ -206,8 +209,13 @@ def data_version(names: DataFrame, column: str = "file", chars: int = 12) -> Dat
 # ---------------------------------------------------------------- ticks
 
 
-#: Symbol of a tick file: the start of its name up to the first underscore.
-TICK_NAME = r"([^/_]+)_[^/]*\.csv(?:/[^/]*)?$"
+def tick_symbol(path: str) -> Column:
+    """Symbol of a tick file: the start of its name up to the first underscore; the named file may be a folder of parts.
+
+    Every row asks for it, so the path is cut at its slashes; a pattern would be tried at each of its characters.
+    """
+    parts = [F.ltrim(F.substring_index(F.substring_index(path, "/", -2), "/", 1), F.lit("_")), F.ltrim(F.substring_index(path, "/", -1), F.lit("_"))]
+    return F.coalesce(*[F.when(x.endswith(".csv") & x.contains("_"), F.substring_index(x, "_", 1)) for x in parts], F.lit(""))
 
 
 def scan_ticks(spark: SparkSession, path: str, streaming: bool = False, files_per_trigger: int | None = None) -> DataFrame:
@@ -228,7 +236,7 @@ TICK_KINDS = {f.name: f.dataType.simpleString() for f in TICKS}
 
 
 def _typed_ticks(df: DataFrame) -> DataFrame:
-    return df.select(F.regexp_extract("path", TICK_NAME, 1).alias("symbol"), "id", "price", "qty", "base_qty", F.timestamp_millis("time").alias("ts"), "is_buyer_maker")
+    return df.select(tick_symbol("path").alias("symbol"), "id", "price", "qty", "base_qty", F.timestamp_millis("time").alias("ts"), "is_buyer_maker")
 
 
 def land_ticks(spark: SparkSession, path: str, landed: str, checkpoint: str, files_per_trigger: int = 10_000, trigger: dict | None = None):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketspark.sources import files
 
@@ -45,6 +46,26 @@ def test_landing_keeps_a_registry(spark, tmp_path):
     assert {h for _, h, _ in known} == {"id,price,time", "time,price,id"} and len({b for b, *_ in known}) == 3
 
 
+def test_few_headers_are_few_tasks(spark, tmp_path):
+    """The tasks follow the files, so a batch of three files is not a task for each shuffle partition."""
+    for i in range(40):
+        write(tmp_path / f"S{i}_1.csv", f"id,price,c{i % 2}\n1,2.5,1\n")
+    found = files.headers_of(files.listed(spark, f"{tmp_path}/*.csv"))
+    assert found.rdd.getNumPartitions() == 3 and found.count() == 40
+    assert files.headers_of(files.listed(spark, f"{tmp_path}/S3_*.csv")).rdd.getNumPartitions() == 1
+    assert sorted(len(p) for p in files.header_groups(files.listed(spark, f"{tmp_path}/*.csv")).values()) == [20, 20]
+
+
+def test_symbol_of_a_path(spark):
+    """The symbol of each row without a pattern; the values are those of the pattern that was used before."""
+    pattern = r"([^/_]+)_[^/]*\.csv(?:/[^/]*)?$"
+    paths = ["file:/d/click_trades.csv/part-00000-a_b-c000.csv", "file:///d_e/BTC_1.csv", "/x_y.csv", "x_y.csv", "_x_y.csv", "/d/__x__y.csv", "/d/x.csv", "/d/x_.csv", "/d/_.csv", "/d/_x.csv", "/a_b.csv/c/d.csv",
+             "/a_b.csv/c/e_d.csv", "/a_b.csv/e_d.csv", "/_a.csv/e_d.csv", "/a_b/c.csv", "/d/a_b.csv.gz", "/d/a b%20c_d.csv", "/d/\u00e4\u00f6_1.csv", "a_b.csv/", "", "/", "__.csv/_.csv"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = df.select("path", files.tick_symbol("path").alias("got"), F.regexp_extract("path", pattern, 1).alias("want")).collect()
+    assert [(r["path"], r["got"]) for r in got] == [(r["path"], r["want"]) for r in got] and got[0]["got"] == "click"
+
+
 def test_unknown_scheme_is_told():
     with pytest.raises(KeyError):
         files.header_line("odd://host/file.csv")
