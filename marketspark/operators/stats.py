@@ -121,8 +121,7 @@ def worst_tail_mean(df: DataFrame, keys: Sequence[str], value: str, share: float
     """
     k = lambda n: F.greatest(F.lit(1), F.floor(n * share))
     at = values_at(df, keys, [value], lambda n: [k(n) - 1]).select(*keys, "n", F.col("q")[0].alias("_v"))
-    rows = df.join(at, list(keys)) if keys else df.join(F.broadcast(at.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
-    agg = rows.groupBy(*keys).agg(
+    agg = attach(df, at, keys).groupBy(*keys).agg(
         F.max(k(F.col("n"))).alias("n_tail"), F.max("_v").alias("_v"),
         F.coalesce(F.sum(F.when(F.col(value) < F.col("_v"), F.col(value))), F.lit(0.0)).alias("_s"),
         F.count_if(F.col(value) < F.col("_v")).alias("_c"))

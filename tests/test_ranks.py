@@ -142,3 +142,17 @@ def test_trades_are_numbered_in_buckets_of_a_day(spark):
     from workload.risk_queries import indexed
 
     assert "/ 86400" in plan(indexed(spark, "/root/testdata/sf0.001")) or "/ 86400.0" in plan(indexed(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("rows", [400, 140_000])
+def test_worst_tail_of_a_null_group(spark, rows):
+    """A null key is a group, as in SQL, and few large groups do not meet by key."""
+    df = spark.range(0, rows, 1, 8).select(F.when(F.col("id") % 2 == 0, "a").alias("k"), (F.floor(F.col("id") / 2) * 7919 % 70_001).cast("double").alias("v"))
+    out = stats.worst_tail_mean(df, ["k"], "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = np.sort(np.arange(rows // 2, dtype=np.int64) * 7919 % 70_001)[:rows // 200].mean()
+    got = {r["k"]: (r["n_tail"], r["worst_tail_mean"]) for r in out.collect()}
+    assert set(got) == {"a", None}
+    for n, mean in got.values():
+        assert n == rows // 200 and abs(mean - want) < 1e-6
