@@ -86,8 +86,8 @@ def _split(state: DataFrame, i: int, m: int) -> DataFrame:
 
 
 def _inside(v: Column, p: str) -> Column:
-    return (v > F.coalesce(f"_lo{p}", F.lit(float("-inf")))) & (v < F.coalesce(f"_hi{p}", F.lit(float("inf")))) | (
-        F.col(f"_lo{p}").isNull() & F.col(f"_hi{p}").isNull())
+    # an open end holds infinities (and NaN, the largest) too
+    return (F.col(f"_lo{p}").isNull() | (v > F.col(f"_lo{p}"))) & (F.col(f"_hi{p}").isNull() | (v < F.col(f"_hi{p}")))
 
 
 def _narrow(rows: DataFrame, state: DataFrame, keys: Sequence[str], wanted: list[tuple[int, int]], bound: int) -> DataFrame:
@@ -164,7 +164,7 @@ def wide_values_at(df: DataFrame, keys: Sequence[str], columns: Sequence[str], r
         q = []
         for j, x in enumerate(h(i)):
             a, z = value(i, 2 * j, F.floor(x)), value(i, 2 * j + 1, F.ceil(x))
-            q.append(a + (z - a) * (x - F.floor(x)))
+            q.append(F.when(a == z, a + 0.0).otherwise(a + (z - a) * (x - F.floor(x))))  # two equal infinities have no difference
         out += [F.col(f"_n{i}"), F.when(F.col(f"_n{i}") > 0, F.array(*q)).alias(f"_q{i}")]
     # written, so that Spark knows how few rows these are and the rows they are joined to need not meet by group
     return materialize(found.select(*keys, *out), "rank-values")

@@ -144,6 +144,16 @@ def test_trades_are_numbered_in_buckets_of_a_day(spark):
     assert "/ 86400" in plan(indexed(spark, "/root/testdata/sf0.001")) or "/ 86400.0" in plan(indexed(spark, "/root/testdata/sf0.001"))
 
 
+@pytest.mark.parametrize("bound", [40, 1 << 16])
+def test_infinite_values_keep_their_rank(spark, bound):
+    """Narrowed intervals with an open end hold the infinities, whose ranks count like any other."""
+    v = np.concatenate((np.full(20, -np.inf), np.arange(300.0) * 7 % 301, np.full(30, np.inf)))
+    df = spark.createDataFrame([("k", float(x)) for x in v], "k string, v double").repartition(4)
+    at = [0, 10, 19, 20, 21, 170, 319, 320, 349]
+    got = quantiles.values_at(df, ["k"], ["v"], lambda n: [F.lit(i) for i in at], bound=bound).first()["q"]
+    assert got == np.sort(v)[at].tolist()
+
+
 @pytest.mark.parametrize("rows", [400, 140_000])
 def test_worst_tail_of_a_null_group(spark, rows):
     """A null key is a group, as in SQL, and few large groups do not meet by key."""
