@@ -278,3 +278,29 @@ def test_pair_products_equal_numpy(spark, block):
         got = {(x["symbol_1"], x["symbol_2"]): x["corr"] for x in rows_}
         keep = {k: v for k, v in want.items() if above is None or abs(v) > above}
         assert len(rows_) == len(got) and got.keys() == keep.keys() and all(abs(got[k] - v) < 1e-12 for k, v in keep.items())
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that the session's tasks write for other tasks while ``df`` is computed."""
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = total()
+    df().write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_pair_products_copy_no_block(spark):
+    n = 400
+    r = spark.range(n).select(F.concat(F.lit("s"), c("id").cast("string")).alias("symbol"), F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.xxhash64("id", i) % 10_007 / 10_007).alias("r"))
+    # a few times the returns themselves, not once a block
+    assert shuffled(spark, lambda: asof.pair_correlations(r, block=n // 16)) < 6 * n * 24 * 8
+
+
+def test_last_bins_shuffle_only_their_ticks(spark):
+    n = 60_000
+    h = lambda i: F.abs(F.xxhash64("id", F.lit(i)))
+    t = spark.range(n).select((c("id") % 3).cast("string").alias("symbol"), F.timestamp_seconds(h(1) % 50_000_000).alias("ts"), (h(2) % 1_000 / 10.0 + 1).alias("price"),
+                              (h(3) % 1_000 / 7.0).alias("qty"), (h(4) % 2 == 0).alias("is_buyer_maker"), "id")
+    assert shuffled(spark, lambda: bars.resample(t, "1h", last=25)) < shuffled(spark, lambda: bars.resample(t, "1h")) / 10
