@@ -298,6 +298,14 @@ def test_pair_products_copy_no_block(spark):
     assert shuffled(spark, lambda: asof.pair_correlations(r, block=n // 16)) < 6 * n * 24 * 8
 
 
+def test_pair_products_in_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(asof, "PAIR_PARTS", 3)
+    r = spark.range(23).select(F.concat(F.lit("s"), c("id").cast("string")).alias("symbol"), F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.xxhash64("id", i) % 10_007 / 10_007).alias("r"))
+    one, many = ({(x["symbol_1"], x["symbol_2"]): round(x["corr"], 9) for x in asof.pair_correlations(r, block=b).collect()} for b in (4_096, 2))
+    df = asof.pair_correlations(r, block=2)
+    assert len(one) == 253 and one == many and df.count() == 253 and df.rdd.getNumPartitions() == 9
+
+
 def test_last_bins_shuffle_only_their_ticks(spark):
     n = 60_000
     h = lambda i: F.abs(F.xxhash64("id", F.lit(i)))
